@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Tokenizer, tokenize
+from ..session import cut_lineage
 
 # Fixed BM25 parameters (Okapi, with the epsilon floor for negative idf).
 K1 = 1.5
@@ -39,21 +40,19 @@ class BM25Index:
     stats: DataFrame  # by..., n, avgdl, mean_idf
     by: list[str]
     id_col: str
+    entries: DataFrame | None = None  # postings plus one null-term row per empty document
 
     def persist(self, path: str) -> "BM25Index":
-        """Write the index tables once (parquet) and read them back, so many
-        query batches reuse them and lineage is cut."""
+        """Write the tokenised postings once (parquet, in the shared folder) and
+        derive every other index table from the written files, so the corpus is
+        tokenised a single time and many query batches reuse the result."""
         spark = self.postings.sparkSession
-        parts = self.by + ["term"]
-        self.postings.repartition(*[F.col(c) for c in parts]).write.mode("overwrite").parquet(f"{path}/postings")
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        return BM25Index(
-            spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"),
-            spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/stats"),
-            self.by, self.id_col,
-        )
+        src = self.entries if self.entries is not None else self.postings
+        src.write.mode("overwrite").parquet(f"{path}/entries")
+        idx = index_from_entries(spark.read.parquet(f"{path}/entries"), self.by, self.id_col)
+        idx.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        return BM25Index(idx.postings, idx.docs, spark.read.parquet(f"{path}/terms"), idx.stats,
+                         self.by, self.id_col, idx.entries)
 
 
 def tokenize_column(df: DataFrame, text_col: str, out_col: str = "tokens",
@@ -61,18 +60,48 @@ def tokenize_column(df: DataFrame, text_col: str, out_col: str = "tokens",
     return df.withColumn(out_col, tokenize(F.col(text_col), lexer=lexer))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-distribute by ``key`` only when the scan gives fewer partitions than
+    the cluster can run at once (e.g. one large row group). Partitioning by the
+    document key also satisfies the later (key, term) aggregation, so that
+    aggregation adds no exchange. A well-split input is left alone."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par, key)
+    return df
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens",
-                by: list[str] | None = None) -> BM25Index:
-    """B1 + B2. ``docs`` has ``by..., id_col, tokens_col (array<string>)``."""
+                by: list[str] | None = None, materialize: bool = False,
+                text_col: str | None = None, lexer: Tokenizer | None = None) -> BM25Index:
+    """B1 + B2. ``docs`` has ``by..., id_col`` and either ``tokens_col``
+    (array<string>) or ``text_col`` (tokenised here, after spreading).
+
+    One pass produces the entries table: (keys, term, tf, dl) per distinct
+    term of a document, and one row with a null term for a document without
+    tokens (it still counts in N and the mean length). With ``materialize``
+    the entries are checkpointed, so the tokeniser runs once."""
     by = list(by or [])
     keys = by + [id_col]
-    base = docs.select(*keys, F.col(tokens_col).alias("tokens"))
-    doc_len = base.select(*keys, F.size("tokens").cast("long").alias("dl"))
-    postings = (
-        base.select(*keys, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-        .groupBy(*keys, "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    )
+    if text_col is not None:
+        base = docs.select(*keys, text_col)
+        if not by:
+            base = spread(base, id_col)
+        base = base.select(*keys, tokenize(F.col(text_col), lexer=lexer).alias("tokens"))
+    else:
+        base = docs.select(*keys, F.col(tokens_col).alias("tokens"))
+    entries = (base.select(*keys, F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term"))
+               .groupBy(*keys, "term")
+               .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+    if materialize:
+        entries = cut_lineage(entries)
+    return index_from_entries(entries, by, id_col)
+
+
+def index_from_entries(entries: DataFrame, by: list[str], id_col: str) -> BM25Index:
+    keys = by + [id_col]
+    postings = entries.filter(F.col("term").isNotNull())
+    doc_len = entries.groupBy(*keys).agg(F.max("dl").alias("dl"))
     df_tab = postings.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
     if by:
         corpus = doc_len.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
@@ -91,7 +120,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "toke
             "n", "avgdl", raw.select(F.avg("idf_raw")).scalar().alias("mean_idf"))
         terms = raw.select("term", "df", F.when(F.col("idf_raw") < 0, mean_idf * EPSILON)
                            .otherwise(F.col("idf_raw")).alias("idf"))
-    return BM25Index(postings, doc_len, terms, stats, by, id_col)
+    return BM25Index(postings, doc_len, terms, stats, by, id_col, entries)
 
 
 def query_terms(queries: DataFrame, query_col: str = "query", key: str = "query_id",

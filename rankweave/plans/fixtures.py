@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_tokens
+from ..operators.bm25 import spread
 from ..session import read_table
 
 # Fixed values for the fixtures.
@@ -44,7 +45,7 @@ def queries_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def docs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, engine, engine_pos, title, snippet, text, url, page_url, pub_date)."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
     pages = read_table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page_url"))
     events = read_table(spark, sf_dir, "events").select(
         F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("pub_date"))
@@ -74,21 +75,35 @@ def keywords(df: DataFrame, key: str, text_col: str) -> DataFrame:
             .filter(F.length("term") >= KEYWORD_MIN_LEN).distinct())
 
 
+def matches_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Light match table (no text): (query_id, doc_id, engine, engine_pos,
+    n_shared, rank within the engine, news_rank within the query)."""
+    q = queries_fx(spark, sf_dir)
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
+    pos = F.expr(f"cast(substr(source, 4) as int)") % N_ENGINES
+    meta = docs.select("doc_id", F.concat(F.lit("e"), pos.cast("string")).alias("engine"),
+                       pos.cast("long").alias("engine_pos"))
+    hits = (keywords(q, "query_id", "query").join(keywords(docs, "doc_id", "text"), "term")
+            .groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n_shared")))
+    w = Window.partitionBy("query_id", "engine").orderBy(F.col("n_shared").desc(), F.col("doc_id"))
+    wn = Window.partitionBy("query_id").orderBy(F.col("n_shared").desc(), F.col("doc_id"))
+    return (hits.join(meta, "doc_id")
+            .withColumn("rank", F.row_number().over(w).cast("long"))
+            .withColumn("news_rank", F.row_number().over(wn).cast("long")))
+
+
 def candidates_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each simulated source returns for each query: documents of that
     engine sharing a keyword with the query, ranked by shared keywords then id.
+    Texts are joined after ranking, so a bound on ``rank`` is applied before
+    the text join.
 
-    (query_id, engine, engine_pos, rank, n_shared, doc_id, title, url, snippet, pub_date)
+    (query_id, engine, engine_pos, rank, n_shared, doc_id, title, url, snippet, pub_date, page_url)
     """
-    q = queries_fx(spark, sf_dir)
-    d = docs_fx(spark, sf_dir)
-    hits = (keywords(q, "query_id", "query").join(keywords(d, "doc_id", "text"), "term")
-            .groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n_shared")))
-    w = Window.partitionBy("query_id", "engine").orderBy(F.col("n_shared").desc(), F.col("doc_id"))
-    return (hits.join(d, "doc_id")
-            .withColumn("rank", F.row_number().over(w).cast("long"))
+    d = docs_fx(spark, sf_dir).drop("engine", "engine_pos")
+    return (matches_fx(spark, sf_dir).join(d, "doc_id")
             .select("query_id", "engine", "engine_pos", "rank", "n_shared", "doc_id", "title", "url",
-                    "snippet", "pub_date"))
+                    "snippet", "pub_date", "page_url", "news_rank"))
 
 
 def requests_fx(spark: SparkSession, sf_dir: str) -> DataFrame:

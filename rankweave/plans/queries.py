@@ -51,18 +51,17 @@ def doc_tokens(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", T.tokenize(F.col("text")).alias("tokens"))
 
 
-def corpus_index(spark, sf) -> bm25.BM25Index:
-    return bm25.build_index(doc_tokens(spark, sf), "doc_id", "tokens")
+def corpus_index(spark, sf, materialize: bool = True) -> bm25.BM25Index:
+    """Tokenise the documents once (checkpointed entries), derive the rest."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return bm25.build_index(docs, "doc_id", text_col="text", materialize=materialize)
 
 
 def news_payloads(spark, sf) -> DataFrame:
     """news_json_fx: one JSON payload per query holding its first NEWS_DISPLAY
     matches (by shared keywords, then id), shaped like a news API answer."""
-    c = fx.candidates_fx(spark, sf)
-    d = fx.docs_fx(spark, sf).select("doc_id", "page_url")
-    w = Window.partitionBy("query_id").orderBy(F.col("n_shared").desc(), "doc_id")
-    top = c.withColumn("item_rank", F.row_number().over(w)).filter(F.col("item_rank") <= NEWS_DISPLAY)
-    top = top.join(d, "doc_id")
+    top = (fx.candidates_fx(spark, sf).filter(F.col("news_rank") <= NEWS_DISPLAY)
+           .withColumnRenamed("news_rank", "item_rank"))
     m = lambda k: F.col("doc_id") % k
     amp = lambda c: F.replace(F.col(c), F.lit("&"), F.lit("&amp;"))
     seoul = F.from_utc_timestamp("pub_date", "Asia/Seoul")
@@ -87,8 +86,6 @@ def news_items_fx(spark, sf) -> DataFrame:
 def vertical_payloads(spark, sf) -> DataFrame:
     """One payload per (query, engine) for engines e1, e2: all their matches."""
     c = fx.candidates_fx(spark, sf).filter(F.col("engine").isin("e1", "e2"))
-    d = fx.docs_fx(spark, sf).select("doc_id", "page_url")
-    c = c.join(d, "doc_id")
     item = F.struct(F.concat(F.lit("<b>"), F.col("title"), F.lit("</b>")).alias("title"),
                     F.col("url").alias("originallink"), F.col("page_url").alias("link"),
                     F.col("snippet").alias("description"))
@@ -347,7 +344,7 @@ def q_bm25_topk(spark, sf):
 
 
 def _web(spark, sf, **kw):
-    return web_search(fx.requests_fx(spark, sf), fx.sources_fx(spark), cut_lineage(fx.candidates_fx(spark, sf)),
+    return web_search(fx.requests_fx(spark, sf), fx.sources_fx(spark), fx.candidates_fx(spark, sf),
                       pages_df(spark, sf), max_results=WEB_MAX_RESULTS, keywords=fx.EXCLUDED_KEYWORDS, **kw)
 
 

@@ -62,6 +62,9 @@ def web_search(requests: DataFrame, registry: DataFrame, source_rows: DataFrame,
     """
     keywords = list(keywords)
     m = cut_lineage if materialize else (lambda d: d)
+    # P6 first: no source is ever asked for more than fetch_count rows, so
+    # only those rows are materialised (the bound reaches the source scan)
+    source_rows = m(filters.overfetch_limit(source_rows, max_results, keywords, overfetch))
     requests = m(requests.select("query_id", "query", "engines"))
     resolved = m(routing.resolve_sources(requests, registry))
     first = resolved.select("query_id", "engine", F.col("req_pos").alias("sec_pos"), "registered")
