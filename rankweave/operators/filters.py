@@ -55,7 +55,8 @@ def exclusion_filter(raw: DataFrame, max_results: int, keywords: list[str],
     if max_results >= 0:
         return ranked.filter(F.col("rank") <= max_results)
     total = F.count(F.lit(1)).over(Window.partitionBy(*g))
-    return ranked.filter(F.col("rank") <= total + max_results)
+    return (ranked.withColumn("_total", total).filter(F.col("rank") <= F.col("_total") + max_results)
+            .drop("_total"))
 
 
 def policy_status(requested: DataFrame, raw: DataFrame, kept: DataFrame,
