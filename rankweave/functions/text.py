@@ -154,14 +154,38 @@ def lexical_tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(TOKEN_PATTERN), 0)
 
 
+def url_part(cleaned: Column) -> Column:
+    """URL tokens of a cleaned text; the array work runs only for texts that
+    hold a URL at all."""
+    return F.when(cleaned.rlike(URL_PATTERN), F.flatten(F.transform(extract_urls(cleaned), url_tokens))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def tokens_from_cleaned(cleaned: Column, lexer: Tokenizer | None = None) -> Column:
+    lex = (lexer or lexical_tokens)(F.when(cleaned.rlike(URL_PATTERN), remove_urls(cleaned)).otherwise(cleaned))
+    return F.concat(lex, url_part(cleaned))
+
+
+def clean_for_tokens(c: Column | str, exact_entities: bool = False) -> Column:
+    return strip_tags_spaced(F.coalesce(_col(c), F.lit("")), exact_entities=exact_entities)
+
+
 def tokenize(c: Column | str, lexer: Tokenizer | None = None, exact_entities: bool = False) -> Column:
     """Tags -> spaces, entities decoded, URLs pulled out; lexical tokens
     of the remainder followed by the URL tokens. ``lexer`` replaces the
-    lexical step (e.g. a pandas UDF wrapping a morphological analyser)."""
-    cleaned = strip_tags_spaced(F.coalesce(_col(c), F.lit("")), exact_entities=exact_entities)
-    lex = (lexer or lexical_tokens)(remove_urls(cleaned))
-    from_urls = F.flatten(F.transform(extract_urls(cleaned), url_tokens))
-    return F.concat(lex, from_urls)
+    lexical step (e.g. a pandas UDF wrapping a morphological analyser).
+    For large tables prefer :func:`with_tokens`, which cleans each text once."""
+    return tokens_from_cleaned(clean_for_tokens(c, exact_entities), lexer)
+
+
+def with_tokens(df, text: Column | str, out_col: str = "tokens", lexer: Tokenizer | None = None,
+                exact_entities: bool = False):
+    """DataFrame form of :func:`tokenize`: the cleaned text is its own
+    projection, so the entity chain runs once per row (Spark does not inline a
+    non-trivial expression that is used twice)."""
+    tmp = "__cleaned"
+    return (df.withColumn(tmp, clean_for_tokens(text, exact_entities))
+            .withColumn(out_col, tokens_from_cleaned(F.col(tmp), lexer)).drop(tmp))
 
 
 def looks_like_pdf(url: Column | str) -> Column:

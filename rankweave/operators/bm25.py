@@ -23,8 +23,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import Tokenizer, tokenize
-from ..session import cut_lineage
+from ..functions.text import Tokenizer, tokenize, with_tokens
+from ..session import broadcast_if_small, cut_lineage
+
+# Query-term rows (a request batch) up to which the batch is broadcast to the
+# postings scan instead of shuffling the postings by term.
+BROADCAST_QUERY_TERMS = 2_000_000
 
 # Fixed BM25 parameters (Okapi, with the epsilon floor for negative idf).
 K1 = 1.5
@@ -87,12 +91,12 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "toke
         base = docs.select(*keys, text_col)
         if not by:
             base = spread(base, id_col)
-        base = base.select(*keys, tokenize(F.col(text_col), lexer=lexer).alias("tokens"))
+        base = with_tokens(base, F.col(text_col), "tokens", lexer=lexer).select(*keys, "tokens")
     else:
         base = docs.select(*keys, F.col(tokens_col).alias("tokens"))
     entries = (base.select(*keys, F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term"))
                .groupBy(*keys, "term")
-               .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+               .agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
     if materialize:
         entries = cut_lineage(entries)
     return index_from_entries(entries, by, id_col)
@@ -132,9 +136,8 @@ def query_terms(queries: DataFrame, query_col: str = "query", key: str = "query_
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def score(index: BM25Index, qterms: DataFrame, key: str = "query_id") -> DataFrame:
-    """B3 for matching documents: (key, id, score). Documents sharing no term
-    with the query are absent (their score is 0)."""
+def _contributions(index: BM25Index, qterms: DataFrame, key: str) -> DataFrame:
+    """(key, id, c): one row per matching (query term, document)."""
     by, idc = index.by, index.id_col
     if by:
         # candidate mode: the query key is the corpus key
@@ -143,13 +146,20 @@ def score(index: BM25Index, qterms: DataFrame, key: str = "query_id") -> DataFra
         joined = weighted.join(index.postings, by + ["term"]).join(index.stats.select(*by, "avgdl"), by)
         avgdl = F.col("avgdl")
     else:
-        weighted = qterms.join(index.terms, "term")
+        weighted = broadcast_if_small(qterms.join(index.terms, "term"), BROADCAST_QUERY_TERMS)
         joined = weighted.join(index.postings, "term")
         avgdl = index.stats.select("avgdl").scalar()
     tf = F.col("tf").cast("double")
     norm = tf + K1 * (1 - B + B * F.col("dl") / avgdl)
     contrib = F.col("idf") * F.col("qtf") * tf * (K1 + 1) / norm
-    return joined.groupBy(key, idc).agg(F.sum(contrib).alias("score"))
+    return joined.select(key, idc, contrib.alias("c"))
+
+
+def score(index: BM25Index, qterms: DataFrame, key: str = "query_id") -> DataFrame:
+    """B3 for matching documents: (key, id, score). Documents sharing no term
+    with the query are absent (their score is 0). Partial sums are formed
+    map-side before the (query, document) exchange."""
+    return _contributions(index, qterms, key).groupBy(key, index.id_col).agg(F.sum("c").alias("score"))
 
 
 def score_all(index: BM25Index, qterms: DataFrame, candidates: DataFrame,
@@ -169,25 +179,21 @@ def rank_order(score_col: str = "score", tie_cols: tuple[str, ...] = ("doc_id",)
 
 def top_k(index: BM25Index, qterms: DataFrame, queries: DataFrame, k: int,
           key: str = "query_id", pool_factor: int = 2) -> DataFrame:
-    """B4 in corpus mode: the k best documents per query, zero-score documents
-    (lowest ids first) filling in when fewer than k score above zero.
-
-    The zero fillers come from the ``pool_factor * k`` lowest document ids (a
-    bounded, ordered take); with no negative scores that pool always holds
-    enough zero-score documents.
-    """
+    """B4 in corpus mode: the k best documents per query; zero-score documents
+    (lowest ids first) fill in when fewer than k score above zero.
+
+    The ``pool_factor * k`` lowest document ids (a bounded ordered take) enter
+    the same aggregation as zero contributions for every query, so one
+    scoring pass yields every candidate for the top k; with no negative
+    scores that pool always holds enough zero-score documents. The
+    ``row_number() <= k`` window is planned as a partial WindowGroupLimit
+    before the exchange on the query key."""
     idc = index.id_col
-    matched = score(index, qterms, key)
-    positives = matched.filter(F.col("score") > 0).groupBy(key).agg(F.count(F.lit(1)).alias("n_pos"))
-    need = (queries.select(key).distinct().join(positives, key, "left")
-            .select(key, (F.lit(k) - F.coalesce(F.col("n_pos"), F.lit(0))).alias("need"))
-            .filter(F.col("need") > 0))
-    pool = index.docs.select(idc).orderBy(idc).limit(pool_factor * k)
-    pool_ids = pool.agg(F.collect_list(idc)).scalar()
-    fillers = (need.select(key, F.explode(pool_ids).alias(idc))
-               .join(matched.select(key, idc), [key, idc], "left_anti")
-               .withColumn("score", F.lit(0.0)))
-    ranked = matched.unionByName(fillers)
+    pool_ids = index.docs.select(idc).orderBy(idc).limit(pool_factor * k).agg(F.collect_list(idc)).scalar()
+    pool = (queries.select(key).distinct().withColumn("_pool", pool_ids)
+            .select(key, F.explode("_pool").alias(idc), F.lit(0.0).alias("c")))
+    scored = (_contributions(index, qterms, key).unionByName(pool)
+              .groupBy(key, idc).agg(F.sum("c").alias("score")))
     w = Window.partitionBy(key).orderBy(*rank_order("score", (idc,)))
-    return (ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(key, idc, F.col("rank").cast("long").alias("rank"), "score"))

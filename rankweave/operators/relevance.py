@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import Tokenizer, tokenize
+from ..functions.text import Tokenizer, with_tokens
 from ..session import cut_lineage
 from . import bm25
 
@@ -25,7 +25,7 @@ def candidate_scores(cands: DataFrame, queries: DataFrame, id_col: str, text: F.
     (max score of the query) and ``has_terms`` (query tokenises to something).
     With ``materialize`` the tokenised candidates are checkpointed once, since
     postings, lengths and the final left join all read them."""
-    cands = cands.withColumn("tokens", tokenize(text, lexer=lexer))
+    cands = with_tokens(cands, text, "tokens", lexer=lexer)
     if materialize:
         cands = cut_lineage(cands)
     docs = cands.select(key, id_col, "tokens")

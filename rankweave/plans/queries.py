@@ -350,7 +350,7 @@ def _web(spark, sf, **kw):
 
 def _web_candidates(spark, sf):
     """Rows entering the relevance filter of the web search (after P7)."""
-    return _web(spark, sf).after_pdf
+    return _web(spark, sf, relevance_on=False, fetch_content=False).after_pdf
 
 
 @query("relevance_filter")
