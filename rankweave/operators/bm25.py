@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Tokenizer, tokenize, with_tokens
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 
 # Query-term rows (a request batch) up to which the batch is broadcast to the
 # postings scan instead of shuffling the postings by term.
@@ -45,6 +45,7 @@ class BM25Index:
     by: list[str]
     id_col: str
     entries: DataFrame | None = None  # postings plus one null-term row per empty document
+    dfs: DataFrame | None = None      # by..., term, df (every term of the corpus)
 
     def persist(self, path: str) -> "BM25Index":
         """Write the tokenised postings once (parquet, in the shared folder) and
@@ -113,9 +114,7 @@ def index_from_entries(entries: DataFrame, by: list[str], id_col: str) -> BM25In
             "idf_raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
         mean = raw.groupBy(*by).agg(F.avg("idf_raw").alias("mean_idf"))
         stats = corpus.join(mean, by, "left")
-        terms = raw.join(mean, by).select(
-            *by, "term", "df",
-            F.when(F.col("idf_raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("idf_raw")).alias("idf"))
+        terms = raw.join(mean, by).select(*by, "term", "df", idf_value(F.col("idf_raw"), F.col("mean_idf")).alias("idf"))
     else:
         n = doc_len.select(F.count(F.lit(1))).scalar()
         raw = df_tab.withColumn("idf_raw", F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
@@ -124,7 +123,12 @@ def index_from_entries(entries: DataFrame, by: list[str], id_col: str) -> BM25In
             "n", "avgdl", raw.select(F.avg("idf_raw")).scalar().alias("mean_idf"))
         terms = raw.select("term", "df", F.when(F.col("idf_raw") < 0, mean_idf * EPSILON)
                            .otherwise(F.col("idf_raw")).alias("idf"))
-    return BM25Index(postings, doc_len, terms, stats, by, id_col, entries)
+    return BM25Index(postings, doc_len, terms, stats, by, id_col, entries, df_tab)
+
+
+def idf_value(idf_raw: F.Column, mean_idf: F.Column) -> F.Column:
+    """Negative idf is replaced by epsilon x the corpus mean of the raw idf."""
+    return F.when(idf_raw < 0, mean_idf * EPSILON).otherwise(idf_raw)
 
 
 def query_terms(queries: DataFrame, query_col: str = "query", key: str = "query_id",
@@ -140,14 +144,24 @@ def _contributions(index: BM25Index, qterms: DataFrame, key: str) -> DataFrame:
     """(key, id, c): one row per matching (query term, document)."""
     by, idc = index.by, index.id_col
     if by:
-        # candidate mode: the query key is the corpus key
+        # candidate mode: the query key is the corpus key. Weights are computed
+        # for the query's own terms only (the per-query mean raw idf covers
+        # every term), and that small table is broadcast into the postings scan.
         assert by == [key], "candidate mode scores each query against its own corpus"
-        weighted = qterms.join(index.terms, by + ["term"])
-        joined = weighted.join(index.postings, by + ["term"]).join(index.stats.select(*by, "avgdl"), by)
+        # one row per (query, term) at most joins each side, so the query-term
+        # count bounds the weighted table too: one count proves both sizes
+        small = qterms.count() <= BROADCAST_QUERY_TERMS
+        bc = F.broadcast if small else (lambda d: d)
+        raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+        weighted = (bc(qterms).join(index.dfs, by + ["term"]).join(index.stats, by)
+                    .select(*by, "term", "qtf", "avgdl", idf_value(raw, F.col("mean_idf")).alias("idf")))
+        joined = bc(weighted).join(index.postings, by + ["term"])
         avgdl = F.col("avgdl")
     else:
-        weighted = broadcast_if_small(qterms.join(index.terms, "term"), BROADCAST_QUERY_TERMS)
-        joined = weighted.join(index.postings, "term")
+        # the weighted table has at most one row per query term: count those
+        small = qterms.count() <= BROADCAST_QUERY_TERMS
+        weighted = qterms.join(index.terms, "term")
+        joined = (F.broadcast(weighted) if small else weighted).join(index.postings, "term")
         avgdl = index.stats.select("avgdl").scalar()
     tf = F.col("tf").cast("double")
     norm = tf + K1 * (1 - B + B * F.col("dl") / avgdl)

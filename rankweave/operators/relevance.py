@@ -23,13 +23,15 @@ def candidate_scores(cands: DataFrame, queries: DataFrame, id_col: str, text: F.
                      lexer: Tokenizer | None = None, materialize: bool = True) -> DataFrame:
     """Adds ``score`` (BM25 of the query against its candidates), ``best``
     (max score of the query) and ``has_terms`` (query tokenises to something).
-    With ``materialize`` the tokenised candidates are checkpointed once, since
-    postings, lengths and the final left join all read them."""
-    cands = with_tokens(cands, text, "tokens", lexer=lexer)
+    With ``materialize`` the candidates and the index entries are
+    checkpointed once, since postings, lengths, document frequencies and the
+    final left join all read them."""
+    cands = cands.withColumn("_text", text)
     if materialize:
         cands = cut_lineage(cands)
-    docs = cands.select(key, id_col, "tokens")
-    index = bm25.build_index(docs, id_col=id_col, by=[key])
+    docs = with_tokens(cands.select(key, id_col, "_text"), F.col("_text"), "tokens", lexer=lexer)
+    cands = cands.drop("_text")
+    index = bm25.build_index(docs, id_col=id_col, by=[key], materialize=materialize)
     qsel = queries.join(cands.select(key).distinct(), key, "left_semi")
     qt = bm25.query_terms(qsel, query_col=query_col, key=key, lexer=lexer)
     scored = bm25.score_all(index, qt, cands, key)
