@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Fixed labels of the key assignment outcome.
 QUOTA_EXCEEDED = "quota_exceeded"
 UNAVAILABLE = "unavailable"
@@ -43,18 +45,30 @@ def daily_spine(calls: DataFrame) -> DataFrame:
         "key", "day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def day_sequence(calls: DataFrame, bucket: str = "minute") -> DataFrame:
-    """Per-day call number ``n`` (1-based, ordered by ts then event_id)
-    without putting a whole day into one task: rows are numbered inside
-    (day, time bucket) partitions, then shifted by the calls of earlier
-    buckets of that day, taken from a small bucket-count table."""
-    b = calls.withColumn("day", F.to_date("ts")).withColumn("bucket", F.date_trunc(bucket, "ts"))
-    counts = b.groupBy("day", "bucket").agg(F.count(F.lit(1)).alias("c"))
-    wc = Window.partitionBy("day").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("day", "bucket", F.coalesce(F.sum("c").over(wc), F.lit(0)).alias("offset"))
-    w = Window.partitionBy("day", "bucket").orderBy("ts", "event_id")
-    return (b.withColumn("i", F.row_number().over(w)).join(offsets, ["day", "bucket"])
-            .withColumn("n", (F.col("i") + F.col("offset")).cast("long")).drop("i", "offset", "bucket"))
+def day_sequence(calls: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Per-day call number ``n`` (1-based, ordered by ts then event_id) with
+    no task holding a whole day or a whole hot minute.
+
+    Calls are range-partitioned on (ts, event_id) — Spark samples the keys, so
+    a hot range is split like any other — and sorted inside each partition.
+    Partition order is time order, so a row's number is its position inside
+    its partition's run of that day plus the calls of that day in earlier
+    partitions, taken from a small (partition, day) count table. The
+    numbered rows are checkpointed so the split and the ids are fixed."""
+    spark = calls.sparkSession
+    n_parts = partitions or max(spark.sparkContext.defaultParallelism, 1)
+    ordered = (calls.withColumn("day", F.to_date("ts"))
+               .repartitionByRange(n_parts, "ts", "event_id")
+               .sortWithinPartitions("ts", "event_id")
+               .withColumn("_pid", F.spark_partition_id())
+               .withColumn("_mid", F.monotonically_increasing_id()))
+    ordered = cut_lineage(ordered)
+    blocks = ordered.groupBy("_pid", "day").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy("day").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_pid", "day", "_first", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    return (ordered.join(blocks, ["_pid", "day"])
+            .withColumn("n", (F.col("_mid") - F.col("_first") + F.col("_off") + 1).cast("long"))
+            .drop("_pid", "_mid", "_first", "_off"))
 
 
 def quota_assign(calls: DataFrame, keys: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ SOURCES = [("e0", 0, True, None), ("e1", 1, True, "g"), ("e2", 2, True, "g"), ("
 # key_name, idx, daily_limit, threshold
 KEYS = [("k1", 0, 100, 0.8), ("k2", 1, 100, 0.8), ("k3", 2, 100, 0.8)]
 KEYWORD_MIN_LEN = 6
+SOURCE_PAGE = 10    # rows one source answers per request (the over-fetch count)
+HOSTED_MAX = 8      # results asked from the hosted backend (context search default)
 TODAY = "2024-01-15"  # the "today" of the counter views
 # Boilerplate lines mixed into page text for the clean_text fixture.
 NOISE_LINES = [

@@ -84,8 +84,8 @@ def news_items_fx(spark, sf) -> DataFrame:
 
 
 def vertical_payloads(spark, sf) -> DataFrame:
-    """One payload per (query, engine) for engines e1, e2: all their matches."""
-    c = fx.candidates_fx(spark, sf).filter(F.col("engine").isin("e1", "e2"))
+    """One payload per (query, engine) for engines e1, e2: one result page."""
+    c = fx.candidates_fx(spark, sf).filter(F.col("engine").isin("e1", "e2") & (F.col("rank") <= fx.SOURCE_PAGE))
     item = F.struct(F.concat(F.lit("<b>"), F.col("title"), F.lit("</b>")).alias("title"),
                     F.col("url").alias("originallink"), F.col("page_url").alias("link"),
                     F.col("snippet").alias("description"))
@@ -95,9 +95,9 @@ def vertical_payloads(spark, sf) -> DataFrame:
 
 
 def hosted_raw(spark, sf) -> DataFrame:
-    """Hosted backend answer rows: engine e3's matches, title missing when
-    doc_id % 13 = 0, content = the whole document text."""
-    c = fx.candidates_fx(spark, sf).filter(F.col("engine") == "e3")
+    """Hosted backend answer rows: engine e3's first HOSTED_MAX matches, title
+    missing when doc_id % 13 = 0, content = the whole document text."""
+    c = fx.candidates_fx(spark, sf).filter((F.col("engine") == "e3") & (F.col("rank") <= fx.HOSTED_MAX))
     return c.select("query_id", "rank",
                     F.when(F.col("doc_id") % 13 == 0, F.lit(None)).otherwise(F.col("title")).alias("title"),
                     "url", F.col("snippet").alias("content"))
@@ -124,7 +124,7 @@ def q_vertical_items(spark, sf):
 
 @query("keyless_items")
 def q_keyless_items(spark, sf):
-    c = fx.candidates_fx(spark, sf).filter(F.col("engine") == "e0")
+    c = fx.candidates_fx(spark, sf).filter((F.col("engine") == "e0") & (F.col("rank") <= fx.SOURCE_PAGE))
     raw = c.select("query_id", "rank", "title", F.col("url").alias("href"), F.col("snippet").alias("body"))
     return news.keyless_items(raw)
 
@@ -137,8 +137,9 @@ def q_hosted_items(spark, sf):
 
 @query("listing_rows")
 def q_listing_rows(spark, sf):
-    c = fx.candidates_fx(spark, sf).withColumn("listing_id", F.concat_ws(":", F.col("query_id").cast("string"),
-                                                                         "engine"))
+    # one numbered result page per (query, source)
+    c = (fx.candidates_fx(spark, sf).filter(F.col("rank") <= fx.SOURCE_PAGE)
+         .withColumn("listing_id", F.concat_ws(":", F.col("query_id").cast("string"), "engine")))
     text = listing.render_listing(c, "listing_id")
     return listing.parse_listing(text, "listing_id")
 
