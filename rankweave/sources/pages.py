@@ -53,8 +53,11 @@ def extract_main_text(html: Column) -> Column:
 
 
 def page_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text): main text of every page."""
-    return pages.select("page_id", "url", extract_main_text(F.col("html")).alias("text"))
+    """(page_id, url, text): main text of every page (the regex work is spread
+    over the cluster when the scan gives too few splits)."""
+    from ..operators.bm25 import spread
+    return spread(pages.select("page_id", "url", "html"), "page_id").select(
+        "page_id", "url", extract_main_text(F.col("html")).alias("text"))
 
 
 def pages_for_urls(pages: DataFrame, urls: DataFrame) -> DataFrame:
