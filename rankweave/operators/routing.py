@@ -24,19 +24,22 @@ NO_OUTCOMES = "없음"
 def resolve_sources(requests: DataFrame, registry: DataFrame) -> DataFrame:
     """R1 + J4: (query_id, engine, req_pos, registered). 'all' expands to the
     registry's default sources in registry order; otherwise the comma list is
-    split, stripped, blanks dropped, repeats reduced to the first occurrence."""
+    split, stripped, blanks dropped, repeats reduced to the first occurrence
+    (``array_distinct`` keeps first-occurrence order). One projection per
+    request plus a broadcast join of the (configuration-sized) registry."""
     defaults = (registry.filter("is_default")
                 .agg(F.sort_array(F.collect_list(F.struct("pos", "engine"))).alias("d"))
                 .select(F.transform("d", lambda s: s["engine"]).alias("d")))
-    names = F.when(F.col("engines") == "all", defaults.select("d").scalar()).otherwise(
-        F.transform(F.split(F.coalesce(F.col("engines"), F.lit("")), ","), py_strip))
-    exploded = requests.select("query_id", F.posexplode(names).alias("p", "engine")).filter(F.col("engine") != "")
-    first = (exploded.groupBy("query_id", "engine").agg(F.min("p").alias("p")))
-    w = Window.partitionBy("query_id").orderBy("p")
+    listed = F.filter(F.transform(F.split(F.coalesce(F.col("engines"), F.lit("")), ","), py_strip),
+                      lambda x: x != F.lit(""))
+    names = (requests.withColumn("_defaults", defaults.select("d").scalar())
+             .select("query_id", F.array_distinct(
+                 F.when(F.col("engines") == "all", F.col("_defaults")).otherwise(listed)).alias("names")))
     reg = registry.select("engine", F.lit(True).alias("registered"))
-    return (first.withColumn("req_pos", (F.row_number().over(w) - 1).cast("long"))
+    return (names.select("query_id", F.posexplode("names").alias("req_pos", "engine"))
             .join(F.broadcast(reg), "engine", "left")
-            .select("query_id", "engine", "req_pos", F.coalesce("registered", F.lit(False)).alias("registered")))
+            .select("query_id", "engine", F.col("req_pos").cast("long").alias("req_pos"),
+                    F.coalesce("registered", F.lit(False)).alias("registered")))
 
 
 def fallback_sources(requests: DataFrame, resolved: DataFrame, has_rows: DataFrame,
