@@ -65,11 +65,11 @@ def web_search(requests: DataFrame, registry: DataFrame, source_rows: DataFrame,
     # P6 first: no source is ever asked for more than fetch_count rows, so
     # only those rows are materialised (the bound reaches the source scan)
     source_rows = m(filters.overfetch_limit(source_rows, max_results, keywords, overfetch))
-    requests = m(requests.select("query_id", "query", "engines"))
+    requests = requests.select("query_id", "query", "engines")
     resolved = m(routing.resolve_sources(requests, registry))
     first = resolved.select("query_id", "engine", F.col("req_pos").alias("sec_pos"), "registered")
     kept1, secs1 = _round(source_rows, first, max_results, keywords, overfetch)
-    kept1, secs1 = m(kept1), m(secs1)
+    kept1 = m(kept1)  # read by the fallback test and the final union
     fb = m(routing.fallback_sources(requests, resolved, kept1.select("query_id"), registry))
     kept2, secs2 = _round(source_rows, fb.withColumn("registered", F.lit(True)), max_results, keywords, overfetch)
     sections = m(secs1.unionByName(secs2))
