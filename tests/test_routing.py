@@ -62,3 +62,16 @@ def test_outcome_summary(spark):
     rows = [(1, "e0", 1, "stock price", "http://a", "stock price up")]
     r, _, _ = run(spark, "e0,nope", rows)
     assert routing.outcome_summary(r.sections).first()["summary"] == "e0=ok(1건), nope=unknown"
+
+
+def test_unknown_only_request_falls_back_to_all(spark):
+    rows = [(1, "e1", 1, "stock price", "http://b", "stock price")]
+    r, secs, _ = run(spark, "nope", rows)
+    assert secs == [("nope", "unknown"), ("e0", "ok"), ("e1", "ok"), ("e2", "ok")]
+    assert [x["engine"] for x in r.rows.collect()] == ["e1"]
+
+
+def test_blank_request_resolves_to_nothing_then_falls_back(spark):
+    rows = [(1, "e0", 1, "stock price", "http://a", "stock price up")]
+    _, secs, _ = run(spark, " , ", rows)
+    assert secs == [("e0", "ok"), ("e1", "ok"), ("e2", "ok")]
