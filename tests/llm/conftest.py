@@ -1,0 +1,13 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+from rankweave.session import get_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    yield get_session("local[4]", 4)
