@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import read_table, scratch_path
 
-__all__ = ["WORD_PATTERN", "connected_components", "materialize", "read_table", "running_before", "text_bytes"]
+__all__ = ["WORD_PATTERN", "connected_components", "materialize", "read_table", "running_before", "text_bytes",
+           "word_count"]
 
 #: a word: a run of anything but the six ASCII white-space characters
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -32,6 +33,11 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def word_count(text: Column) -> Column:
+    """Number of words of a text, 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+
+
 def running_before(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
                    ties: list[str] | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the same ``keys``
@@ -43,7 +49,7 @@ def running_before(df: DataFrame, keys: list[str], order: str, value: Column, ou
     2**BUCKET_BITS rows for each group. ``df`` is used twice, so it should be
     a stored table. Keys must not be null.
     """
-    part = F.shiftrightunsigned(F.col(order), 64 - BUCKET_BITS)
+    part = F.shiftright(F.col(order), 64 - BUCKET_BITS)
     df = df.withColumn("__part", part).withColumn("__value", value.cast("long"))
     totals = df.groupBy(*keys, "__part").agg(F.sum("__value").alias("__total"))
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
