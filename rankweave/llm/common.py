@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import read_table, scratch_path
 
-__all__ = ["WORD_PATTERN", "connected_components", "materialize", "read_table", "running_before", "text_bytes",
+__all__ = ["WORD_PATTERN", "connected_components", "forest", "materialize", "read_table", "running_before", "text_bytes",
            "word_count"]
 
 #: a word: a run of anything but the six ASCII white-space characters
@@ -107,3 +108,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     if labels is None:
         return left.select(F.col("x").alias("node"), F.col("y").alias("root"))
     return labels
+
+
+def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, root) that connect the same nodes as the links x, y do."""
+    nodes, flat = np.unique(np.concatenate([x, y]), return_inverse=True)
+    u, v = flat[:len(x)], flat[len(x):]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[u], root[v])
+        new = root.copy()
+        np.minimum.at(new, root[u], low)
+        np.minimum.at(new, root[v], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        new = new[root]
+        if np.array_equal(new, root):
+            break
+        root = new
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]

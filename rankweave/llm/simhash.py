@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, forest, materialize
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -170,26 +170,6 @@ def _keyed(every: bool):
     return keyed
 
 
-def _forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, root) that connect the same nodes as the links x, y do."""
-    nodes, flat = np.unique(np.concatenate([x, y]), return_inverse=True)
-    u, v = flat[:len(x)], flat[len(x):]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[u], root[v])
-        new = root.copy()
-        np.minimum.at(new, root[u], low)
-        np.minimum.at(new, root[v], low)
-        while not np.array_equal(new, new[new]):
-            new = new[new]
-        new = new[root]
-        if np.array_equal(new, root):
-            break
-        root = new
-    moved = root != np.arange(len(nodes))
-    return nodes[moved], nodes[root[moved]]
-
-
 def _block_links(max_bits: int):
     def links(block: pd.DataFrame) -> pd.DataFrame:
         """Verified links between the two sides of a block, as a spanning forest."""
@@ -201,12 +181,12 @@ def _block_links(max_bits: int):
             i, j = np.nonzero(np.bitwise_count((part[:, None] ^ b[None, :]).view(np.uint64)) <= max_bits)
             u, v = part[i], b[j]
             keep = u < v
-            u, v = _forest(u[keep], v[keep])
+            u, v = forest(u[keep], v[keep])
             x.append(u)
             y.append(v)
         if not x:
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        u, v = _forest(np.concatenate(x), np.concatenate(y))
+        u, v = forest(np.concatenate(x), np.concatenate(y))
         return pd.DataFrame({"a": u, "b": v})
     return links
 
