@@ -11,9 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, langid, mixing, sharding, simhash
+from . import decontaminate, embeddings, langid, mixing, pii, sharding, simhash
 from .common import read_table
 
+#: a deployment passes a secret of its own
+PII_KEY = "rankweave"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -53,3 +56,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_personal_data(read_table(spark, sf_dir, "documents"), key=PII_KEY)
