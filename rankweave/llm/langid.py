@@ -150,15 +150,23 @@ def fit_rows(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     return Model(languages, families, pairs, weights, np.array(slopes))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS,
-        seed: int = 7) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str | None = None,
+        sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> Model:
     """Fit on at most ``sample_rows`` rows of each language, the first by a
-    seeded hash of the text; each gives at most SAMPLE_BYTES bytes."""
-    text, lang = F.col(text_col), F.col(lang_col)
-    labelled = docs.select(F.lower(text).alias("t"), lang.alias("l")).where("t is not null and l is not null")
-    labelled = labelled.where(F.col("t").rlike(r"\p{L}"))
-    order = Window.partitionBy("l").orderBy(F.xxhash64("t", F.lit(seed)), "t")
-    picked = (labelled.select(F.substring("t", 1, SAMPLE_BYTES).alias("t"), "l")
+    seeded hash of id and text; each gives at most SAMPLE_BYTES bytes.
+
+    Rows are counted first, and only a hash range that holds about four times
+    the sample enters the ranking, whatever the size of the table.
+    """
+    keys = [F.col(c) for c in (id_col, text_col) if c]
+    labelled = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"),
+                           F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 1).alias("h"))
+    labelled = labelled.where("t is not null and l is not null")
+    shares = labelled.groupBy("l").agg(F.least(F.lit(1.0), F.lit(4.0 * sample_rows) / F.count("*")).alias("share"))
+    ranged = labelled.join(shares, "l").where(F.col("h") <= F.col("share") * float(2**63 - 1))
+    ranged = ranged.where(F.col("t").rlike(r"\p{L}"))
+    order = Window.partitionBy("l").orderBy("h", "t")
+    picked = (ranged.select(F.substring(F.lower("t"), 1, SAMPLE_BYTES).alias("t"), "l", "h")
               .withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample_rows))
     return fit_rows([(r.t, r.l) for r in picked.select("t", "l").collect()], seed)
 
@@ -220,7 +228,7 @@ def held_out(id_col: str) -> Column:
 
 def fit_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on the rows that are not held out."""
-    return fit(docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)), text_col, lang_col)
+    return fit(docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)), text_col, lang_col, id_col)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
