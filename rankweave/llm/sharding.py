@@ -71,7 +71,7 @@ def propagate(state: DataFrame, quota: int, shards: int, rounds: int = ROUNDS) -
     return state
 
 
-def _levelled(loads: list[int], amount: int) -> list[int]:
+def _levelled(loads: list[int], amount: int) -> list[float]:
     """Shares of ``amount`` that level the loads from below."""
     order, level, filled = sorted(loads), 0.0, 0
     for k, low in enumerate(order, 1):
@@ -79,13 +79,7 @@ def _levelled(loads: list[int], amount: int) -> list[int]:
         level = (amount + filled) / k
         if k == len(order) or level <= order[k]:
             break
-    exact = [max(0.0, level - x) for x in loads]
-    shares, left = [int(x) for x in exact], amount
-    for i in range(len(shares)):
-        shares[i] = min(shares[i], left)
-        left -= shares[i]
-    shares[max(range(len(exact)), key=exact.__getitem__)] += left
-    return shares
+    return [max(0.0, level - x) for x in loads]
 
 
 def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS,
@@ -134,16 +128,16 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     loads, edges = _loads(placed, F.col("size"), shards), []
     middle = F.col("before") + F.col("size") / 2
     for c in sorted(amounts, reverse=True):
-        ends, at = [], 0
+        ends, at = [], 0.0
         for share in _levelled(loads, amounts[c]):
             at += share
             ends.append(at)
         edges.append((c, ends[:-1]))
-        found = F.size(F.filter(F.array(*[F.lit(e) for e in ends[:-1]]).cast("array<long>"), lambda e: e <= middle))
+        found = F.size(F.filter(F.array(*[F.lit(e) for e in ends[:-1]]).cast("array<double>"), lambda e: e <= middle))
         added = _loads(pool.where(F.col("class") == c).select("size", found.alias("shard")), F.col("size"), shards)
         loads = [x + y for x, y in zip(loads, added)]
     # one row for each size class: at most 64
-    table = F.broadcast(spark.createDataFrame(edges, "class int, ends array<long>"))
+    table = F.broadcast(spark.createDataFrame(edges, "class int, ends array<double>"))
     filled = pool.join(table, "class").withColumn("shard", F.size(F.filter("ends", lambda e: e <= middle)))
     done = materialize(placed.unionByName(filled.select("id", "size", "crc", "order", "shard")), "shard-done")
     slots = running_before(done, ["shard"], "order", F.lit(1), "slot", ["id"])
