@@ -36,8 +36,8 @@ MIN_LITERAL = 3
 MIN_SHARE = 0.5
 MIN_TOKENS = 13
 MAP_BITS = 24
-CHUNK_CHARS = 1 << 21
-CACHED_WORDS = 1 << 20
+CHUNK_CHARS = 1 << 19
+CACHED_WORDS = 1 << 17
 
 # Unit words, and number words of English.
 UNITS = frozenset("""

@@ -31,7 +31,7 @@ HASH_BITS = 18
 ORDERS = (1, 2, 3, 4)
 EPOCHS = 4
 STEP, SHRINK = 0.5, 1e-4
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
 
 # Language families by ISO 639-1 code; a language not listed is a family of its own.
 FAMILIES = {
