@@ -1,20 +1,18 @@
 """Column -> Column text functions: tag stripping, entity decoding, boilerplate
 cleaning, URL handling and tokenisation.
 
-Everything here is a plain Spark SQL expression (JVM side, whole-stage codegen)
-except :func:`decode_entities_exact`, an Arrow-batched pandas UDF kept for
-callers that need every HTML5 entity.
+Everything here is a plain Spark SQL expression (JVM side, no Python rows).
 """
 
 from __future__ import annotations
 
 import html
+import json
 from collections.abc import Callable
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the behaviour being matched; kept together, in
@@ -33,20 +31,15 @@ TAG_LAZY = r"<[^\n]*?>"
 # URL runs: scheme or www., then only characters legal in a URL.
 URL_PATTERN = r"(?i)(?:https?://|www\.)[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+"
 # URL fragments are split on anything but ASCII letters/digits and Hangul syllables.
-URL_SPLIT = r"[^0-9a-zA-Z\x{AC00}-\x{D7A3}]+"
+URL_SPLIT = r"[^0-9a-zA-Z가-힣]+"
 # Scheme and domain-suffix fragments that carry no topic.
 URL_NOISE = ["http", "https", "www", "com", "net", "org", "co", "kr", "html", "htm", "php"]
 # Lexical token: a run of letters and digits (re-aimed lexer, see README).
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
-# Common named / numeric entities decoded JVM-side; ``&amp;`` last so the chain
-# equals a single decoding pass.
-COMMON_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-    ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
-    ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"),
-    ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"),
-]
+# A character reference: numeric, or a name of at most 32 characters; ``;`` may lack.
+ENTITY_PATTERN = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# The references that occur most, looked up before the whole table.
+FREQUENT_ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": "\xa0"}
 # Boilerplate notices removed from extracted page text, in this order.
 BOILERPLATE_PATTERNS = [
     r"(?iu)Copyright" + PY_WS + r"*[ⓒ©Cc][^\n]{0,100}",
@@ -69,35 +62,63 @@ def _col(c: Column | str) -> Column:
 # Entities and tags
 # ---------------------------------------------------------------------------
 
-def decode_entities(c: Column | str) -> Column:
-    """Decode the common HTML entities with a JVM-side replace chain."""
-    out = _col(c)
-    for ent, ch in COMMON_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+# Tables of the public HTML5 standard as the standard library holds them: all
+# names (with and without ``;``), names that may lack it (longest first), and
+# the numeric references below 160 that do not stand for their own code point.
+NAMED = json.dumps(html5)
+OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+LOW_CODES = json.dumps({str(n): html.unescape(f"&#{n};") for n in range(160) if html.unescape(f"&#{n};") != chr(n)})
+LAST_CODE = 0x10FFFF
+
+
+def _code_point(number: Column) -> Column:
+    """Character of a numeric reference (long; above the last code point for
+    all that are too large)."""
+    table = F.from_json(F.lit(LOW_CODES), "map<string,string>")
+    hidden = number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(0xFFFE) == 0xFFFE)
+    character = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return (F.when((number > LAST_CODE) | number.between(0xD800, 0xDFFF), "\ufffd")
+            .when(hidden, "").when(number < 160, F.coalesce(F.element_at(table, number.cast("string")), character))
+            .otherwise(character))
+
+
+def _reference(ref: Column) -> Column:
+    """What one character reference stands for; itself if nothing."""
+    too_large = F.lit(LAST_CODE + 1).cast("long")
+    digits = F.regexp_extract(ref, "^&#0*([0-9]*)", 1)
+    hexes = F.regexp_extract(ref, "^&#[xX]0*([0-9a-fA-F]*)", 1)
+    decimal = F.when(F.length(digits) > 9, too_large).otherwise(F.concat(F.lit("0"), digits).cast("long"))
+    sixteen = F.when(F.length(hexes) > 8, too_large).otherwise(F.conv(F.concat(F.lit("0"), hexes), 16, 10).cast("long"))
+    names = F.from_json(F.lit(NAMED), "map<string,string>")
+    whole = F.element_at(names, F.substring(ref, 2, 40))
+    start = F.regexp_extract(ref, f"^&({OPEN_NAMES})", 1)
+    part = F.when(start != "", F.concat(F.element_at(names, start), F.substr(ref, F.length(start) + 2)))
+    out = None
+    for entity, character in FREQUENT_ENTITIES.items():
+        out = (F if out is None else out).when(ref == entity, F.lit(character))
+    return (out.when(ref.rlike("^&#[xX]"), _code_point(sixteen)).when(ref.rlike("^&#"), _code_point(decimal))
+            .otherwise(F.coalesce(whole, part, ref)))
 
 
-@F.pandas_udf(StringType())
-def _unescape_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: html.unescape(v) if isinstance(v, str) and "&" in v else v)
-
-
-def decode_entities_exact(c: Column | str) -> Column:
-    """Full HTML5 entity decoding (Arrow pandas UDF; slow path)."""
-    return _unescape_udf(_col(c))
+def decode_entities(c: Column | str) -> Column:
+    """Decode every HTML5 character reference, in one pass and JVM-side: the
+    references are looked up one by one between the pieces of text they part."""
+    text = _col(c)
+    refs = F.regexp_extract_all(text, F.lit(ENTITY_PATTERN), F.lit(0))
+    gaps = F.split(text, ENTITY_PATTERN, -1)
+    pieces = F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(refs)).alias("gap"), refs.alias("ref")),
+                         lambda z: F.concat(z["gap"], _reference(z["ref"])))
+    return F.when(F.contains(text, F.lit("&")), F.concat(F.array_join(pieces, ""), F.element_at(gaps, -1))).otherwise(text)
 
 
-def strip_tags(c: Column | str, lazy: bool = False, exact_entities: bool = False) -> Column:
+def strip_tags(c: Column | str, lazy: bool = False) -> Column:
     """Delete tags (no replacement), then decode entities."""
-    pattern = TAG_LAZY if lazy else TAG_CLASS
-    removed = F.regexp_replace(_col(c), pattern, "")
-    return decode_entities_exact(removed) if exact_entities else decode_entities(removed)
+    return decode_entities(F.regexp_replace(_col(c), TAG_LAZY if lazy else TAG_CLASS, ""))
 
 
-def strip_tags_spaced(c: Column | str, exact_entities: bool = False) -> Column:
+def strip_tags_spaced(c: Column | str) -> Column:
     """Each tag becomes a space, then decode entities."""
-    removed = F.regexp_replace(_col(c), TAG_CLASS, " ")
-    return decode_entities_exact(removed) if exact_entities else decode_entities(removed)
+    return decode_entities(F.regexp_replace(_col(c), TAG_CLASS, " "))
 
 
 # ---------------------------------------------------------------------------
@@ -166,25 +187,24 @@ def tokens_from_cleaned(cleaned: Column, lexer: Tokenizer | None = None) -> Colu
     return F.concat(lex, url_part(cleaned))
 
 
-def clean_for_tokens(c: Column | str, exact_entities: bool = False) -> Column:
-    return strip_tags_spaced(F.coalesce(_col(c), F.lit("")), exact_entities=exact_entities)
+def clean_for_tokens(c: Column | str) -> Column:
+    return strip_tags_spaced(F.coalesce(_col(c), F.lit("")))
 
 
-def tokenize(c: Column | str, lexer: Tokenizer | None = None, exact_entities: bool = False) -> Column:
+def tokenize(c: Column | str, lexer: Tokenizer | None = None) -> Column:
     """Tags -> spaces, entities decoded, URLs pulled out; lexical tokens
     of the remainder followed by the URL tokens. ``lexer`` replaces the
     lexical step (e.g. a pandas UDF wrapping a morphological analyser).
     For large tables prefer :func:`with_tokens`, which cleans each text once."""
-    return tokens_from_cleaned(clean_for_tokens(c, exact_entities), lexer)
+    return tokens_from_cleaned(clean_for_tokens(c), lexer)
 
 
-def with_tokens(df, text: Column | str, out_col: str = "tokens", lexer: Tokenizer | None = None,
-                exact_entities: bool = False):
+def with_tokens(df, text: Column | str, out_col: str = "tokens", lexer: Tokenizer | None = None):
     """DataFrame form of :func:`tokenize`: the cleaned text is its own
     projection, so the entity chain runs once per row (Spark does not inline a
     non-trivial expression that is used twice)."""
     tmp = "__cleaned"
-    return (df.withColumn(tmp, clean_for_tokens(text, exact_entities))
+    return (df.withColumn(tmp, clean_for_tokens(text))
             .withColumn(out_col, tokens_from_cleaned(F.col(tmp), lexer)).drop(tmp))
 
 

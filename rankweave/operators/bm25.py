@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 from ..functions.text import Tokenizer, tokenize, with_tokens
 from ..session import cut_lineage
 
-# Query-term rows (a request batch) up to which the batch is broadcast to the
-# postings scan instead of shuffling the postings by term.
-BROADCAST_QUERY_TERMS = 2_000_000
+# Folders by term that a stored index is divided into.
+TERM_SHARDS = 16
 
 # Fixed BM25 parameters (Okapi, with the epsilon floor for negative idf).
 K1 = 1.5
@@ -48,21 +47,33 @@ class BM25Index:
     dfs: DataFrame | None = None      # by..., term, df (every term of the corpus)
 
     def persist(self, path: str) -> "BM25Index":
-        """Write the tokenised postings once (parquet, in the shared folder) and
-        derive every other index table from the written files, so the corpus is
-        tokenised a single time and many query batches reuse the result."""
+        """Write the index once (parquet, in the shared folder) and read every
+        table from the files: entries in folders by term shard (a batch of
+        queries reads the shards of its terms only), docs, terms and the
+        statistics row. A corpus without documents is an error.
+
+        The rebalance hint lets Spark split the shard of a frequent term over
+        tasks."""
         spark = self.postings.sparkSession
         src = self.entries if self.entries is not None else self.postings
-        src.write.mode("overwrite").parquet(f"{path}/entries")
-        idx = index_from_entries(spark.read.parquet(f"{path}/entries"), self.by, self.id_col)
+        (src.withColumn("shard", term_shard(F.col("term"))).hint("rebalance", F.col("shard"))
+         .write.mode("overwrite").partitionBy("shard").parquet(f"{path}/entries"))
+        entries = spark.read.parquet(f"{path}/entries")
+        idx = index_from_entries(entries, self.by, self.id_col)
+        idx.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        docs = spark.read.parquet(f"{path}/docs")
+        if docs.isEmpty():
+            raise ValueError("the corpus has no documents")
+        idx = index_from_entries(entries, self.by, self.id_col, docs)
+        idx.stats.write.mode("overwrite").parquet(f"{path}/stats")
         idx.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        return BM25Index(idx.postings, idx.docs, spark.read.parquet(f"{path}/terms"), idx.stats,
-                         self.by, self.id_col, idx.entries)
+        return BM25Index(idx.postings, docs, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/stats"),
+                         self.by, self.id_col, entries)
 
 
-def tokenize_column(df: DataFrame, text_col: str, out_col: str = "tokens",
-                    lexer: Tokenizer | None = None) -> DataFrame:
-    return df.withColumn(out_col, tokenize(F.col(text_col), lexer=lexer))
+def term_shard(term: F.Column) -> F.Column:
+    """Folder of a term's postings; the rows of empty documents (no term) are in folder 0."""
+    return F.coalesce(F.pmod(F.xxhash64(term), F.lit(TERM_SHARDS)), F.lit(0)).cast("int")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -103,10 +114,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "toke
     return index_from_entries(entries, by, id_col)
 
 
-def index_from_entries(entries: DataFrame, by: list[str], id_col: str) -> BM25Index:
+def index_from_entries(entries: DataFrame, by: list[str], id_col: str, docs: DataFrame | None = None) -> BM25Index:
+    """Index over the entries; ``docs`` (keys, dl) if it is stored."""
     keys = by + [id_col]
     postings = entries.filter(F.col("term").isNotNull())
-    doc_len = entries.groupBy(*keys).agg(F.max("dl").alias("dl"))
+    doc_len = docs if docs is not None else entries.groupBy(*keys).agg(F.max("dl").alias("dl"))
     df_tab = postings.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
     if by:
         corpus = doc_len.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
@@ -116,13 +128,13 @@ def index_from_entries(entries: DataFrame, by: list[str], id_col: str) -> BM25In
         stats = corpus.join(mean, by, "left")
         terms = raw.join(mean, by).select(*by, "term", "df", idf_value(F.col("idf_raw"), F.col("mean_idf")).alias("idf"))
     else:
-        n = doc_len.select(F.count(F.lit(1))).scalar()
-        raw = df_tab.withColumn("idf_raw", F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-        mean_idf = raw.select(F.avg("idf_raw")).scalar()
-        stats = doc_len.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).select(
-            "n", "avgdl", raw.select(F.avg("idf_raw")).scalar().alias("mean_idf"))
-        terms = raw.select("term", "df", F.when(F.col("idf_raw") < 0, mean_idf * EPSILON)
-                           .otherwise(F.col("idf_raw")).alias("idf"))
+        counted = doc_len.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+        raw = df_tab.crossJoin(counted.select("n")).withColumn(
+            "idf_raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+        # both sides of these cross joins but one are a single row
+        mean = raw.agg(F.avg("idf_raw").alias("mean_idf"))
+        stats = counted.crossJoin(mean)
+        terms = raw.crossJoin(mean).select("term", "df", idf_value(F.col("idf_raw"), F.col("mean_idf")).alias("idf"))
     return BM25Index(postings, doc_len, terms, stats, by, id_col, entries, df_tab)
 
 
@@ -148,20 +160,18 @@ def _contributions(index: BM25Index, qterms: DataFrame, key: str) -> DataFrame:
         # for the query's own terms only (the per-query mean raw idf covers
         # every term), and that small table is broadcast into the postings scan.
         assert by == [key], "candidate mode scores each query against its own corpus"
-        # one row per (query, term) at most joins each side, so the query-term
-        # count bounds the weighted table too: one count proves both sizes
-        small = qterms.count() <= BROADCAST_QUERY_TERMS
-        bc = F.broadcast if small else (lambda d: d)
         raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-        weighted = (bc(qterms).join(index.dfs, by + ["term"]).join(index.stats, by)
+        weighted = (qterms.join(index.dfs, by + ["term"]).join(index.stats, by)
                     .select(*by, "term", "qtf", "avgdl", idf_value(raw, F.col("mean_idf")).alias("idf")))
-        joined = bc(weighted).join(index.postings, by + ["term"])
+        joined = weighted.join(index.postings, by + ["term"])
         avgdl = F.col("avgdl")
     else:
-        # the weighted table has at most one row per query term: count those
-        small = qterms.count() <= BROADCAST_QUERY_TERMS
         weighted = qterms.join(index.terms, "term")
-        joined = (F.broadcast(weighted) if small else weighted).join(index.postings, "term")
+        on = ["term"]
+        if "shard" in index.postings.columns:
+            # the filter marks the side as selective, so that Spark prunes the other's folders by it
+            weighted, on = weighted.where(F.col("qtf") > 0).withColumn("shard", term_shard(F.col("term"))), ["shard", "term"]
+        joined = weighted.join(index.postings, on)
         avgdl = index.stats.select("avgdl").scalar()
     tf = F.col("tf").cast("double")
     norm = tf + K1 * (1 - B + B * F.col("dl") / avgdl)
@@ -191,23 +201,45 @@ def rank_order(score_col: str = "score", tie_cols: tuple[str, ...] = ("doc_id",)
     return [F.round(F.col(score_col), 9).desc()] + [F.col(c).asc() for c in tie_cols]
 
 
-def top_k(index: BM25Index, qterms: DataFrame, queries: DataFrame, k: int,
-          key: str = "query_id", pool_factor: int = 2) -> DataFrame:
-    """B4 in corpus mode: the k best documents per query; zero-score documents
-    (lowest ids first) fill in when fewer than k score above zero.
+def top_k(index: BM25Index, qterms: DataFrame, queries: DataFrame, k: int, key: str = "query_id") -> DataFrame:
+    """B4 in corpus mode: the k best documents per query among all documents;
+    those sharing no term score 0 and come in order of their ids.
 
-    The ``pool_factor * k`` lowest document ids (a bounded ordered take) enter
-    the same aggregation as zero contributions for every query, so one
-    scoring pass yields every candidate for the top k; with no negative
-    scores that pool always holds enough zero-score documents. The
-    ``row_number() <= k`` window is planned as a partial WindowGroupLimit
-    before the exchange on the query key."""
+    The best k documents with a term are ranked first (``row_number() <= k`` is
+    planned as a partial WindowGroupLimit before the exchange on the query
+    key). Only queries with fewer than k scores above zero can have a document
+    without a term among their k best: for them the first k + m documents by
+    id are taken, m being the documents that hold a term, and those m removed,
+    so that k remain for any corpus."""
     idc = index.id_col
-    pool_ids = index.docs.select(idc).orderBy(idc).limit(pool_factor * k).agg(F.collect_list(idc)).scalar()
-    pool = (queries.select(key).distinct().withColumn("_pool", pool_ids)
-            .select(key, F.explode("_pool").alias(idc), F.lit(0.0).alias("c")))
-    scored = (_contributions(index, qterms, key).unionByName(pool)
-              .groupBy(key, idc).agg(F.sum("c").alias("score")))
     w = Window.partitionBy(key).orderBy(*rank_order("score", (idc,)))
-    return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    best = (score(index, qterms, key).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select(key, idc, "score"))
+    best = cut_lineage(best)
+    above = best.groupBy(key).agg(F.sum((F.round("score", 9) > 0).cast("int")).alias("above"))
+    short = cut_lineage(queries.select(key).distinct().join(above, key, "left")
+                        .where(F.coalesce("above", F.lit(0)) < k).select(key))
+    if not short.isEmpty():
+        matched = cut_lineage(score(index, qterms.join(short, key, "left_semi"), key).select(key, idc))
+        m = matched.groupBy(key).agg(F.count(F.lit(1)).alias("m"))
+        wanted = short.join(m, key, "left").select(
+            key, F.explode(F.sequence(F.lit(0), F.lit(k - 1) + F.coalesce("m", F.lit(0)))).alias("place"))
+        first = Window.partitionBy(key).orderBy(idc)
+        fill = (wanted.join(numbered(index.docs.select(idc), idc), "place").join(matched, [key, idc], "left_anti")
+                .withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k)
+                .select(key, idc, F.lit(0.0).alias("score")))
+        best = best.unionByName(fill)
+    return (best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(key, idc, F.col("rank").cast("long").alias("rank"), "score"))
+
+
+def numbered(df: DataFrame, by: str, out: str = "place") -> DataFrame:
+    """Add the row's place (from 0) in the order of ``by`` without one task
+    for all rows: ranges are numbered apart and shifted by the counts before."""
+    ranged = cut_lineage(df.repartitionByRange(by).sortWithinPartitions(by)
+                         .withColumn("_range", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+    ranges = ranged.groupBy("_range").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_range", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (ranged.join(ranges, "_range").withColumn(out, F.col("_row") - F.col("_first") + F.col("_before"))
+            .drop("_range", "_row", "_first", "_before"))

@@ -15,10 +15,12 @@ def term_hits(ranked: DataFrame, q_tokens: DataFrame, d_tokens_col: str = "doc_t
                                          F.col(d_tokens_col))).cast("long"))
 
 
-def mean_hits(rankings: DataFrame, key: str = "query_id") -> DataFrame:
+def mean_hits(hits: DataFrame, lists: DataFrame, key: str = "query_id") -> DataFrame:
     """Mean hits per (query, ranking); a ranking with no docs gives 0.
-    rankings: (key, ranking, pos, hits)."""
-    return rankings.groupBy(key, "ranking").agg(F.coalesce(F.avg("hits"), F.lit(0.0)).alias("mean_hits"))
+    hits: (key, ranking, pos, hits); lists: (key, ranking), all that are judged."""
+    means = hits.groupBy(key, "ranking").agg(F.avg("hits").alias("mean_hits"))
+    return (lists.select(key, "ranking").distinct().join(means, [key, "ranking"], "left")
+            .select(key, "ranking", F.coalesce("mean_hits", F.lit(0.0)).alias("mean_hits")))
 
 
 def same_order(a: DataFrame, b: DataFrame, id_col: str = "item_pos", key: str = "query_id") -> DataFrame:

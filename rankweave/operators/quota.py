@@ -56,7 +56,7 @@ def day_sequence(calls: DataFrame, partitions: int | None = None) -> DataFrame:
     partitions, taken from a small (partition, day) count table. The
     numbered rows are checkpointed so the split and the ids are fixed."""
     spark = calls.sparkSession
-    n_parts = partitions or max(spark.sparkContext.defaultParallelism, 1)
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (calls.withColumn("day", F.to_date("ts"))
                .repartitionByRange(n_parts, "ts", "event_id")
                .sortWithinPartitions("ts", "event_id")
@@ -94,34 +94,47 @@ def quota_assign(calls: DataFrame, keys: DataFrame) -> DataFrame:
                       assigned.alias("key_name"))
 
 
-def usage_report(assigned: DataFrame, keys: DataFrame, registry: DataFrame, day: str) -> DataFrame:
-    """A4: for every source of a shared key group and every key: today's count,
-    limit, ratio (0 when the limit is 0) and remaining calls. Sources sharing
-    the keys repeat the same numbers."""
-    counts = assigned.filter(F.col("day") == day).groupBy("key_name").agg(F.count(F.lit(1)).alias("count"))
+def usage_report(calls: DataFrame, keys: DataFrame, registry: DataFrame, day: str) -> DataFrame:
+    """A4: for every source of a shared key group and every key: the endpoint,
+    the day's count, limit, ratio (0 when the limit is 0) and remaining calls
+    (sources sharing the keys repeat the same numbers); for every source
+    without a key group one row with the count of its own calls (the key that
+    the registry's ``call_key`` names) and no limit. Only the calls of the day
+    are numbered."""
+    today = calls.filter(F.to_date("ts") == F.lit(day).cast("date"))
+    counts = quota_assign(today, keys).groupBy("key_name").agg(F.count(F.lit(1)).alias("count"))
     per_key = keys.join(counts, "key_name", "left").select(
         "key_name", "idx", "daily_limit", F.coalesce("count", F.lit(0)).alias("count"))
-    srcs = registry.filter(F.col("shared_key_group").isNotNull()).select("engine", "pos")
+    srcs = registry.filter(F.col("shared_key_group").isNotNull()).select("engine", "endpoint", "pos")
     ks = per_key.agg(F.sort_array(F.collect_list(F.struct("idx", "key_name", "daily_limit", "count"))).alias("k"))
-    rows = srcs.select("engine", "pos", F.explode(ks.select("k").scalar()).alias("s")).select(
-        "engine", "pos", "s.*")
+    rows = srcs.select("engine", "endpoint", "pos", F.explode(ks.select("k").scalar()).alias("s")).select(
+        "engine", "endpoint", "pos", "s.*")
     ratio = F.when(F.col("daily_limit") == 0, F.lit(0.0)).otherwise(F.col("count") / F.col("daily_limit"))
-    return rows.select("engine", "key_name", "count", "daily_limit", F.round(ratio, 6).alias("ratio"),
-                       F.greatest(F.col("daily_limit") - F.col("count"), F.lit(0)).alias("remaining"))
+    shared = rows.select("engine", "endpoint", "key_name", "count", "daily_limit", F.round(ratio, 6).alias("ratio"),
+                         F.greatest(F.col("daily_limit") - F.col("count"), F.lit(0)).alias("remaining"))
+    own = today.groupBy(F.col("key").alias("call_key")).agg(F.count(F.lit(1)).alias("n"))
+    keyless = (registry.filter(F.col("shared_key_group").isNull()).join(own, "call_key", "left")
+               .select("engine", "endpoint", F.lit(None).cast("string").alias("key_name"), F.coalesce("n", F.lit(0)).alias("count"),
+                       F.lit(None).cast("long").alias("daily_limit"), F.lit(None).cast("double").alias("ratio"),
+                       F.lit(None).cast("long").alias("remaining")))
+    return shared.unionByName(keyless)
 
 
 def write_counts(counts: DataFrame, path: str) -> None:
     """Persist per-day counts partitioned by day; rewriting a day replaces
-    only that day's partition (dynamic partition overwrite)."""
-    spark = counts.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    counts.write.mode("overwrite").partitionBy("day").parquet(path)
+    only that day's partition (dynamic overwrite of this write alone)."""
+    (counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path))
 
 
-def read_counts(spark, path: str) -> DataFrame:
-    """Read counts back; a missing folder means no history."""
+def read_counts(spark, path: str, skip_corrupt: bool = False) -> DataFrame:
+    """Read counts back; a missing folder means no history. Any other
+    failure is raised; ``skip_corrupt`` passes over damaged files."""
+    from pyspark.errors import AnalysisException
+
+    reader = spark.read.schema("key string, n long, day string").option("ignoreCorruptFiles", str(skip_corrupt).lower())
     try:
-        return spark.read.option("basePath", path).parquet(path).select(
-            "key", F.col("day").cast("string").alias("day"), "n")
-    except Exception:  # missing / unreadable store = empty history
+        return reader.parquet(path).select("key", "day", "n")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "key string, day string, n long")

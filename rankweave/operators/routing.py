@@ -26,7 +26,7 @@ def resolve_sources(requests: DataFrame, registry: DataFrame) -> DataFrame:
     registry's default sources in registry order; otherwise the comma list is
     split, stripped, blanks dropped, repeats reduced to the first occurrence
     (``array_distinct`` keeps first-occurrence order). One projection per
-    request plus a broadcast join of the (configuration-sized) registry."""
+    request plus a join of the registry, which Spark broadcasts while it is small."""
     defaults = (registry.filter("is_default")
                 .agg(F.sort_array(F.collect_list(F.struct("pos", "engine"))).alias("d"))
                 .select(F.transform("d", lambda s: s["engine"]).alias("d")))
@@ -37,7 +37,7 @@ def resolve_sources(requests: DataFrame, registry: DataFrame) -> DataFrame:
                  F.when(F.col("engines") == "all", F.col("_defaults")).otherwise(listed)).alias("names")))
     reg = registry.select("engine", F.lit(True).alias("registered"))
     return (names.select("query_id", F.posexplode("names").alias("req_pos", "engine"))
-            .join(F.broadcast(reg), "engine", "left")
+            .join(reg, "engine", "left")
             .select("query_id", "engine", F.col("req_pos").cast("long").alias("req_pos"),
                     F.coalesce("registered", F.lit(False)).alias("registered")))
 
@@ -61,8 +61,37 @@ def fallback_sources(requests: DataFrame, resolved: DataFrame, has_rows: DataFra
                           (F.col("n_req") + F.row_number().over(w) - 1).cast("long").alias("sec_pos"))
 
 
-def outcome_summary(sections: DataFrame) -> DataFrame:
-    """Per query, ``engine=status`` in section order (``ok(n건)`` for ok)."""
+def source_status(sections: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+    """R2: apply reported outcomes to sections (query_id, engine, status,
+    message, n_rows, ...). ``outcomes`` has (query_id, engine, outcome,
+    detail) for calls that did not answer: ``error`` (detail: the error),
+    ``timeout`` (detail: the seconds waited), ``unavailable`` and
+    ``quota_exceeded`` (detail: the message to show). An unregistered name stays unknown whatever is
+    reported; a source with a reported outcome contributes no rows."""
+    if outcomes is None:
+        return sections
+    said = outcomes.select("query_id", "engine", F.col("outcome").alias("_outcome"), F.col("detail").alias("_detail"))
+    failed = F.col("_outcome").isNotNull() & (F.col("status") != "unknown")
+    status = (F.when(F.col("_outcome") == "timeout", "timeout").when(F.col("_outcome") == "error", "error")
+              .otherwise("skip"))
+    detail = F.coalesce("_detail", F.lit(""))
+    message = (F.when(F.col("_outcome") == "timeout", F.concat(detail, F.lit(MSG_TIMEOUT_SUFFIX)))
+               .when(F.col("_outcome") == "error", F.concat(F.lit(MSG_ERROR_PREFIX), detail)).otherwise(detail))
+    return (sections.join(said, ["query_id", "engine"], "left")
+            .withColumn("status", F.when(failed, status).otherwise(F.col("status")))
+            .withColumn("message", F.when(failed, message).otherwise(F.col("message")))
+            .withColumn("n_rows", F.when(failed, F.lit(0)).otherwise(F.col("n_rows")).cast("long"))
+            .drop("_outcome", "_detail"))
+
+
+def answered(rows: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+    """Rows of sources without a reported outcome."""
+    return rows if outcomes is None else rows.join(outcomes.select("query_id", "engine"), ["query_id", "engine"], "left_anti")
+
+
+def outcome_summary(sections: DataFrame, requests: DataFrame) -> DataFrame:
+    """Per request, ``engine=status`` in section order (``ok(n건)`` for
+    ok); a request without sections gets the label for none."""
     label = F.when(F.col("status") == "ok",
                    F.concat(F.col("engine"), F.lit("=ok("), F.col("n_rows").cast("string"),
                             F.lit(OK_COUNT_SUFFIX + ")"))) \
@@ -70,4 +99,5 @@ def outcome_summary(sections: DataFrame) -> DataFrame:
     agg = sections.groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sec_pos", label.alias("l")))),
                                  lambda s: s["l"]), ", ").alias("summary"))
-    return agg.withColumn("summary", F.when(F.col("summary") == "", NO_OUTCOMES).otherwise(F.col("summary")))
+    return requests.select("query_id").distinct().join(agg, "query_id", "left").select(
+        "query_id", F.coalesce("summary", F.lit(NO_OUTCOMES)).alias("summary"))

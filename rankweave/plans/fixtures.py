@@ -20,8 +20,12 @@ EXCLUDED_KEYWORDS = ["whst", "ación", "über"]
 NOW = "2024-01-31 00:00:00"
 N_ENGINES = 4
 REQUEST_CYCLE = ["all", "e0", "e1, e2", "nope", "", "e3,nope"]
-# engine, registry position, default member of 'all', shared key group
-SOURCES = [("e0", 0, True, None), ("e1", 1, True, "g"), ("e2", 2, True, "g"), ("e3", 3, False, "g")]
+# engine, outcome and detail of a call that did not answer, by query_id % 5
+OUTCOME_CYCLE = [("", "", ""), ("e0", "error", "connection reset"), ("e1", "timeout", "8"),
+                 ("e2", "quota_exceeded", "all keys near their limit"), ("e3", "unavailable", "no key configured")]
+# engine, registry position, default member of 'all', shared key group, endpoint, key of its calls if it needs none
+SOURCES = [("e0", 0, True, None, None, "view"), ("e1", 1, True, "g", "news", None), ("e2", 2, True, "g", "webkr", None),
+           ("e3", 3, False, "g", "blog", None)]
 # key_name, idx, daily_limit, threshold
 KEYS = [("k1", 0, 100, 0.8), ("k2", 1, 100, 0.8), ("k3", 2, 100, 0.8)]
 KEYWORD_MIN_LEN = 6
@@ -115,10 +119,20 @@ def requests_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         "engines", F.element_at(cycle, (F.col("query_id") % len(REQUEST_CYCLE) + 1).cast("int")))
 
 
+def outcomes_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, engine, outcome, detail): calls that did not answer, one
+    source of most queries by query_id % 5."""
+    said = F.element_at(F.array(*[F.struct(*[F.lit(x) for x in o]) for o in OUTCOME_CYCLE]),
+                        (F.col("query_id") % len(OUTCOME_CYCLE) + 1).cast("int"))
+    rows = queries_fx(spark, sf_dir).select("query_id", said.alias("o"))
+    return rows.select("query_id", F.col("o.col1").alias("engine"), F.col("o.col2").alias("outcome"),
+                       F.col("o.col3").alias("detail")).where("engine <> ''")
+
+
 def sources_fx(spark: SparkSession) -> DataFrame:
-    """Registry (engine, pos, is_default, shared_key_group) — a configuration table."""
+    """Registry (engine, pos, is_default, shared_key_group, endpoint, call_key) — a configuration table."""
     return spark.createDataFrame(
-        SOURCES, "engine string, pos long, is_default boolean, shared_key_group string")
+        SOURCES, "engine string, pos long, is_default boolean, shared_key_group string, endpoint string, call_key string")
 
 
 def keys_fx(spark: SparkSession) -> DataFrame:

@@ -191,11 +191,10 @@ def q_counts_roundtrip(spark, sf):
 
 @query("strip_tags")
 def q_strip_tags(spark, sf):
-    p = news_payloads(spark, sf)
-    it = p.select("query_id", F.posexplode(F.from_json("payload", news.PAYLOAD_SCHEMA)["items"]).alias("p", "it"))
-    return it.select("query_id", (F.col("p") + 1).cast("long").alias("item_pos"),
-                     T.strip_tags(F.col("it.title")).alias("title_class"),
-                     T.strip_tags(F.col("it.title"), lazy=True).alias("title_lazy"))
+    docs = read_table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    pages = pages_df(spark, sf).select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    return docs.unionByName(pages).select("kind", "id", T.strip_tags("text").alias("class_form"),
+                                          T.strip_tags("text", lazy=True).alias("lazy_form"))
 
 
 @query("strip_tags_spaced")
@@ -346,7 +345,8 @@ def q_bm25_topk(spark, sf):
 
 def _web(spark, sf, **kw):
     return web_search(fx.requests_fx(spark, sf), fx.sources_fx(spark), fx.candidates_fx(spark, sf),
-                      pages_df(spark, sf), max_results=WEB_MAX_RESULTS, keywords=fx.EXCLUDED_KEYWORDS, **kw)
+                      pages_df(spark, sf), max_results=WEB_MAX_RESULTS, keywords=fx.EXCLUDED_KEYWORDS,
+                      outcomes=fx.outcomes_fx(spark, sf), **kw)
 
 
 def _web_candidates(spark, sf):
@@ -430,7 +430,7 @@ def q_source_status(spark, sf):
 
 @query("outcome_summary")
 def q_outcome_summary(spark, sf):
-    return routing.outcome_summary(_web(spark, sf).sections)
+    return routing.outcome_summary(_web(spark, sf).sections, fx.requests_fx(spark, sf))
 
 
 # ---------------------------------------------------------------------------
@@ -460,8 +460,7 @@ def q_quota_assign(spark, sf):
 
 @query("usage_report")
 def q_usage_report(spark, sf):
-    a = quota.quota_assign(fx.calls_fx(spark, sf), fx.keys_fx(spark))
-    return quota.usage_report(a, fx.keys_fx(spark), fx.sources_fx(spark), TODAY)
+    return quota.usage_report(fx.calls_fx(spark, sf), fx.keys_fx(spark), fx.sources_fx(spark), TODAY)
 
 
 @query("context_assembly")
@@ -515,7 +514,9 @@ def q_ranking_quality(spark, sf):
              .unionByName(by_bm25.withColumn("ranking", F.lit("bm25")))
              .unionByName(rec.withColumn("ranking", F.lit("bm25_recency"))))
     hits = evaluate.term_hits(lists.join(d, ["query_id", "item_pos"]), q)
-    return evaluate.mean_hits(hits).select("query_id", "ranking", r6(F.col("mean_hits")).alias("mean_hits"))
+    names = F.explode(F.array(*[F.lit(n) for n in ("given", "bm25", "bm25_recency")])).alias("ranking")
+    every = fx.queries_fx(spark, sf).select("query_id", names)
+    return evaluate.mean_hits(hits, every).select("query_id", "ranking", r6(F.col("mean_hits")).alias("mean_hits"))
 
 
 @query("ranking_compare")
@@ -540,13 +541,19 @@ def _events_stream(spark, sf):
     return counters.call_stream(spark, sf, "events.parquet", schema)
 
 
+def _stream_to_table(spark, counts, name):
+    path = scratch_path(spark, name)
+    counters.run_to_table(counts, f"{path}/table", f"{path}/checkpoint")
+    return counters.counts_table(spark, f"{path}/table")
+
+
 @query("stream_daily_calls")
 def q_stream_daily_calls(spark, sf):
-    path = counters.run_to_table(counters.daily_counts(_events_stream(spark, sf)), "daily-calls")
-    return counters.daily_report(spark.read.parquet(path))
+    return counters.daily_report(_stream_to_table(spark, counters.daily_counts(_events_stream(spark, sf)), "daily-calls"))
 
 
 @query("stream_interval_calls")
 def q_stream_interval_calls(spark, sf):
-    path = counters.run_to_table(counters.interval_counts(_events_stream(spark, sf)), "interval-calls")
-    return counters.interval_report(spark.read.parquet(path))
+    """Hourly windows keep the report of a month-long log readable."""
+    counts = counters.interval_counts(_events_stream(spark, sf), "1 hour")
+    return counters.interval_report(_stream_to_table(spark, counts, "interval-calls"))

@@ -48,12 +48,14 @@ def web_search(requests: DataFrame, registry: DataFrame, source_rows: DataFrame,
                relevance_on: bool = True, ratio: float = relevance.MIN_SCORE_RATIO,
                fetch_content: bool = True, top_n: int = content.TOP_N, max_chars: int = MAX_CHARS,
                min_useful_chars: int = content.MIN_USEFUL_CHARS, lexer: Tokenizer | None = None,
-               materialize: bool = True) -> WebSearchResult:
+               materialize: bool = True, outcomes: DataFrame | None = None) -> WebSearchResult:
     """R1 -> per source P6/P4 -> R3 fallback -> P7 -> B5 -> P12.
 
     requests (query_id, query, engines); registry (engine, pos, is_default);
     source_rows (query_id, engine, rank, title, url, snippet, ...) is what each
-    source would return for each query; pages (page_id, url, html).
+    source would return for each query; pages (page_id, url, html); outcomes
+    (query_id, engine, outcome, detail) the calls that did not answer: their
+    sources give no rows, and the fallback follows from that.
 
     With ``materialize`` each stage boundary is a reliable checkpoint in the
     shared folder: stages reuse their inputs several times (statuses, fallback,
@@ -64,7 +66,7 @@ def web_search(requests: DataFrame, registry: DataFrame, source_rows: DataFrame,
     m = cut_lineage if materialize else (lambda d: d)
     # P6 first: no source is ever asked for more than fetch_count rows, so
     # only those rows are materialised (the bound reaches the source scan)
-    source_rows = m(filters.overfetch_limit(source_rows, max_results, keywords, overfetch))
+    source_rows = m(routing.answered(filters.overfetch_limit(source_rows, max_results, keywords, overfetch), outcomes))
     requests = requests.select("query_id", "query", "engines")
     resolved = m(routing.resolve_sources(requests, registry))
     first = resolved.select("query_id", "engine", F.col("req_pos").alias("sec_pos"), "registered")
@@ -72,7 +74,7 @@ def web_search(requests: DataFrame, registry: DataFrame, source_rows: DataFrame,
     kept1 = m(kept1)  # read by the fallback test and the final union
     fb = m(routing.fallback_sources(requests, resolved, kept1.select("query_id"), registry))
     kept2, secs2 = _round(source_rows, fb.withColumn("registered", F.lit(True)), max_results, keywords, overfetch)
-    sections = m(secs1.unionByName(secs2))
+    sections = m(routing.source_status(secs1.unionByName(secs2), outcomes))
     rows = m(kept1.unionByName(kept2))
     after_pdf = filters.pdf_filter(rows)
     out = after_pdf

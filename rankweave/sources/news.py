@@ -17,14 +17,30 @@ HOSTED_SNIPPET_CHARS = 200
 RESULT_COLUMNS = ["query_id", "engine", "engine_pos", "rank", "title", "url", "snippet"]
 
 
+# Zone names of mail dates, and the months.
+ZONES = {"UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "AST": "-0400", "ADT": "-0300", "EST": "-0500",
+         "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+DATE_PATTERN = (r"^(?:[A-Za-z]+\.?\s*,?\s+)?(\d{1,2})[ -]([A-Za-z]{3})[A-Za-z]*\.?,?[ -](\d{4}|\d{2})\s+"
+                r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\.\d+)?\s*([+-]\d{4}|[A-Za-z]*)$")
+
+
 def parse_rfc2822(c: Column) -> Column:
-    """RFC-2822 date -> timestamp (UTC instant), null when unparseable.
-    Spark will not parse a weekday name, so it is removed first; a numeric
-    zone uses ``Z``, a named zone such as GMT falls back to ``z``."""
-    s = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", "")
-    return F.coalesce(F.try_to_timestamp(s, F.lit("d MMM yyyy HH:mm:ss Z")),
-                      F.try_to_timestamp(s, F.lit("d MMM yyyy HH:mm:ss z")),
-                      F.try_to_timestamp(s, F.lit("d MMM yyyy HH:mm Z")))
+    """Mail date -> timestamp, null when unparseable. Weekday and seconds may
+    lack, comments in brackets are ignored, years of two digits are 1969 to
+    2068, and a date without a zone, or with an unknown one, is UTC."""
+    s = F.trim(F.regexp_replace(F.regexp_replace(c, r"\([^()]*\)", " "), r"\s+", " "))
+    part = lambda k: F.regexp_extract(s, DATE_PATTERN, k)
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(part(2)))
+    year = F.when(F.length(part(3)) == 4, part(3)).when(part(3) < "69", F.concat(F.lit("20"), part(3))).otherwise(
+        F.concat(F.lit("19"), part(3)))
+    names = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])
+    zone = F.when(part(7).rlike(r"^[+-]"), part(7)).otherwise(F.coalesce(F.element_at(names, F.upper(part(7))), F.lit("+0000")))
+    two = lambda x: F.lpad(x, 2, "0")
+    seconds = F.when(part(6) == "", "00").otherwise(part(6))
+    text = F.concat(year, F.lit("-"), two(month.cast("string")), F.lit("-"), two(part(1)), F.lit(" "), two(part(4)), F.lit(":"),
+                    part(5), F.lit(":"), seconds, F.lit(" "), zone)
+    return F.when(s.rlike(DATE_PATTERN), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss xx")))
 
 
 def _items(payloads: DataFrame, key_cols: list[str], payload_col: str) -> DataFrame:

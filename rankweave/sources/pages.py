@@ -1,11 +1,14 @@
 """Pages table -> article text (P8) and content attach by url.
 
 Main-text contract (our own; a third-party extractor is not matched byte for
-byte): take the ``<article>`` element if present, else ``<body>``, else the
-whole page; remove script, style, nav, header, footer, aside, form, noscript,
-comments and ad blocks; block-level tags become newlines, other tags vanish;
-entities are decoded; whitespace runs inside a line collapse to one space and
-lines are stripped, blank ones dropped.
+byte): script, style, nav, header, footer, aside, form, noscript and HTML
+comments go first, then blocks (div, section, ul, ol with all they hold)
+whose id or class names comments or ads. Of what is left the first
+``<article>`` is taken, else ``<main>``, else ``<body>``, else the whole page;
+a page without an article, main or paragraph has no main text (empty). Block
+tags become newlines, other tags vanish; entities are decoded; white-space
+runs inside a line collapse to one space and lines are stripped, blank ones
+dropped.
 """
 
 from __future__ import annotations
@@ -16,33 +19,49 @@ from pyspark.sql import functions as F
 from ..functions.text import PY_WS, clean_text, decode_entities, truncate_text
 
 # Fixed patterns of the extraction contract.
-ARTICLE_RE = r"(?is)<article\b[^>]*>(.*)</article>"
-BODY_RE = r"(?is)<body\b[^>]*>(.*)</body>"
 DROP_BLOCKS = [
     r"(?is)<!--.*?-->",
-    r"(?is)<script\b[^>]*>.*?</script>",
-    r"(?is)<style\b[^>]*>.*?</style>",
-    r"(?is)<noscript\b[^>]*>.*?</noscript>",
-    r"(?is)<nav\b[^>]*>.*?</nav>",
-    r"(?is)<header\b[^>]*>.*?</header>",
-    r"(?is)<footer\b[^>]*>.*?</footer>",
-    r"(?is)<aside\b[^>]*>.*?</aside>",
-    r"(?is)<form\b[^>]*>.*?</form>",
-    r'(?is)<div\b[^>]*class="[^"]*\bad\b[^"]*"[^>]*>.*?</div>',
+    r"(?is)<(script|style|noscript|nav|header|footer|aside|form)\b[^>]*>.*?</\1\s*>",
 ]
+BLOCK = r"(?i)</?(?:div|section|ul|ol)\b"
+UNWANTED = (r"(?is)^<(?:div|section|ul|ol)\b[^>]*\b(?:id|class)\s*=\s*[\"'](?:[^\"']*[\s_-])?"
+            r"(?:ad|ads|advert|advertisement|comment|comments|commentlist|reply|replies|disqus[a-z_]*)(?:[\s_-][^\"']*)?[\"']")
+ANY_UNWANTED = UNWANTED.replace("^", "", 1)
+ARTICLE_LIKE = r"(?i)<(?:article|main|p)\b"
+PARTS = [r"(?is)<article\b[^>]*>(.*?)</article\s*>", r"(?is)<main\b[^>]*>(.*?)</main\s*>", r"(?is)<body\b[^>]*>(.*)</body\s*>"]
 BLOCK_TAG_RE = (r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|td|th|table|section|article|blockquote|pre|hr)"
                 r"\b[^>]*>")
 ANY_TAG_RE = r"<[^>]+>"
 MAX_CHARS = 3000
 
 
+def drop_unwanted(html: Column) -> Column:
+    """Remove comment and ad blocks with the blocks inside them: pieces from
+    block tag to block tag are passed with the depth below an unwanted one."""
+    pieces = F.split(html, f"(?={BLOCK})")
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+
+    def step(state, piece):
+        closes, opens = piece.startswith("</"), piece.rlike(f"^{BLOCK}")
+        after = F.regexp_replace(piece, r"^[^>]*>", "")
+        entered = (state["depth"] == 0) & piece.rlike(UNWANTED)
+        depth = (F.when(entered, 1).when(state["depth"] == 0, 0).when(~opens, state["depth"])
+                 .when(closes, state["depth"] - 1).otherwise(state["depth"] + 1))
+        kept = (F.when(entered, F.lit(" ")).when(state["depth"] == 0, piece)
+                .when(opens & closes & (state["depth"] == 1), after).otherwise(F.lit("")))
+        return F.struct(depth.cast("int").alias("depth"), F.concat(state["text"], kept).alias("text"))
+
+    return F.when(html.rlike(ANY_UNWANTED), F.aggregate(pieces, start, step, lambda s: s["text"])).otherwise(html)
+
+
 def extract_main_text(html: Column) -> Column:
-    """P8 for one column of raw HTML (JVM-side regular expressions)."""
-    art = F.regexp_extract(html, ARTICLE_RE, 1)
-    body = F.regexp_extract(html, BODY_RE, 1)
-    out = F.coalesce(F.nullif(art, F.lit("")), F.nullif(body, F.lit("")), F.coalesce(html, F.lit("")))
+    """P8 for one column of raw HTML (JVM-side expressions)."""
+    out = F.coalesce(html, F.lit(""))
     for pattern in DROP_BLOCKS:
         out = F.regexp_replace(out, pattern, " ")
+    out = drop_unwanted(out)
+    part = F.coalesce(*[F.nullif(F.regexp_extract(out, p, 1), F.lit("")) for p in PARTS], out)
+    out = F.when(out.rlike(ARTICLE_LIKE), part).otherwise(F.lit(""))
     out = F.regexp_replace(out, BLOCK_TAG_RE, "\n")
     out = F.regexp_replace(out, ANY_TAG_RE, "")
     out = decode_entities(out)

@@ -1,18 +1,23 @@
 """Structured Streaming call counters (ST1, ST2).
 
-The call log is read as a stream; counts are kept in Spark's state store,
-checkpointed in the shared checkpoint folder, so a restarted query resumes
-where it stopped (the counters survive restarts and executor loss).
+The call log is read as a stream; counts are kept in Spark's state store. The
+caller names the table and the checkpoint folder, so a query started again on
+the same paths resumes where it stopped: counters survive restarts and the
+loss of executors. Update mode writes only the days that changed, and the
+watermark lets Spark drop the state of days that can get no more calls.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..session import scratch_path
+from ..operators.quota import read_counts, write_counts
+from ..session import cut_lineage
 
 WATERMARK = "1 day"
+REPORT_EVERY = "60 seconds"
 
 
 def call_stream(spark: SparkSession, folder: str, file_glob: str, schema: str,
@@ -24,49 +29,74 @@ def call_stream(spark: SparkSession, folder: str, file_glob: str, schema: str,
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col(key_col).alias("key"))
 
 
+def window_counts(calls: DataFrame, interval: str, watermark: str = WATERMARK) -> DataFrame:
+    """(key, start, n): calls by key and tumbling event-time window."""
+    w = F.window("ts", interval)
+    counted = calls.withWatermark("ts", watermark).groupBy(w.alias("w"), "key").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("key", F.col("w.start").alias("start"), "n")
+
+
 def daily_counts(calls: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """ST1: per key per UTC day, updated as calls arrive."""
-    return (calls.withWatermark("ts", watermark)
-            .groupBy(F.window("ts", "1 day").alias("w"), "key").agg(F.count(F.lit(1)).alias("n")))
+    return window_counts(calls, "1 day", watermark)
+
+
+def interval_counts(calls: DataFrame, interval: str = REPORT_EVERY, watermark: str = WATERMARK) -> DataFrame:
+    """ST2: per key per reporting interval."""
+    return window_counts(calls, interval, watermark)
+
+
+def _packed(counts: DataFrame) -> DataFrame:
+    """Counts in the shape of the day-partitioned store: (key, n, day)."""
+    at = F.date_format("start", "yyyy-MM-dd HH:mm:ss")
+    return counts.select(F.to_json(F.struct(F.col("key"), at.alias("start")), {"ignoreNullFields": "false"}).alias("key"), "n",
+                         F.date_format("start", "yyyy-MM-dd").alias("day"))
 
 
-def interval_counts(calls: DataFrame, interval: str = "1 hour", watermark: str = WATERMARK) -> DataFrame:
-    """ST2: per key per reporting interval (tumbling event-time window)."""
-    return (calls.withWatermark("ts", watermark)
-            .groupBy(F.window("ts", interval).alias("w"), "key").agg(F.count(F.lit(1)).alias("n")))
+def counts_table(spark: SparkSession, table: str) -> DataFrame:
+    """(key, start, n) of the table that :func:`run_to_table` keeps."""
+    at = F.from_json("key", "key string, start string")
+    return read_counts(spark, table).select(at["key"].alias("key"), F.to_timestamp(at["start"]).alias("start"), "n")
 
 
-def run_to_table(agg: DataFrame, name: str, trigger_once: bool = True,
-                 processing_time: str | None = None) -> str:
-    """Run a streaming aggregate in ``complete`` mode, each micro-batch
-    rewriting a parquet table in the shared folder; returns the table path.
-    With ``trigger_once`` the stream processes what is available and stops
-    (``availableNow``); otherwise it triggers every ``processing_time``."""
-    spark = agg.sparkSession
-    out = scratch_path(spark, f"{name}-table")
-    ckpt = scratch_path(spark, f"{name}-checkpoint")
+def run_to_table(counts: DataFrame, table: str, checkpoint: str, trigger_once: bool = True,
+                 processing_time: str = REPORT_EVERY) -> StreamingQuery:
+    """Run a streaming count in update mode and merge each micro-batch into
+    ``table`` by (day, key): only the days of the batch are rewritten. With
+    ``trigger_once`` what is available is processed (``availableNow``) before
+    the query returns; otherwise it triggers every ``processing_time``."""
+    spark = counts.sparkSession
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def merge(batch: DataFrame, _epoch: int) -> None:
+        new = _packed(batch).persist()
+        days = new.select("day").distinct()
+        # a batch run again gives the same totals, so the merge may be repeated
+        old = read_counts(spark, table).join(days, "day", "left_semi")
+        kept = old.join(new.select("day", "key"), ["day", "key"], "left_anti")
+        # stored before the days it reads from are replaced
+        write_counts(cut_lineage(kept.select("key", "n", "day").unionByName(new)), table)
+        new.unpersist()
 
-    w = agg.writeStream.outputMode("complete").option("checkpointLocation", ckpt).foreachBatch(sink)
-    w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime=processing_time or "60 seconds")
+    w = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(merge)
+    w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime=processing_time)
     q = w.start()
     if trigger_once:
         q.awaitTermination()
-    return out
+    return q
 
 
 def daily_report(table: DataFrame) -> DataFrame:
     """(key, day, n) from an ST1 table."""
-    return table.select("key", F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n")
+    return table.select("key", F.date_format("start", "yyyy-MM-dd").alias("day"), "n")
 
 
 def interval_report(table: DataFrame) -> DataFrame:
-    """(key, interval_start, n, day_total): interval counts plus the running
-    total of the day so far (the periodic hit report)."""
-    from pyspark.sql import Window
-    w = (Window.partitionBy("key", F.to_date("w.start")).orderBy("w.start")
+    """(key, interval_start, n, day_total): for every interval that has calls
+    and every key known, the interval's count (0 without calls) and the
+    running total of the day (the periodic hit report)."""
+    grid = table.select("start").distinct().crossJoin(table.select("key").distinct())
+    w = (Window.partitionBy("key", F.to_date("start")).orderBy("start")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return table.select("key", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("interval_start"), "n",
-                        F.sum("n").over(w).alias("day_total"))
+    filled = grid.join(table, ["start", "key"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return filled.select("key", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("interval_start"), "n",
+                         F.sum("n").over(w).alias("day_total"))
