@@ -56,9 +56,9 @@ class BM25Index:
         tasks."""
         spark = self.postings.sparkSession
         src = self.entries if self.entries is not None else self.postings
-        (src.withColumn("shard", term_shard(F.col("term"))).hint("rebalance", F.col("shard"))
-         .write.mode("overwrite").partitionBy("shard").parquet(f"{path}/entries"))
-        entries = spark.read.parquet(f"{path}/entries")
+        src = src.withColumn("shard", term_shard(F.col("term"))).hint("rebalance", F.col("shard"))
+        src.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/entries")
+        entries = spark.read.schema(src.schema).parquet(f"{path}/entries")
         idx = index_from_entries(entries, self.by, self.id_col)
         idx.docs.write.mode("overwrite").parquet(f"{path}/docs")
         docs = spark.read.parquet(f"{path}/docs")

@@ -21,3 +21,18 @@ def test_content_attach_keeps_rows_without_pages(spark):
     cands = spark.createDataFrame([(1, "u1"), (2, "nope"), (3, None)], "item long, url string")
     got = {r["item"]: r["content"] for r in pg.content_attach(cands, pages).collect()}
     assert got == {1: "Head & line\nFirst para.\nSecond line", 2: "", 3: ""}
+
+
+def test_main_text_of_awkward_pages(spark):
+    pages = [
+        '<body><article><p>Text</p><div id="comments"><div>one<div>two</div></div>three</div><p>End</p></article></body>',
+        '<body><p>A</p><div class="box ad"><div>buy</div> now <div>more</div></div>tail<p>B</p></body>',
+        "<body><article><p>First</p></article><p>between</p><article><p>Second</p></article></body>",
+        "<body><ul><li>Menu</li><li>Contact</li></ul><script>var a = '<p>';</script></body>",
+        '<body><div class="address"><p>Kept</p></div></body>',
+        '<body><DIV CLASS="Comment-List"><p>x</p></DIV><p>y</p></body>',
+        '<body><div class="ad"><p>never closed</p></body>',
+    ]
+    df = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pg.page_text(df).collect()}
+    assert got == {0: "Text\nEnd", 1: "A\ntail\nB", 2: "First", 3: "", 4: "Kept", 5: "y", 6: ""}

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from rankweave.operators import evaluate, quota
@@ -74,4 +76,35 @@ def test_hits_and_mean(spark):
     q = spark.createDataFrame([(1, ["a", "b"])], "query_id long, q_tokens array<string>")
     assert evaluate.term_hits(r, q).first()["hits"] == 1
     empty = spark.createDataFrame([], "query_id long, ranking string, pos long, hits long")
-    assert evaluate.mean_hits(empty).count() == 0
+    every = spark.createDataFrame([(1, "bm25"), (2, "bm25")], "query_id long, ranking string")
+    assert [r["mean_hits"] for r in evaluate.mean_hits(empty, every).collect()] == [0.0, 0.0]
+
+
+def test_usage_report_has_keyless_sources_and_endpoints(spark):
+    import datetime as dt
+    rows = [(i, dt.datetime(2024, 1, 15 + i // 5, 8, i), "free" if i % 2 else "paid") for i in range(8)]
+    calls = spark.createDataFrame(rows, "event_id long, ts timestamp, key string")
+    keys = spark.createDataFrame([("k1", 0, 2, 1.0), ("k2", 1, 10, 1.0)], "key_name string, idx long, daily_limit long, threshold double")
+    reg = spark.createDataFrame([("e0", 0, None, None, "free"), ("e1", 1, "g", "news", None)],
+                                "engine string, pos long, shared_key_group string, endpoint string, call_key string")
+    got = sorted((tuple(r) for r in quota.usage_report(calls, keys, reg, "2024-01-15").collect()), key=str)
+    assert got == [("e0", None, None, 2, None, None, None), ("e1", "news", "k1", 2, 2, 1.0, 0), ("e1", "news", "k2", 3, 10, 0.3, 7)]
+
+
+def test_one_day_is_rewritten_and_the_session_unchanged(spark, tmp_path):
+    path, name = str(tmp_path / "counts"), "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(name)
+    frame = lambda rows: spark.createDataFrame(rows, "key string, day string, n long")
+    assert quota.read_counts(spark, path).count() == 0
+    quota.write_counts(frame([("a", "2024-01-01", 1), ("a", "2024-01-02", 2)]), path)
+    quota.write_counts(frame([("a", "2024-01-02", 5), ("b", "2024-01-02", 6)]), path)
+    assert sorted(tuple(r) for r in quota.read_counts(spark, path).collect()) == [
+        ("a", "2024-01-01", 1), ("a", "2024-01-02", 5), ("b", "2024-01-02", 6)]
+    assert spark.conf.get(name) == before
+    damaged = next((tmp_path / "counts" / "day=2024-01-01").glob("part-*.parquet"))
+    damaged.write_bytes(b"no parquet")
+    for crc in (tmp_path / "counts" / "day=2024-01-01").glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception):
+        quota.read_counts(spark, path).collect()
+    assert quota.read_counts(spark, path, skip_corrupt=True).count() == 2

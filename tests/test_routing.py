@@ -60,8 +60,27 @@ def test_policy_skip_then_fallback(spark):
 
 def test_outcome_summary(spark):
     rows = [(1, "e0", 1, "stock price", "http://a", "stock price up")]
-    r, _, _ = run(spark, "e0,nope", rows)
-    assert routing.outcome_summary(r.sections).first()["summary"] == "e0=ok(1건), nope=unknown"
+    r, _, req = run(spark, "e0,nope", rows)
+    assert routing.outcome_summary(r.sections, req).first()["summary"] == "e0=ok(1건), nope=unknown"
+    none = r.sections.filter("false")
+    assert routing.outcome_summary(none, req).first()["summary"] == "없음"
+
+
+def test_reported_outcomes(spark):
+    rows = [(1, e, 1, "stock price", f"http://{e}", "stock price up") for e in ("e0", "e1", "e2")]
+    said = spark.createDataFrame([(1, "e0", "error", "boom"), (1, "e1", "timeout", "8"), (1, "nope", "error", "x")],
+                                 "query_id long, engine string, outcome string, detail string")
+    r, secs, req = run(spark, "e0,e1,nope", rows, outcomes=said)
+    # nobody answered, so the source not yet tried is asked
+    assert secs == [("e0", "error"), ("e1", "timeout"), ("nope", "unknown"), ("e2", "ok")]
+    assert [x["engine"] for x in r.rows.collect()] == ["e2"]
+    text = render.answer_text(r.rows, r.sections, req).first()["answer"]
+    assert text.startswith("[e0]\n검색 중 오류가 발생했습니다: boom\n\n[e1]\n8초 내에 응답이 없어 건너뛰었습니다.\n\n[nope]\n")
+    limit = spark.createDataFrame([(1, "e0", "quota_exceeded", "all keys near their limit"), (1, "e1", "unavailable", "no key")],
+                                  "query_id long, engine string, outcome string, detail string")
+    r, secs, req = run(spark, "e0,e1,e2", rows, outcomes=limit)
+    assert secs == [("e0", "skip"), ("e1", "skip"), ("e2", "ok")]
+    assert "[e0]\nall keys near their limit" in render.answer_text(r.rows, r.sections, req).first()["answer"]
 
 
 def test_unknown_only_request_falls_back_to_all(spark):

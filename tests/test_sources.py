@@ -23,6 +23,17 @@ def test_news_items_parse(spark):
     assert got == ["2024-01-01 00:00:07", "2024-01-02 00:00:00", None]
 
 
+def test_mail_dates(spark):
+    want = {"Mon, 01 Jan 2024 09:00:00 +0900": "2024-01-01 00:00:00", "Mon, 01 Jan 2024 09:00:00": "2024-01-01 09:00:00",
+            "Monday, 01 January 2024 09:00:00 GMT": "2024-01-01 09:00:00", "01 Jan 24 09:00:00 -0500": "2024-01-01 14:00:00",
+            "1 Jan 69 09:00 UTC": "1969-01-01 09:00:00", "Mon, 01 Jan 2024 09:00:00 +0900 (KST)": "2024-01-01 00:00:00",
+            "Mon, 01 Jan 2024 09:00:00 EST": "2024-01-01 14:00:00", "Mon, 01 Jan 2024 9:05 XYZ": "2024-01-01 09:05:00",
+            "Thu, 30 Feb 2024 09:00:00 GMT": None, "not a date": None, "": None, None: None}
+    df = spark.createDataFrame([(d,) for d in want], "d string")
+    got = df.select("d", F.date_format(news.parse_rfc2822(F.col("d")), "yyyy-MM-dd HH:mm:ss").alias("t")).collect()
+    assert {r.d: r.t for r in got} == want
+
+
 def test_hosted_defaults(spark):
     raw = spark.createDataFrame([(1, 1, None, None, "x" * 250)], "query_id long, rank long, title string, url string, content string")
     r = news.hosted_items(raw).first()

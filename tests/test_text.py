@@ -33,7 +33,27 @@ def test_tag_strip_forms(spark):
     assert one(spark, T.strip_tags, "a<b\nc>d") == "ad"
     # single decoding pass: &amp;lt; -> &lt;
     assert one(spark, T.decode_entities, "&amp;lt;") == "&lt;"
-    assert one(spark, T.decode_entities_exact, "&eacute;&#233;") == "éé"
+
+
+def test_references_equal_the_standard_decoder(spark):
+    import html
+    texts = ["a &amp; b", "caf&eacute; &euro;&#233;&#x1F600;&AMP;&trade;&amp", "&ampfoo &notit; &notin; &copycat &lt&gt;&quot",
+             "&#0;&#128;&#x80;&#xD800;&#x110000;&#99999999999999;&#xFFFE;&#1;&#13;", "&unknown; & && &; &#; &#x; x&", "&nbsp;|&NotEqualTilde;",
+             "&amp;lt;", "&#65&#x42;C", "&" + "a" * 50 + ";", "&frac12x", "", "none", "ing&&& erhe*** of%%% &&&\nx"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.decode_entities("t").alias("d"))
+    assert {r.i: r.d for r in df.collect()} == {i: html.unescape(t) for i, t in enumerate(texts)}
+    assert one(spark, lambda c: T.tokenize(c), "Caf&eacute; <b>x</b>") == ["café", "x"]
+
+
+def test_lexer_hook(spark):
+    import pandas as pd
+
+    @F.pandas_udf("array<string>")
+    def halves(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [w[i:i + 2] for w in t.split() for i in range(0, len(w), 2)])
+
+    got = one(spark, lambda c: T.tokenize(c, lexer=halves), "<b>abcd</b> ef http://news.site.org/topic")
+    assert got == ["ab", "cd", "ef", "news", "site", "topic"]
 
 
 def test_clean_text(spark):
