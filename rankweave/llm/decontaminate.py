@@ -37,7 +37,7 @@ MIN_SHARE = 0.5
 MIN_TOKENS = 13
 MAP_BITS = 24
 CHUNK_CHARS = 1 << 19
-CACHED_WORDS = 1 << 17
+CACHED_WORDS = 1 << 19
 
 # Unit words, and number words of English.
 UNITS = frozenset("""
@@ -97,7 +97,7 @@ def _hashes(codes: np.ndarray, length: int) -> np.ndarray:
 
 
 def _literal(codes: np.ndarray) -> np.ndarray:
-    return ~np.isin(codes, np.array(list(SLOTS.values()), np.uint64))
+    return ~np.logical_or.reduce([codes == np.uint64(c) for c in SLOTS.values()])
 
 
 def _pieces(text: str) -> Iterator[list[str]]:
@@ -157,11 +157,12 @@ _ARROW_TYPE = pa.list_(pa.struct([("pos", pa.int64()), ("hash", pa.int64()), ("k
 
 
 def _windows_udf(text: Column, lengths: list[int], bits) -> Column:
-    def of(texts: pa.Array) -> pa.Array:
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache, found = _Codes(), None if bits is None else bits.value
-        return pa.array((windows(x.as_py(), lengths, found, cache) for x in texts), _ARROW_TYPE)
+        for texts in batches:
+            yield pa.array((windows(x.as_py(), lengths, found, cache) for x in texts), _ARROW_TYPE)
 
-    return F.arrow_udf(of, WINDOW_TYPE)(text)
+    return F.arrow_udf(of, WINDOW_TYPE, F.ArrowUDFType.SCALAR_ITER)(text)
 
 
 def _token_counts(text: Column) -> Column:
