@@ -1,3 +1,41 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express. The
+others are tested against brute force (tests/llm): fitted classifiers, hashes
+that DuckDB lacks, and iterations."""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_embeddings": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+reached(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+low AS (SELECT a, min(b) AS b FROM reached GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+out AS (
+  SELECT e.vec_id, coalesce(d.n, 0) AS n_links, least(e.vec_id, coalesce(l.b, e.vec_id)) AS component_id
+  FROM embeddings e LEFT JOIN degree d ON d.a = e.vec_id LEFT JOIN low l ON l.a = e.vec_id)
+SELECT *, vec_id = component_id AS kept FROM out
+""",
+    "op3_linededup": r"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+plain AS (
+  SELECT *, lower(trim(regexp_replace(line, '[\t\x0B-\r ]+', ' ', 'g'), ' ')) AS form FROM lines),
+wide AS (
+  SELECT form FROM plain WHERE source IS NOT NULL AND regexp_matches(form, '[\p{L}0-9]')
+  GROUP BY form HAVING count(DISTINCT source) >= 5),
+marked AS (SELECT p.*, w.form IS NOT NULL AS gone FROM plain p LEFT JOIN wide w ON w.form = p.form),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS text, count(*) AS n_lines,
+         count(*) FILTER (WHERE gone) AS n_removed FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+""",
+}
