@@ -4,12 +4,15 @@ Sources in code-point order (null last) get the weights in turn. A target is
 ``level x weight``, clamped at ``max_epochs`` times the source's size; the
 excess of clamped sources raises the level until no source is above its
 clamp. A source then takes whole repetitions of all its documents and, for
-the fraction left, one more of those first in the order of a seeded hash, up
-to the document in whose middle the target falls.
+the fraction left, one more of a part of them: long, middle and short documents
+each give that fraction of their words, those first in the order of a seeded
+hash, up to the document in whose middle the bound falls; what one kind gives
+too much or too little the next makes up for, so the error left is that of a
+short document.
 
-Built from DataFrame functions. A decision is one hash bound for each source,
-so rows are decided where they are; the driver sees two sums in each round of
-the water-filling.
+Built from DataFrame functions. A decision is one hash bound for each source
+and kind, so rows are decided where they are; the driver sees two sums in each
+round of the water-filling.
 
 Nulls and ties: a null text has size 0; a null source is a source; a source
 of size 0 has target 0 and its documents are taken 0 times as words. Rows
@@ -29,12 +32,19 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2.0
 SEED = 20
+#: least words of a long and of a middle document
+KINDS = (512, 64)
 
 
 def _hash(row: str, id_col: str, text_col: str, source_col: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(f"{row}`{c}`") for c in (id_col, source_col, text_col)])
 
 
+def kind_of(size: Column) -> Column:
+    """0: long, 1: middle, 2: short."""
+    return F.when(size >= KINDS[0], 0).when(size >= KINDS[1], 1).otherwise(2)
+
+
 def number_in_order(df: DataFrame, by: Column, out: str, name: str) -> DataFrame:
     """Add ``out``: the row's place (from 0) in the order of ``by``, without
     one task for all rows: ranges are numbered apart and shifted by the counts
@@ -66,8 +76,8 @@ def water_level(sources: DataFrame, budget: float) -> float:
 def plan_mix(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
              max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """One row per source of the stored table ``rows`` (source, size, order):
-    source, source_size, target, whole repetitions and ``cut``, the largest
-    order that is taken once more (null: none)."""
+    source, source_size, target, whole repetitions and ``cuts``, by kind of
+    document the largest order that is taken once more (null: none)."""
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = number_in_order(totals, F.col("source").asc_nulls_last(), "rank", "mix-ranks")
     pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
@@ -82,21 +92,30 @@ def plan_mix(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
         .select("source", "source_size", "target", "whole", F.xxhash64("source", F.col("source").isNull()).alias("sid"),
                 (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest")), "mix-targets")
     units = materialize(
-        rows.groupBy(F.xxhash64("source", F.col("source").isNull()).alias("sid"), "order").agg(F.sum("size").alias("size")),
-        "mix-units")
-    placed = running_before(units, ["sid"], "order", F.col("size"), "before")
-    cuts = (placed.join(planned.select("sid", "rest"), "sid")
-            .where((F.col("before") + F.col("size") / 2 <= F.col("rest")) & (F.col("rest") > 0))
-            .groupBy("sid").agg(F.max("order").alias("cut")))
-    return materialize(planned.join(cuts, "sid", "left")
-                       .select("source", "source_size", "target", "whole", "cut"), "mix-plan")
+        rows.groupBy(F.xxhash64("source", F.col("source").isNull()).alias("sid"), kind_of(F.col("size")).alias("kind"), "order")
+        .agg(F.sum("size").alias("size")), "mix-units")
+    placed = materialize(running_before(units, ["sid", "kind"], "order", F.col("size"), "before"), "mix-placed")
+    words = placed.groupBy("sid", "kind").agg(F.sum("size").alias("words"))
+    part = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
+    state = planned.withColumn("part", part).withColumn("owed", F.lit(0.0)).withColumn("cuts", F.array().cast("array<long>"))
+    for kind in range(len(KINDS) + 1):
+        own = words.where(F.col("kind") == kind).select("sid", "words")
+        bound = F.when(F.col("rest") > 0, F.col("part") * F.coalesce("words", F.lit(0)) + F.col("owed")).otherwise(0.0)
+        bounded = state.join(own, "sid", "left").withColumn("bound", bound).drop("words")
+        taken = (placed.where(F.col("kind") == kind).join(bounded.select("sid", "bound"), "sid")
+                 .where((F.col("bound") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("bound")))
+                 .groupBy("sid").agg(F.max("order").alias("cut"), F.sum("size").alias("took")))
+        state = materialize(
+            bounded.join(taken, "sid", "left").withColumn("owed", F.col("bound") - F.coalesce("took", F.lit(0)))
+            .withColumn("cuts", F.concat("cuts", F.array("cut"))).drop("bound", "cut", "took"), "mix-state")
+    return state.select("source", "source_size", "target", "whole", "cuts")
 
 
 def _decided(rows: DataFrame, plan: DataFrame, source: str) -> DataFrame:
-    """Add source_size, target and ``__times`` to rows that hold ``__order``."""
+    """Add source_size, target and ``__times`` to rows that hold ``__order`` and ``__kind``."""
     plan = plan.select(F.col("source").alias("__source"), "source_size", "target", F.col("whole").alias("__whole"),
-                       F.col("cut").alias("__cut"))
-    more = F.coalesce(F.col("__order") <= F.col("__cut"), F.lit(False)).cast("int")
+                       F.col("cuts").alias("__cuts"))
+    more = F.coalesce(F.col("__order") <= F.element_at("__cuts", F.col("__kind") + 1), F.lit(False)).cast("int")
     return (rows.join(plan, F.col(source).eqNullSafe(F.col("__source")))
             .withColumn("__times", F.col("__whole") + more))
 
@@ -110,7 +129,7 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                                    word_count(F.col(text_col)).alias("size"),
                                    _hash("", id_col, text_col, source_col, seed).alias("order")), "mix-rows")
     plan = plan_mix(rows, weights, share, max_epochs)
-    done = _decided(rows.withColumnRenamed("order", "__order"), plan, "source")
+    done = _decided(rows.withColumnRenamed("order", "__order").withColumn("__kind", kind_of(F.col("size"))), plan, "source")
     return done.select(F.col("id").alias(id_col), "size", "source_size", "target",
                        (F.col("size") * F.col("__times")).cast("long").alias("taken"), F.col("__times").alias("repeats"))
 
@@ -122,6 +141,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                                    _hash("", id_col, text_col, source_col, seed).alias("order")), "mix-rows")
     plan = plan_mix(rows, weights, share, max_epochs)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    packed = packed.withColumn("__order", _hash("row.", id_col, text_col, source_col, seed))
+    packed = (packed.withColumn("__order", _hash("row.", id_col, text_col, source_col, seed))
+              .withColumn("__kind", kind_of(word_count(F.col(f"row.`{text_col}`")))))
     taken = _decided(packed, plan, f"row.`{source_col}`").where("__times > 0")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("row.*")
