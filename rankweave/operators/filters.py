@@ -42,13 +42,15 @@ def exclusion_filter(raw: DataFrame, max_results: int, keywords: list[str],
     With keywords a row is appended before the limit is checked, so at least
     one row survives even when ``max_results <= 0``. Without keywords it is a
     Python slice (a negative bound drops rows from the end). Output ``rank`` is
-    the new position; ``src_rank`` the source's.
+    the new position; ``src_rank`` the source's. Rows that already carry their
+    excluded keyword (``_kw``) need no texts.
     """
     g = list(group)
     w = Window.partitionBy(*g).orderBy("src_rank")
     base = raw.withColumnRenamed("rank", "src_rank")
     if keywords:
-        kept = with_excluded_keyword(base, keywords, "_kw").filter(F.col("_kw").isNull()).drop("_kw")
+        marked = base if "_kw" in base.columns else with_excluded_keyword(base, keywords, "_kw")
+        kept = marked.filter(F.col("_kw").isNull()).drop("_kw")
         limit = F.lit(max(max_results, 1))
         return kept.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit)
     ranked = base.withColumn("rank", F.row_number().over(w).cast("long"))

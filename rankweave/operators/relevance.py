@@ -23,22 +23,38 @@ def candidate_scores(cands: DataFrame, queries: DataFrame, id_col: str, text: F.
                      lexer: Tokenizer | None = None, materialize: bool = True) -> DataFrame:
     """Adds ``score`` (BM25 of the query against its candidates), ``best``
     (max score of the query) and ``has_terms`` (query tokenises to something).
-    With ``materialize`` the candidates and the index entries are
-    checkpointed once, since postings, lengths, document frequencies and the
-    final left join all read them."""
-    cands = cands.withColumn("_text", text)
+
+    A query's candidates are a bounded corpus of their own, so their tokens
+    are partitioned by the query once and every statistic (documents, mean
+    length, document frequency, mean idf) is a window on that partitioning: no
+    other exchange but the join back to the rows. With ``materialize`` the
+    candidates are stored first, as tokens and result both read them."""
     if materialize:
         cands = cut_lineage(cands)
-    docs = with_tokens(cands.select(key, id_col, "_text"), F.col("_text"), "tokens", lexer=lexer)
-    cands = cands.drop("_text")
-    index = bm25.build_index(docs, id_col=id_col, by=[key], materialize=materialize)
+    texts = cands.select(key, id_col, text.alias("_text")).repartition(key)
+    own, of_term = Window.partitionBy(key), Window.partitionBy(key, "term")
+    docs = (with_tokens(texts, F.col("_text"), "tokens", lexer=lexer)
+            .select(key, id_col, "tokens", F.size("tokens").alias("dl"), F.count(F.lit(1)).over(own).alias("n"))
+            .withColumn("avgdl", F.avg("dl").over(own)))
+    entries = (docs.select(key, id_col, "dl", "n", "avgdl", F.explode("tokens").alias("term"))
+               .groupBy(key, id_col, "dl", "n", "avgdl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    # a term has df rows, so 1/df counts it once
+    mean = F.sum(F.col("raw") / F.col("df")).over(own) / F.sum(1 / F.col("df")).over(own)
+    weighed = (entries.withColumn("df", F.count(F.lit(1)).over(of_term)).withColumn("raw", raw)
+               .withColumn("idf", bm25.idf_value(F.col("raw"), mean)))
     qsel = queries.join(cands.select(key).distinct(), key, "left_semi")
     qt = bm25.query_terms(qsel, query_col=query_col, key=key, lexer=lexer)
-    scored = bm25.score_all(index, qt, cands, key)
+    tf = F.col("tf").cast("double")
+    norm = tf + bm25.K1 * (1 - bm25.B + bm25.B * F.col("dl") / F.col("avgdl"))
+    scores = (weighed.join(qt, [key, "term"])
+              .select(key, id_col, (F.col("idf") * F.col("qtf") * tf * (bm25.K1 + 1) / norm).alias("c"))
+              .groupBy(key, id_col).agg(F.sum("c").alias("score")))
     has_terms = qt.select(key).distinct().withColumn("has_terms", F.lit(True))
-    return (scored.join(has_terms, key, "left")
+    return (cands.join(scores, [key, id_col], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+            .join(has_terms, key, "left")
             .withColumn("has_terms", F.coalesce("has_terms", F.lit(False)))
-            .withColumn("best", F.max("score").over(Window.partitionBy(key))))
+            .withColumn("best", F.max("score").over(own)))
 
 
 def _signal(ratio: float) -> tuple[F.Column, F.Column]:

@@ -57,25 +57,29 @@ def web_search(requests: DataFrame, registry: DataFrame, source_rows: DataFrame,
     (query_id, engine, outcome, detail) the calls that did not answer: their
     sources give no rows, and the fallback follows from that.
 
-    With ``materialize`` each stage boundary is a reliable checkpoint in the
-    shared folder: stages reuse their inputs several times (statuses, fallback,
-    relevance statistics); a checkpoint keeps the plan small and lets a lost
-    executor's work restart from the last stage instead of from the scan.
+    With ``materialize`` what is reused is stored in the shared folder: the
+    bounded source rows, the narrow tables of the routing (resolved, fallback,
+    sections) and the filtered rows, so that plans stay small and the work of a
+    lost executor restarts from there.
     """
     keywords = list(keywords)
     m = cut_lineage if materialize else (lambda d: d)
     # P6 first: no source is ever asked for more than fetch_count rows, so
-    # only those rows are materialised (the bound reaches the source scan)
-    source_rows = m(routing.answered(filters.overfetch_limit(source_rows, max_results, keywords, overfetch), outcomes))
+    # only those rows are stored (the bound reaches the source scan). Their
+    # texts are read once, for the excluded keyword; routing, statuses and
+    # fallback work on keys, and the texts are joined to what is left.
+    source_rows = m(filters.with_excluded_keyword(
+        routing.answered(filters.overfetch_limit(source_rows, max_results, keywords, overfetch), outcomes), keywords, "_kw"))
+    keys = source_rows.select("query_id", "engine", "rank", "_kw")
     requests = requests.select("query_id", "query", "engines")
     resolved = m(routing.resolve_sources(requests, registry))
     first = resolved.select("query_id", "engine", F.col("req_pos").alias("sec_pos"), "registered")
-    kept1, secs1 = _round(source_rows, first, max_results, keywords, overfetch)
-    kept1 = m(kept1)  # read by the fallback test and the final union
+    kept1, secs1 = _round(keys, first, max_results, keywords, overfetch)
     fb = m(routing.fallback_sources(requests, resolved, kept1.select("query_id"), registry))
-    kept2, secs2 = _round(source_rows, fb.withColumn("registered", F.lit(True)), max_results, keywords, overfetch)
+    kept2, secs2 = _round(keys, fb.withColumn("registered", F.lit(True)), max_results, keywords, overfetch)
     sections = m(routing.source_status(secs1.unionByName(secs2), outcomes))
-    rows = m(kept1.unionByName(kept2))
+    texts = source_rows.drop("_kw").withColumnRenamed("rank", "src_rank")
+    rows = kept1.unionByName(kept2).drop("_kw").join(texts, ["query_id", "engine", "src_rank"])
     after_pdf = filters.pdf_filter(rows)
     out = after_pdf
     if relevance_on:
