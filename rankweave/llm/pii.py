@@ -142,40 +142,44 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), value), F.lit(0), lambda s, x: s + x)
 
 
-def _pick(words: str, number: Column) -> Column:
-    array = F.array(*[F.lit(w) for w in words.split()])
-    return F.element_at(array, number % F.size(array) + 1)
-
-
 def _name(kind: Column, unit: Column, hashed: Column, attempt: Column) -> Column:
     """A name made of syllables of the unit's script; a given name ends as
     names of its gender do. Later draws are longer."""
-    out = None
-    for script in ("cyrillic", "greek", "han", "latin"):
-        syllables = F.array(*[F.lit(s) for s in SYLLABLES[script].split()])
-        body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(0 if script == "han" else 1) + F.floor(attempt / 3).cast("int")),
-                                        lambda i: F.element_at(syllables, _byte(hashed, i) % 32 + 1)), "")
-        end = (F.when(kind == "given_f", _pick(ENDINGS[script]["f"], _byte(hashed, F.lit(40))))
-               .when(kind == "given_m", _pick(ENDINGS[script]["m"], _byte(hashed, F.lit(40))))
-               .when(kind == "given_u", _pick(ENDINGS[script]["u"], _byte(hashed, F.lit(40))))
-               .otherwise(F.element_at(syllables, _byte(hashed, F.lit(41)) % 32 + 1)))
-        made = F.concat(body, end)
-        if script == "latin":
-            return out.otherwise(made)
-        test = unit.rlike(SCRIPTS[script])
-        out = F.when(test, made) if out is None else out.when(test, made)
-    return out
+    words = lambda text: F.array(*[F.lit(w) for w in text.split()])
+    tables = {k: F.struct(words(SYLLABLES[k]).alias("syllables"), words(ENDINGS[k]["f"]).alias("f"), words(ENDINGS[k]["m"]).alias("m"),
+                          words(ENDINGS[k]["u"]).alias("u"), F.lit(0 if k == "han" else 1).alias("more")) for k in SYLLABLES}
+    table = F.when(unit.rlike(SCRIPTS["cyrillic"]), tables["cyrillic"])
+    for script in ("greek", "han"):
+        table = table.when(unit.rlike(SCRIPTS[script]), tables[script])
+
+    def made(t):
+        syllable = lambda i: F.element_at(t["syllables"], _byte(hashed, i) % 32 + 1)
+        body = F.array_join(F.transform(F.sequence(F.lit(0), t["more"] + F.floor(attempt / 3).cast("int")), syllable), "")
+        pick = _byte(hashed, F.lit(40)) % 4 + 1
+        end = (F.when(kind == "given_f", F.element_at(t["f"], pick)).when(kind == "given_m", F.element_at(t["m"], pick))
+               .when(kind == "given_u", F.element_at(t["u"], pick)).otherwise(syllable(F.lit(41))))
+        return F.concat(body, end)
+
+    return _let(table.otherwise(tables["latin"]), made)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once and named once in the plan."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def surrogate(kind: Column, unit: Column, attempt: Column, key: str) -> Column:
     """Surrogate of a unit in normal form at a draw."""
     hashed = F.sha2(F.concat_ws("|", F.lit(key), kind, unit, attempt.cast("string")), 512)
-    chars = F.split(unit, "")
+    state = F.struct(kind.alias("kind"), unit.alias("unit"), attempt.alias("attempt"), hashed.alias("hashed"))
+    return _let(state, lambda s: _let(_draw(F.split(s["unit"], ""), s["hashed"]), lambda drawn: _surrogate(
+        s["kind"], s["unit"], s["attempt"], s["hashed"], drawn)))
+
+
+def _surrogate(kind: Column, unit: Column, attempt: Column, hashed: Column, drawn: Column) -> Column:
     n = F.length(unit)
-    drawn = _draw(chars, hashed)
     first = (_byte(hashed, F.lit(63)) % 9 + 1).cast("string")
-    more = F.substring(_draw(F.split(F.repeat(F.lit("x"), F.lit(8)), ""), F.sha2(hashed, 512)), F.lit(1),
-                       F.greatest(F.lit(0), attempt - 2))
+    more = F.substring(F.translate(F.sha2(hashed, 256), "0123456789", "ghijklmnop"), F.lit(1), F.greatest(F.lit(0), attempt - 2))
     country = F.when(unit.rlike("^[17]"), 1).otherwise(2)
     phone = F.when(n > 10, F.concat(F.substring(unit, F.lit(1), country), first, F.substring(drawn, country + 2, n))).otherwise(
         F.concat(first, F.substring(drawn, F.lit(2), n)))
@@ -184,9 +188,8 @@ def surrogate(kind: Column, unit: Column, attempt: Column, key: str) -> Column:
     card = F.concat(body, F.when(_luhn(unit) % 10 == 0, check).otherwise(F.substring(drawn, n, F.lit(1))))
     octets = [F.when(unit.startswith("10."), F.lit("10")).otherwise((_byte(hashed, F.lit(0)) % 222 + 1).cast("string"))]
     octets += [_byte(hashed, F.lit(i)).cast("string") for i in (1, 2, 3)]
-    hexes = F.array_join(F.transform(chars, lambda c, i: F.substring(hashed, i % 128 + 1, F.lit(1))), "")
-    labels = F.split(unit, r"\.")
-    top = F.element_at(labels, -1)
+    hexes = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(hashed, i % 128 + 1, F.lit(1))), "")
+    top = F.element_at(F.split(unit, r"\."), -1)
     domain = F.concat(more, F.substring(drawn, F.lit(1), n - F.length(top)), top)
     iban = F.concat(F.substring(unit, F.lit(1), F.lit(2)), F.substring(drawn, F.lit(3), n))
     return (F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", F.concat(first, F.substring(drawn, F.lit(2), n)))
@@ -264,11 +267,12 @@ def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", tex
                          .groupBy("hash").agg(F.map_from_entries(F.collect_list("e")).alias("draws")), "pii-again")
 
     def replaced(match: Column) -> Column:
-        def one(p):
-            u = normal(p["kind"], p["raw"])
+        def drawn(p, u):
             attempt = F.coalesce(F.element_at(F.col("draws"), _unit_key(p["kind"], u)), F.lit(0))
-            return F.when(p["kind"] == "keep", p["raw"]).otherwise(
-                _rendered(p["kind"], p["raw"], surrogate(p["kind"], u, attempt, key)))
+            return _let(surrogate(p["kind"], u, attempt, key), lambda new: _rendered(p["kind"], p["raw"], new))
+
+        def one(p):
+            return F.when(p["kind"] == "keep", p["raw"]).otherwise(_let(normal(p["kind"], p["raw"]), lambda u: drawn(p, u)))
         return F.array_join(F.transform(parts_of(match), one), "")
 
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), matches(text).alias("found"), F.xxhash64(text).alias("hash"))
