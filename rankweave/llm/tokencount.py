@@ -143,5 +143,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.StructArray.from_arrays([pa.array([p[0] for p in pairs], pa.int64()),
                                               pa.array([p[1] for p in pairs], pa.int64())], ["n_words", "n_tokens"])
 
-    counted: Column = F.arrow_udf(of, "struct<n_words:long,n_tokens:long>", F.ArrowUDFType.SCALAR_ITER)(F.col(text_col))
+    counted: Column = F.arrow_udf(of, "struct<n_words:long,n_tokens:long>")(F.col(text_col))
     return docs.select(F.col(id_col), counted.alias("c")).select(id_col, "c.n_words", "c.n_tokens")
