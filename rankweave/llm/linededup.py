@@ -38,24 +38,33 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def spread(docs: DataFrame, text_col: str = "text", site_col: str = "source", log_buckets: int = LOG_BUCKETS) -> DataFrame:
+def hashed_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """Stored (hash of the text, site, lines: hash of each line in order)."""
+    text = F.col(text_col)
+    return materialize(docs.where(text.isNotNull()).select(
+        F.xxhash64(text).alias("hash"), F.col(site_col).cast("string").alias("site"),
+        F.transform(_lines(text), line_hash).alias("lines")), "line-hashes")
+
+
+def _occurrences(lines: DataFrame) -> DataFrame:
+    """(site, line), a line once for each row that holds it."""
+    return (lines.where("site is not null").select("site", F.explode(F.array_distinct("lines")).alias("line"))
+            .where("line is not null"))
+
+
+def spread(lines: DataFrame, log_buckets: int = LOG_BUCKETS) -> DataFrame:
     """(line, sites): estimated number of sites of every line hash."""
-    lines = docs.select(F.col(site_col).cast("string").alias("site"),
-                        F.explode(F.array_distinct(F.transform(_lines(F.col(text_col)), line_hash))).alias("line"))
-    return (lines.where("line is not null and site is not null").groupBy("line")
-            .agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(log_buckets))).alias("sites")))
+    return _occurrences(lines).groupBy("line").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(log_buckets))).alias("sites"))
 
 
-def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES,
-                log_buckets: int = LOG_BUCKETS) -> DataFrame:
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, log_buckets: int = LOG_BUCKETS) -> DataFrame:
     """(line, sites) of the lines on at least ``min_sites`` sites; ``sites``
     is exact for those near the threshold, else the estimate."""
     slack = MARGIN * 1.04 / 2 ** (log_buckets / 2) * min_sites + 1
-    wide = materialize(spread(docs, text_col, site_col, log_buckets).where(F.col("sites") >= min_sites - slack), "line-spread")
+    wide = materialize(spread(lines, log_buckets).where(F.col("sites") >= min_sites - slack), "line-spread")
     near = wide.where(F.col("sites") <= min_sites + slack).select("line")
-    again = docs.select(F.col(site_col).cast("string").alias("site"),
-                        F.explode(F.array_distinct(F.transform(_lines(F.col(text_col)), line_hash))).alias("line"))
-    exact = (again.where("site is not null").join(near, "line", "left_semi").distinct()
+    exact = (_occurrences(lines).join(near, "line", "left_semi").distinct()
              .groupBy("line").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites))
     return wide.where(F.col("sites") > min_sites + slack).select("line", "sites").unionByName(exact)
 
@@ -65,19 +74,21 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per document: id, text without boilerplate lines, n_lines and
     n_removed.
 
-    Removal goes by text: the boilerplate hashes of a text are gathered under
-    the text's hash (at most as many as it has lines) and joined to its rows.
+    Removal goes by text: the places of its boilerplate lines are gathered
+    under the text's hash (at most as many as it has lines) and joined to its
+    rows. The join builds its tables from the places and streams the texts,
+    at every size, so texts are shuffled once and never sorted.
     """
-    found = materialize(boilerplate(docs, text_col, site_col, min_sites).select("line"), "line-boilerplate")
+    lines = hashed_lines(docs, text_col, site_col)
+    found = materialize(boilerplate(lines, min_sites).select("line"), "line-boilerplate")
+    placed = lines.select("hash", F.posexplode("lines").alias("at", "line")).join(found, "line", "left_semi")
+    gone = materialize(placed.select("hash", "at").distinct().groupBy("hash").agg(F.collect_list("at").alias("gone")), "line-gone")
     text = F.col(text_col)
-    per_text = docs.select(F.xxhash64(text).alias("hash"), F.explode(F.array_distinct(F.transform(_lines(text), line_hash))).alias("line"))
-    gone = materialize(per_text.join(found, "line", "left_semi").distinct().groupBy("hash")
-                       .agg(F.collect_list("line").alias("gone")), "line-gone")
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("hash")).join(gone, "hash", "left")
-    kept = F.filter(_lines(F.col("text")), lambda x: ~F.coalesce(F.array_contains("gone", line_hash(x)), F.lit(False)))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    rows = rows.join(gone.hint("shuffle_hash"), "hash", "left")
+    kept = F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains("gone", i))
     total = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text"))))
-    done = rows.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
-    return done.select(
-        F.col("id").alias(id_col), F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
-        total.cast("long").alias("n_lines"),
-        F.when(F.col("kept").isNull(), 0).otherwise(total - F.size("kept")).cast("long").alias("n_removed"))
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    return rows.select(
+        F.col("id").alias(id_col), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        total.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
