@@ -33,7 +33,7 @@ SPACE_MARK = "▁"
 #: score of a byte token, below that of any piece
 BYTE_SCORE = -16.0
 MAX_NODES = 1 << 18
-MAX_COUNTS = 1 << 18
+MAX_COUNTS = 1 << 19
 #: longer pre-tokens are scored without a place in the trie
 MAX_DEPTH = 128
 CHUNK_BYTES = 1 << 20
@@ -54,43 +54,41 @@ class PrefixTrie:
     """Forward scores of prefixes."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores, self.longest = scores, max(map(len, scores), default=1)
+        self.scores = scores
+        #: ends of pieces: a run that is none of them ends no piece, nor do longer ones
+        self.ends = {piece[k:] for piece in scores for k in range(len(piece))}
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[tuple[int, str], int] = {}
         self.score, self.tokens = [0.0], [0]
 
-    def _step(self, word: str, end: int, score: list[float], tokens: list[int]) -> tuple[float, int]:
-        """Forward score of word[:end] from those of its prefixes."""
-        bytes_of = len(word[end - 1].encode())
-        best, least = score[end - 1] + BYTE_SCORE * bytes_of, tokens[end - 1] + bytes_of
-        scores = self.scores
-        for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
-            piece = scores.get(word[start:end])
-            if piece is not None:
-                s, t = score[start] + piece, tokens[start] + 1
-                if s > best or s == best and t < least:
-                    best, least = s, t
-        return best, least
-
     def count(self, word: str) -> int:
         """Tokens of a pre-token; nodes it shares with earlier ones are reused."""
-        node, score, tokens = 0, [0.0], [0]
-        walk = len(word) <= MAX_DEPTH
-        for end in range(1, len(word) + 1):
-            known = self.child.get((node, word[end - 1])) if walk else None
+        node, end, score, tokens = 0, 0, [0.0], [0]
+        walk, child, ends, piece_score = len(word) <= MAX_DEPTH, self.child, self.ends, self.scores.get
+        for character in word:
+            end += 1
+            known = child.get((node, character)) if walk else None
             if known is None:
-                s, t = self._step(word, end, score, tokens)
+                size = 1 if character < "\x80" else len(character.encode())
+                best, least = score[-1] + BYTE_SCORE * size, tokens[-1] + size
+                start = end - 1
+                while start >= 0 and (run := word[start:end]) in ends:
+                    if (own := piece_score(run)) is not None:
+                        s = score[start] + own
+                        if s > best or s == best and tokens[start] + 1 < least:
+                            best, least = s, tokens[start] + 1
+                    start -= 1
                 if walk:
-                    known = self.child[node, word[end - 1]] = len(self.score)
-                    self.score.append(s)
-                    self.tokens.append(t)
+                    known = child[node, character] = len(self.score)
+                    self.score.append(best)
+                    self.tokens.append(least)
             else:
-                s, t = self.score[known], self.tokens[known]
+                best, least = self.score[known], self.tokens[known]
             node = known
-            score.append(s)
-            tokens.append(t)
+            score.append(best)
+            tokens.append(least)
         if len(self.score) > MAX_NODES:
             self.clear()
         return tokens[-1]
