@@ -163,7 +163,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                            F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 1).alias("h"))
     labelled = labelled.where("t is not null and l is not null")
     shares = labelled.groupBy("l").agg(F.least(F.lit(1.0), F.lit(4.0 * sample_rows) / F.count("*")).alias("share"))
-    ranged = labelled.join(shares, "l").where(F.col("h") <= F.col("share") * float(2**63 - 1))
+    # a row for each language, as the model has
+    ranged = labelled.join(F.broadcast(shares), "l").where(F.col("h") <= F.col("share") * float(2**63 - 1))
     ranged = ranged.where(F.col("t").rlike(r"\p{L}"))
     order = Window.partitionBy("l").orderBy("h", "t")
     picked = (ranged.select(F.substring(F.lower("t"), 1, SAMPLE_BYTES).alias("t"), "l", "h")
