@@ -25,13 +25,13 @@ def enrich_top_n(rows: DataFrame, pages: DataFrame, top_n: int = TOP_N, max_char
     """Per query, walk non-PDF rows with a url in flat order; the first
     ``top_n`` whose cleaned page text has at least ``min_useful_chars``
     characters get ``content``; every other row gets null content."""
-    eligible = F.col("url").isNotNull() & (F.col("url") != "") & ~looks_like_pdf(F.col("url"))
-    pages_text = content_for_urls(pages, rows.filter(eligible).select("url"), max_chars, clean=True)
-    joined = rows.join(pages_text.withColumnRenamed("content", "_page"), "url", "left")
-    useful = eligible & (F.length(F.coalesce(F.col("_page"), F.lit(""))) >= min_useful_chars)
-    w = Window.partitionBy(key, useful.alias("_u")).orderBy(*[F.col(c) for c in order_cols])
-    n = F.row_number().over(w)
     if top_n <= 0:
-        return joined.withColumn("content", F.lit(None).cast("string")).drop("_page")
-    return (joined.withColumn("content", F.when(useful & (n <= top_n), F.col("_page")))
-            .drop("_page"))
+        return rows.withColumn("content", F.lit(None).cast("string"))
+    eligible = F.col("url").isNotNull() & (F.col("url") != "") & ~looks_like_pdf(F.col("url"))
+    spots = rows.filter(eligible).select(key, *order_cols, "url")
+    useful = content_for_urls(pages, spots.select("url"), max_chars, clean=True).where(F.length("content") >= min_useful_chars)
+    # only the first rows of a query leave a task: the filter on the rank is a group limit
+    w = Window.partitionBy(key).orderBy(*order_cols)
+    picks = (spots.join(useful, "url").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top_n)
+             .select(key, *order_cols, "content"))
+    return rows.join(picks, [key, *order_cols], "left")

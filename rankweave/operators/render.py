@@ -21,6 +21,7 @@ LABEL_BODY = "내용: "
 EMPTY_BODY = "(내용 없음)"
 # Our own prompt wording (no model is called; the prompt is a table column).
 PROMPT_HEADER = "Search results (title, URL and page text for the top results):\n\n"
+HOSTED_HEADER = "Search results of the hosted backend (title, URL and cleaned page text):\n\n"
 PROMPT_INSTRUCTIONS = ("Answer only from the material above. Do not invent figures that it does "
                        "not state; say so plainly and summarise the relevant context instead. "
                        "Mention sources where they help.")
@@ -90,11 +91,13 @@ def hosted_blocks(hosted: DataFrame) -> DataFrame:
     return hosted.groupBy("query_id").agg(ordered_join(F.col("rank"), block, CONTEXT_SEPARATOR).alias("context"))
 
 
-def prompt_rows(requests: DataFrame, contexts: DataFrame, mode_col: str = "search_mode") -> DataFrame:
-    """(query_id, prompt). Context + instructions + question; requests whose
-    mode is 'none' pass the message through unchanged."""
+def prompt_rows(requests: DataFrame, contexts: DataFrame, mode_col: str = "search_mode",
+                header: str = PROMPT_HEADER) -> DataFrame:
+    """(query_id, prompt). Header + context + instructions + question;
+    requests whose mode is 'none' pass the message through unchanged.
+    ``HOSTED_HEADER`` is the header for the hosted backend's context."""
     j = requests.join(contexts, "query_id", "left")
-    prompt = F.concat(F.lit(PROMPT_HEADER), F.coalesce("context", F.lit("")), F.lit("\n\n" + PROMPT_INSTRUCTIONS),
+    prompt = F.concat(F.lit(header), F.coalesce("context", F.lit("")), F.lit("\n\n" + PROMPT_INSTRUCTIONS),
                       F.lit("\n\n" + PROMPT_QUESTION), F.col("query"))
     return j.select("query_id", F.when(F.col(mode_col) == "none", F.col("query")).otherwise(prompt).alias("prompt"))
 

@@ -31,10 +31,18 @@ def _join_snippet(cond: F.Column, value: F.Column) -> F.Column:
     return F.array_join(F.transform(parts, lambda s: s["v"]), " ")
 
 
-def parse_listing(df: DataFrame, key: str = "listing_id", text_col: str = "text") -> DataFrame:
+def parse_listing(df: DataFrame, key: str = "listing_id", text_col: str = "text", source: str | None = None) -> DataFrame:
     """``N. title`` opens a record, a ``URL:`` line sets its url (last one
     wins), other non-blank lines join the snippet with one space; lines before
-    the first record are ignored. -> (key, record, title, url, snippet)."""
+    the first record are ignored. -> (key, record, title, url, snippet).
+    With ``source`` a listing without a record gives one row that holds the
+    source's name as title and the whole text as snippet."""
+    if source is not None:
+        records = parse_listing(df, key, text_col)
+        bare = df.join(records.select(key).distinct(), key, "left_anti").select(
+            key, F.lit(1).cast("long").alias("record"), F.lit(source).alias("title"), F.lit("").alias("url"),
+            F.col(text_col).alias("snippet"))
+        return records.unionByName(bare)
     lines = _lines(df, key, text_col)
     is_head = F.col("line").rlike(RECORD_HEAD)
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -63,6 +63,12 @@ def test_listing_parse(spark):
     assert got == [(1, "First title", "https://a", "snippet one wrapped"), (2, "Second", "", "more")]
 
 
+def test_listing_without_a_record(spark):
+    df = spark.createDataFrame([(1, "No results.\nTry again"), (2, "1. T\n   URL: https://a")], "listing_id long, text string")
+    got = sorted(tuple(r) for r in listing.parse_listing(df, source="web").collect())
+    assert got == [(1, 1, "web", "", "No results.\nTry again"), (2, 1, "T", "https://a", "")]
+
+
 def test_sections_parse(spark):
     text = "[e0]\n1. T1\n   http://u1\n   body\n\n[nope]\n알 수 없는 검색엔진입니다.\n\n[e1]\n1. T2\n   https://u2\n   b2"
     df = spark.createDataFrame([(1, text)], "query_id long, text string")
