@@ -34,6 +34,7 @@ MAX_EPOCHS = 2.0
 SEED = 20
 #: least words of a long and of a middle document
 KINDS = (512, 64)
+SALT_BITS = 6
 
 
 def _hash(row: str, id_col: str, text_col: str, source_col: str, seed: int) -> Column:
@@ -102,7 +103,11 @@ def plan_mix(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
         own = words.where(F.col("kind") == kind).select("sid", "words")
         bound = F.when(F.col("rest") > 0, F.col("part") * F.coalesce("words", F.lit(0)) + F.col("owed")).otherwise(0.0)
         bounded = state.join(own, "sid", "left").withColumn("bound", bound).drop("words")
-        taken = (placed.where(F.col("kind") == kind).join(bounded.select("sid", "bound"), "sid")
+        # a source may hold any part of the rows: its bound stands once for each of 2**SALT_BITS hash ranges
+        salts = F.sequence(F.lit(-(1 << SALT_BITS - 1)).cast("long"), F.lit((1 << SALT_BITS - 1) - 1).cast("long"))
+        salted = bounded.select("sid", "bound", F.explode(salts).alias("salt"))
+        taken = (placed.where(F.col("kind") == kind).withColumn("salt", F.shiftright("order", 64 - SALT_BITS))
+                 .join(salted, ["sid", "salt"])
                  .where((F.col("bound") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("bound")))
                  .groupBy("sid").agg(F.max("order").alias("cut"), F.sum("size").alias("took")))
         state = materialize(
