@@ -8,10 +8,16 @@ alignment counts if its slots are consistent: every value of the item stands
 for one value of the document and the other way round. So a question is
 found verbatim and with other numbers, names or units.
 
+Names are known by their letter case. So a window that holds a name has a
+second, case-blind form, in which names are literal words too, joined the same
+way. An alignment is judged on its template windows alone, and on those of
+both forms with the values case-folded; either is enough. So a question is
+also found in capitals, in lower case and in title case.
+
 A document row meets the benchmark through a bit map of fixed size (two
 probes for a window); what passes it is verified by the join. An item shorter
 than WINDOW is one window. Windows need MIN_LITERAL literal tokens (an item
-shorter than that, none).
+shorter than that, none); case-blind ones always do, so a lone name is no hit.
 
 Nulls and ties: null and empty texts have no window; rows equal in id and
 text give one result; repeated items give one result for each item id; empty
@@ -53,6 +59,7 @@ eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
 SLOTS = {"n": 0x1D8E4E27C47D124F, "N": 0x5B3A9F1E6D2C8B07, "u": 0x7F4A7C159E3779B9}
+_KINDS = {code: kind for kind, code in SLOTS.items()}
 MULTIPLIER = 0xD6E8FEB86659FD93
 
 
@@ -74,7 +81,19 @@ class _Codes(dict):
         if len(self) >= CACHED_WORDS:
             self.clear()
         kind = kind_of(token)
-        self[token] = code = SLOTS.get(kind) or xxhash.xxh64_intdigest(token.lower().encode())
+        self[token] = code = SLOTS.get(kind) or xxhash.xxh64_intdigest(token.casefold().encode())
+        return code
+
+
+class _Folded(dict):
+    """64-bit code of a name as a literal word."""
+
+    def __missing__(self, token: str) -> int:
+        import xxhash
+
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[token] = code = xxhash.xxh64_intdigest(token.casefold().encode())
         return code
 
 
@@ -86,6 +105,14 @@ def _codes(tokens: list[str], cache: _Codes) -> np.ndarray:
     return codes
 
 
+def _blind(codes: np.ndarray, tokens: list[str], cache: _Folded) -> np.ndarray:
+    """Codes with the names as literal words."""
+    names = np.flatnonzero(codes == np.uint64(SLOTS["N"]))
+    out = codes.copy()
+    out[names] = np.fromiter((cache[tokens[i]] for i in names.tolist()), np.uint64, len(names))
+    return out
+
+
 def _hashes(codes: np.ndarray, length: int) -> np.ndarray:
     """Hash of every window of ``length`` codes."""
     n = max(len(codes) - length + 1, 0)
@@ -110,30 +137,46 @@ def _pieces(text: str) -> Iterator[list[str]]:
         at = end
 
 
-def windows(text: str | None, lengths: list[int], bits: np.ndarray | None, cache: _Codes) -> list[dict]:
-    """Windows of a text: place, hash, kinds and tokens. With ``bits`` only
-    those that the map lets pass."""
+def windows(text: str | None, lengths: list[int], bits: np.ndarray | None, cache: _Codes,
+            folded: _Folded | None = None) -> list[dict]:
+    """Windows of a text: place, hash, kinds, kinds in the template, tokens
+    case-folded, and slot values as written; those with a name twice, the
+    second time case-blind (without ``raw``). With ``bits`` only those that
+    the map lets pass."""
     out: list[dict] = []
     context: list[str] = []
+    folded = _Folded() if folded is None else folded
     first, longest = 0, max(lengths, default=0)
     for piece in _pieces(text or ""):
         tokens = context + piece
         codes = _codes(tokens, cache) if tokens else np.zeros(0, np.uint64)
-        literal = _literal(codes).astype(np.int64)
-        sums = np.concatenate(([0], np.cumsum(literal)))
+        literal = _literal(codes)
+        words = literal | (codes == np.uint64(SLOTS["N"]))
+        sums, word_sums = (np.concatenate(([0], np.cumsum(x, dtype=np.int64))) for x in (literal, words))
+        blind = _blind(codes, tokens, folded)
         for length in lengths:
-            h = _hashes(codes, length)
-            use = sums[length:] - sums[:-length] >= min(MIN_LITERAL, length) if len(h) else np.zeros(0, bool)
-            if bits is not None:
-                use &= _passes(h, bits)
-            for i in np.flatnonzero(use).tolist():
-                # windows wholly inside the part carried over were given before, their context seen
-                if context and i + length <= len(context):
-                    continue
-                kinds = "".join("w" if lit else next(k for k, v in SLOTS.items() if v == int(c))
-                                for lit, c in zip(literal[i:i + length].tolist(), codes[i:i + length].tolist()))
-                out.append({"pos": first + i, "hash": int(h[i].view(np.int64)), "kinds": kinds,
-                            "tokens": [t.lower() if k == "w" else t for t, k in zip(tokens[i:i + length], kinds)]})
+            for form in (codes, blind):
+                h = _hashes(form, length)
+                count = sums[length:] - sums[:-length]
+                if not len(h):
+                    use = np.zeros(0, bool)
+                elif form is codes:
+                    use = count >= min(MIN_LITERAL, length)
+                else:  # a window without a name is the same in both forms
+                    word_count = word_sums[length:] - word_sums[:-length]
+                    use = (word_count >= MIN_LITERAL) & (word_count > count)
+                if bits is not None:
+                    use[use] = _passes(h[use], bits)
+                for i in np.flatnonzero(use).tolist():
+                    # windows wholly inside the part carried over were given before, their context seen
+                    if context and i + length <= len(context):
+                        continue
+                    own = "".join(_KINDS.get(c, "w") for c in codes[i:i + length].tolist())
+                    seen = tokens[i:i + length]
+                    out.append({"pos": first + i, "hash": int(h[i].view(np.int64)), "own": own,
+                                "kinds": own if form is codes else own.replace("N", "w"),
+                                "tokens": [t.casefold() for t in seen],
+                                "raw": ["" if k == "w" else t for t, k in zip(seen, own)] if form is codes else None})
         keep = min(len(tokens), longest)
         first += len(tokens) - keep
         context = tokens[len(tokens) - keep:]
@@ -151,16 +194,16 @@ def _passes(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
             & ((bits[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1).astype(bool))
 
 
-WINDOW_TYPE = "array<struct<pos:long,hash:long,kinds:string,tokens:array<string>>>"
+WINDOW_TYPE = "array<struct<pos:long,hash:long,kinds:string,own:string,tokens:array<string>,raw:array<string>>>"
 _ARROW_TYPE = pa.list_(pa.struct([("pos", pa.int64()), ("hash", pa.int64()), ("kinds", pa.string()),
-                                  ("tokens", pa.list_(pa.string()))]))
+                                  ("own", pa.string()), ("tokens", pa.list_(pa.string())), ("raw", pa.list_(pa.string()))]))
 
 
 def _windows_udf(text: Column, lengths: list[int], bits) -> Column:
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cache, found = _Codes(), None if bits is None else bits.value
+        cache, folded, found = _Codes(), _Folded(), None if bits is None else bits.value
         for texts in batches:
-            yield pa.array((windows(x.as_py(), lengths, found, cache) for x in texts), _ARROW_TYPE)
+            yield pa.array((windows(x.as_py(), lengths, found, cache, folded) for x in texts), _ARROW_TYPE)
 
     return F.arrow_udf(of, WINDOW_TYPE)(text)
 
@@ -173,7 +216,7 @@ def _token_counts(text: Column) -> Column:
 
 
 def _items(bench: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """Stored windows of the benchmark: (item, size, pos, hash, kinds, tokens)."""
+    """Stored windows of the benchmark: (item, size, pos, hash, kinds, own, tokens, raw)."""
     base = materialize(bench.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"),
                                     _token_counts(F.col(text_col)).alias("size")).where("size > 0"), "bench-items")
     short = [r["size"] for r in base.where(F.col("size") < WINDOW).select("size").distinct().collect()]
@@ -218,18 +261,26 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"),
                         F.explode(_windows_udf(text, lengths, bits)).alias("w")).select("id", "text_hash", "w.*")
     found = materialize(found, "doc-windows")
-    at = items.select("item", "size", F.col("pos").alias("item_pos"), "hash", "kinds", F.col("tokens").alias("item_tokens"))
+    at = items.select("item", "size", F.col("pos").alias("item_pos"), "hash", "kinds", F.col("own").alias("item_own"),
+                      F.col("tokens").alias("item_tokens"), F.col("raw").alias("item_raw"))
     literal_differs = F.exists(
         F.arrays_zip(F.split("kinds", "").alias("k"), F.col("tokens").alias("d"), F.col("item_tokens").alias("i")),
         lambda t: (t["k"] == "w") & (t["d"] != t["i"]))
     pairs = found.join(at, ["hash", "kinds"]).where(~literal_differs)
-    token = F.posexplode(F.arrays_zip(F.split("kinds", "").alias("k"), F.col("tokens").alias("d"), F.col("item_tokens").alias("i")))
-    tokens = (pairs.select("id", "text_hash", "item", "size", (F.col("pos") - F.col("item_pos")).alias("shift"),
-                           "item_pos", token.alias("j", "t"))
-              .select("id", "text_hash", "item", "size", "shift", (F.col("item_pos") + F.col("j")).alias("at"),
-                      "t.k", "t.d", "t.i").distinct())
+
+    def judged(template: bool, theirs: str, ours: str) -> Column:
+        # a name of the item is a slot in both forms of a window
+        sides = F.arrays_zip(F.split("item_own", "").alias("k"), F.col(theirs).alias("d"), F.col(ours).alias("i"))
+        return F.transform(sides, lambda t, j: F.struct(F.lit(template).alias("template"), (F.col("item_pos") + j).alias("at"),
+                                                        t["k"].alias("k"), t["d"].alias("d"), t["i"].alias("i")))
+
+    both_forms = judged(False, "tokens", "item_tokens")
+    in_template = F.col("raw").isNotNull() & F.col("item_raw").isNotNull()
+    token = F.explode(F.when(in_template, F.concat(both_forms, judged(True, "raw", "item_raw"))).otherwise(both_forms))
+    tokens = (pairs.select("id", "text_hash", "item", "size", (F.col("pos") - F.col("item_pos")).alias("shift"), token.alias("t"))
+              .select("id", "text_hash", "item", "size", "shift", "t.*").distinct())
     slot = F.col("k") != "w"
-    aligned = tokens.groupBy("id", "text_hash", "item", "size", "shift").agg(
+    aligned = tokens.groupBy("id", "text_hash", "item", "size", "shift", "template").agg(
         F.count_distinct("at").alias("covered"),
         F.count_distinct(F.when(~slot, F.col("at"))).alias("literal"),
         F.count_distinct(F.when(slot, F.struct("k", "d", "i"))).alias("both"),

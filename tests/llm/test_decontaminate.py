@@ -63,3 +63,21 @@ def test_bit_map_equals_plain_one(spark):
     for place in np.concatenate(D._places(np.array(hashes).view(np.uint64))).tolist():
         want[place >> 3] |= 1 << (place & 7)
     assert np.array_equal(D._bit_map(df), want)
+
+
+def test_every_item_in_any_case(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    own = [(r.item_id, r.text) for r in table.select("item_id", "text").collect()]
+    own += [(1000, QUESTION), (1001, "Die große Straße in Köln Süd führt Anna Weiß zum Markt"), (1002, "Five men and Tom met five men")]
+    items = [(i, t) for i, t in own if len(D.TOKEN.findall(t)) >= D.MIN_LITERAL]
+    cases = [str, str.upper, str.lower, str.title]
+    docs = [(k * 10_000 + i, f"some words before. {case(t)} and some behind") for k, case in enumerate(cases) for i, t in items]
+    got, _ = run(spark, docs, items)
+    found = {(d, i) for d, i, verbatim in got if verbatim}
+    assert len(items) > 20 and [(d, d % 10_000) for d, _ in docs if (d, d % 10_000) not in found] == []
+
+
+def test_case_blind_form_keeps_slots_and_adds_no_single_name(spark):
+    other = QUESTION.replace("5", "72").replace(" 3 ", " 8 ").upper()
+    got, kept = run(spark, [(1, other), (2, "I saw Paris and PARIS again")], [(10, QUESTION), (11, "Paris"), (12, "Tom Smith")])
+    assert got == [(1, 10, False)] and kept == [2]
