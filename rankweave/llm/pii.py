@@ -9,9 +9,16 @@ are replaced alike in every document and layout (coreference). Surrogates keep
 kind, script, gender of a given name, letter case, layout, country and network
 digits, top-level domain and a valid Luhn sum.
 
+The gender of a given name is that of the title or of the known name in front;
+behind a neutral title, that of the known name that follows. It is settled
+once for the corpus, so a given name has one surrogate whatever stands before
+it: the one gender that it is seen with, else that of the known names, else
+neutral.
+
 Distinctness is checked over the whole corpus: of units of a kind with the
 same surrogate, or with one that is a unit of the corpus, all but one draw
-again until none collides. Only those that drew again are kept in a table.
+again until none collides. Only those that drew again, or whose gender is not
+the one of the place they stand in, are kept in a table.
 
 Built from DataFrame functions. Nulls and ties: a null text stays null with 0
 entities; the result for a text depends on the text and the corpus only, so
@@ -99,8 +106,9 @@ def parts_of(match: Column) -> Column:
     words = F.split(match, " ")
     bare = F.regexp_replace(words[0], r"\.$", "")
     title = bare.rlike(_words(_ALL_TITLES.replace("|", " ")))
-    gender = (F.when(bare.rlike(_words(f"{TITLES['f']} {GIVEN['f']}")), "f")
-              .when(bare.rlike(_words(f"{TITLES['m']} {GIVEN['m']}")), "m").otherwise("u"))
+    leads = F.when(bare.rlike(_words(TITLES["u"])), F.coalesce(F.get(words, F.lit(1)), F.lit(""))).otherwise(bare)
+    gender = (F.when(leads.rlike(_words(f"{TITLES['f']} {GIVEN['f']}")), "f")
+              .when(leads.rlike(_words(f"{TITLES['m']} {GIVEN['m']}")), "m").otherwise("u"))
     last = F.size(words) - 1
     name = F.flatten(F.transform(words, lambda w, i: F.when(i == 0, F.array(F.when(title, _part("keep", w)).otherwise(
         _part(F.concat(F.lit("given_"), gender), w)))).otherwise(F.array(
@@ -247,6 +255,19 @@ def drawn_again(units: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"units still share a surrogate after {DRAWS} draws")
 
 
+def settled_kinds(units: DataFrame) -> DataFrame:
+    """(kind, unit, settled) of those given names (kind, unit; distinct) whose
+    kind in the corpus is another than where they stand."""
+    seen = lambda kind: F.max(F.col("kind") == kind)
+    known = (F.when(F.col("unit").rlike(_words(GIVEN["f"].lower())), "given_f")
+             .when(F.col("unit").rlike(_words(GIVEN["m"].lower())), "given_m").otherwise("given_u"))
+    one = (F.when(F.col("f") & ~F.col("m"), "given_f").when(F.col("m") & ~F.col("f"), "given_m").otherwise(known))
+    given = units.where(F.col("kind").startswith("given_"))
+    made = (given.groupBy("unit").agg(seen("given_f").alias("f"), seen("given_m").alias("m"))
+            .select("unit", one.alias("settled")))
+    return given.join(made, "unit").where("kind != settled").select("kind", "unit", "settled")
+
+
 def _unit_key(kind: Column, unit: Column) -> Column:
     return F.concat_ws("|", kind, unit)
 
@@ -260,16 +281,24 @@ def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", tex
                            parts_of(m), lambda p: p["kind"] != "keep"))).alias("parts")), "pii-hits")
     unit = F.struct(F.col("p.kind").alias("kind"), normal(F.col("p.kind"), F.col("p.raw")).alias("unit"))
     exploded = hits.select("hash", F.explode("parts").alias("p")).select("hash", unit.alias("u")).select("hash", "u.*")
-    units = materialize(exploded.select("kind", "unit").distinct(), "pii-units")
-    again = drawn_again(units, key)
-    named = F.struct(_unit_key(F.col("kind"), F.col("unit")).alias("key"), "attempt")
-    others = materialize(exploded.join(again, ["kind", "unit"]).select("hash", named.alias("e")).distinct()
+    stand = materialize(exploded.select("kind", "unit").distinct(), "pii-stand")
+    settled = materialize(settled_kinds(stand), "pii-settled")
+    placed = materialize(stand.join(settled, ["kind", "unit"], "left")
+                         .select("kind", "unit", F.coalesce("settled", "kind").alias("settled")), "pii-placed")
+    units = materialize(placed.select(F.col("settled").alias("kind"), "unit").distinct(), "pii-units")
+    again = drawn_again(units, key).withColumnRenamed("kind", "settled")
+    differs = (placed.join(again, ["settled", "unit"], "left").where((F.col("kind") != F.col("settled")) | F.col("attempt").isNotNull())
+               .select("kind", "unit", F.struct("settled", F.coalesce("attempt", F.lit(0)).alias("attempt")).alias("draw")))
+    named = F.struct(_unit_key(F.col("kind"), F.col("unit")).alias("key"), "draw")
+    others = materialize(exploded.join(differs, ["kind", "unit"]).select("hash", named.alias("e")).distinct()
                          .groupBy("hash").agg(F.map_from_entries(F.collect_list("e")).alias("draws")), "pii-again")
 
     def replaced(match: Column) -> Column:
         def drawn(p, u):
-            attempt = F.coalesce(F.element_at(F.col("draws"), _unit_key(p["kind"], u)), F.lit(0))
-            return _let(surrogate(p["kind"], u, attempt, key), lambda new: _rendered(p["kind"], p["raw"], new))
+            own = F.struct(p["kind"].alias("settled"), F.lit(0).alias("attempt"))
+            found = F.coalesce(F.element_at(F.col("draws"), _unit_key(p["kind"], u)), own)
+            return _let(found, lambda d: _let(surrogate(d["settled"], u, d["attempt"], key),
+                                              lambda new: _rendered(p["kind"], p["raw"], new)))
 
         def one(p):
             return F.when(p["kind"] == "keep", p["raw"]).otherwise(_let(normal(p["kind"], p["raw"]), lambda u: drawn(p, u)))

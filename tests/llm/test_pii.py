@@ -81,3 +81,19 @@ def test_no_python_in_the_plan(spark):
 def test_luhn(spark):
     df = spark.createDataFrame([("4111111111111111",), ("79927398713",), ("79927398710",)], "d string")
     assert [r[0] % 10 for r in df.select(P._luhn(F.col("d"))).collect()] == [0, 0, 7]
+
+
+def test_one_surrogate_whatever_stands_before(spark):
+    rows = [(1, "saw Dr. Maria Smith today"), (2, "saw Mrs. Maria Smith today"), (3, "saw Maria Smith today"), (4, "saw Professor John Smith today"),
+            (5, "saw Dr. Kim Smith today"), (6, "saw Mrs. Kim Smith today"), (7, "saw Prof. Lee Smith today"),
+            (8, "saw Mr. Robin Smith today"), (9, "saw Ms. Robin Smith today"), (10, "saw Dr. Robin Smith today"), (11, "saw Dr. Smith today")]
+    title = r" (Dr|Mrs|Mr|Ms|Prof|Professor)\.? "
+    out = {i: re.fullmatch(r"saw (?:(\w+) )?(\w+) today", re.sub(title, " ", t)) for i, t, _ in run(spark, rows)}
+    given = {i: m[1] for i, m in out.items()}
+    assert len({m[2] for m in out.values()}) == 1
+    assert len({given[1], given[2], given[3]}) == 1 and given[5] == given[6] and len({given[8], given[9], given[10]}) == 1
+    assert len({given[1], given[4], given[5], given[7], given[8]}) == 5 and given[11] is None
+    ends = lambda i, g: given[i].endswith(tuple(P.ENDINGS["latin"][g].split()))
+    assert ends(1, "f") and ends(4, "m") and ends(5, "f") and ends(7, "u") and ends(8, "u")
+    (_, alone, _), = run(spark, rows[:1])
+    assert alone == f"saw Dr. {given[1]} {out[1][2]} today"
