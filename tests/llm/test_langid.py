@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from rankweave.llm import langid as L
@@ -59,3 +60,15 @@ def test_nothing_to_learn(spark):
     one = L.fit_rows([("some text", "en")])
     assert [tuple(r)[1:] for r in L.identify(df, one).collect()] == [("en", 1.0)]
     assert L.identify(rows(spark, []), one).count() == 0
+
+
+def test_language_stage_drops_only_unknown(spark, monkeypatch):
+    import corpus_pipeline
+
+    langs = ["ar", "en", "fi", "fr", "ga", "hi", "lt", "ru", "ta", "tr"]  # a family each, with even margins
+    model = L.Model(langs, sorted(L.family_of(x) for x in langs), [], np.zeros((1 << L.HASH_BITS, 10), np.float32), np.ones(10))
+    monkeypatch.setattr(L, "fit_corpus", lambda docs: model)
+    df = spark.createDataFrame([(1, "a short clean text"), (2, "12 + 34 = 46"), (3, None)], "doc_id long, text string")
+    scores = {r.row.doc_id: round(r.score, 6) for r in L.identify(df, model).collect()}
+    assert scores == {1: 0.1, 2: 0.0, 3: 0.0}
+    assert [r.doc_id for r in corpus_pipeline.identify_language(spark, df, "").collect()] == [1]
