@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, embeddings, langid, linededup, mixing, pii, sharding, simhash, tokencount,
+from . import (decontaminate, embeddings, langid, linededup, mixing, packed, pii, sharding, simhash, tokencount,
                urlfilter)
-from .common import read_table
+from .common import read_table, scratch_path
 
 #: a deployment passes a secret of its own
 PII_KEY = "rankweave"
+#: folder of the public vocabulary files on every machine
+TOKENIZERS = "/opt/tokenizers"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -77,3 +79,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_personal_data(read_table(spark, sf_dir, "documents"), key=PII_KEY)
+
+
+@query
+def op11_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "packed")
+    packed.write_packed(read_table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/{packed.VOCABULARY}")
+    return packed.digests(packed.read_packed(spark, path))
