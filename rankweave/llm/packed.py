@@ -52,10 +52,12 @@ BLOCK_IDS = 4096
 #: ids of a read task, and of one batch it returns (a document is never cut)
 TASK_IDS = 1 << 25
 BATCH_IDS = 1 << 20
-#: texts encoded at once, in bytes, and distinct words kept by a task in each of two generations
+#: texts encoded at once, in bytes; distinct words joined in one text, and the mark between them
 CHUNK_BYTES = 8 << 20
-CACHE_WORDS = 1 << 18
-LONG_WORD = 64
+JOIN_WORDS = 1024
+MARK = "|"
+#: newest distinct words a worker keeps with their ids
+KEPT_WORDS = 1 << 19
 SCHEMA = "doc_id long, start long, ids array<int>"
 
 
@@ -124,7 +126,7 @@ class FileWriter:
         self.documents += [d or 0 for d in documents]
         self.known += [d is not None for d in documents]
         self.starts += (self.starts[-1] + np.cumsum(lengths, dtype=np.int64)).tolist()
-        flow = np.concatenate([self.rest, ids.astype(np.uint32)])
+        flow = np.concatenate([self.rest, ids], dtype=np.uint32, casting="unsafe")
         whole = len(flow) - len(flow) % self.block
         self.sink.write(pack(flow[:whole], self.bits))
         size = self.block * self.bits // 8
@@ -191,6 +193,12 @@ def read_manifest(path: str) -> dict:
 
 # -- Spark source and sink ----------------------------------------------------------
 
+def _runs(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lengths, ids) of a column of id lists."""
+    yield (pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False),
+           lists.flatten().to_numpy(zero_copy_only=False))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     partition: int
@@ -200,17 +208,21 @@ class Written(WriterCommitMessage):
 
 
 class PackedWriter(DataSourceArrowWriter):
-    """One file for each task; rows are (doc_id, ids) in the order to be kept."""
+    """One file for each task; rows are (doc_id, ids), or (doc_id, text) to be
+    encoded with the option ``vocabulary``, in the order to be kept."""
 
     def __init__(self, options):
         self.path = options["path"]
         self.bits = int(options["bits"])
         self.block = int(options.get("block", BLOCK_IDS))
+        self.vocabulary = options.get("vocabulary")
+        self.end_id = int(options.get("end_id", END_ID))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         part = TaskContext.get().partitionId()
         fs, folder = _store(self.path)
         name, sink, writer = None, None, None
+        encoder = encoder_of(self.vocabulary, self.end_id) if self.vocabulary else None
         for batch in iterator:
             if not batch.num_rows:
                 continue
@@ -219,10 +231,10 @@ class PackedWriter(DataSourceArrowWriter):
                 name = f"part-{part:06d}-{os.urandom(6).hex()}.ids"
                 sink = fs.open_output_stream(f"{folder}/{name}")
                 writer = FileWriter(sink, self.bits, self.block)
-            lists = batch.column("ids")
-            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            writer.append(batch.column("doc_id").to_pylist(), lengths,
-                          lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32))
+            at = 0
+            for lengths, ids in encoder.encode(batch.column("text")) if encoder else _runs(batch.column("ids")):
+                writer.append(batch.column("doc_id")[at:at + len(lengths)].to_pylist(), lengths, ids)
+                at += len(lengths)
         if writer is None:
             return Written(part, None, 0, 0)
         documents, ids = writer.finish()
@@ -289,7 +301,7 @@ class PackedReader(DataSourceReader):
 
 class PackedIds(DataSource):
     """``spark.read.format("packed_ids")``: (doc_id, start, ids); ``write``
-    takes (doc_id, ids) and the option ``bits``."""
+    takes (doc_id, ids) or (doc_id, text) and the option ``bits``."""
 
     @classmethod
     def name(cls) -> str:
@@ -309,8 +321,9 @@ class PackedIds(DataSource):
 
 class Encoder:
     """Ids of whole texts. No token of the vocabulary holds white space, so a
-    word stands alone and the library encodes each distinct word of a batch
-    once; short words are kept in two generations."""
+    word stands alone, and the library encodes each distinct word of a chunk
+    once, many in one text with a mark between them. A word that holds the
+    mark is encoded by itself. The newest words are kept, as two columns."""
 
     def __init__(self, vocabulary: str, end_id: int):
         from tokenizers import Tokenizer
@@ -318,78 +331,108 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(vocabulary)
         self.end_id = end_id
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
-
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        missing = []
-        for w in words:
-            if w not in self.young:
-                if w in self.old:
-                    self.young[w] = self.old[w]
-                else:
-                    missing.append(w)
-        found = {}
-        if missing:
-            coded = self.library.encode_batch_fast(missing, add_special_tokens=False)
-            found = {w: np.array(e.ids, np.int32) for w, e in zip(missing, coded)}
-        out = [self.young[w] if w in self.young else found[w] for w in words]
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        self.young.update((w, ids) for w, ids in found.items() if len(w) <= LONG_WORD)
+        coded = self._encode([MARK])[0]
+        self.mark = coded[0] if len(coded) == 1 else None
+        self.words = pa.array([], pa.large_string())
+        self.lists = pa.array([], pa.list_(pa.int32()))
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lists(self, words: pa.Array) -> pa.ListArray:
+        """Ids of distinct words."""
+        place = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(place))
+        if len(new):
+            lengths, ids = self._new_words(new)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(ids))
+            known, self.lists = self.lists, pa.concat_arrays([self.lists, lists])
+            self.words = pa.concat_arrays([self.words, new])
+            place = place.to_numpy(zero_copy_only=False)
+            place = np.where(np.isnan(place), len(known) + np.cumsum(np.isnan(place)) - 1, place).astype(np.int64)
+        out = self.lists.take(pa.array(place))
+        if len(self.words) > KEPT_WORDS:
+            # copies, so that what is dropped is let go
+            newest = pa.array(np.arange(len(self.words) - KEPT_WORDS // 2, len(self.words)))
+            self.words, self.lists = self.words.take(newest), self.lists.take(newest)
         return out
 
-    def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _new_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of words the library has to encode."""
+        alone = pc.match_substring(words, MARK).to_numpy(zero_copy_only=False)
+        if self.mark is None:
+            alone[:] = True
+        lengths, parts = np.zeros(len(words), np.int64), [np.zeros(0, np.int32)]
+        # words that are joined come first, in order, then those by themselves
+        joined, single = np.nonzero(~alone)[0], np.nonzero(alone)[0]
+        plain = words.take(pa.array(joined)).to_pylist()
+        for at in range(0, len(plain), JOIN_WORDS):
+            group = plain[at:at + JOIN_WORDS]
+            ids = np.array(self._encode([f" {MARK} ".join(group)])[0], np.int32)
+            marks = np.nonzero(ids == self.mark)[0]
+            if len(marks) == len(group) - 1:
+                stops = np.append(marks, len(ids))
+                lengths[joined[at:at + len(group)]] = np.diff(stops, prepend=-1) - 1
+                parts.append(np.delete(ids, marks))
+            else:
+                each = self._encode(group)
+                lengths[joined[at:at + len(group)]] = [len(x) for x in each]
+                parts.append(np.array([i for x in each for i in x], np.int32))
+        each = self._encode(words.take(pa.array(single)).to_pylist()) if len(single) else []
+        lengths[single] = [len(x) for x in each]
+        parts.append(np.array([i for x in each for i in x], np.int32))
+        order = np.concatenate([joined, single])
+        flat = np.concatenate(parts)
+        if not len(single):
+            return lengths, flat
+        # back to the order of the words
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths[order])).astype(np.int32)), pa.array(flat))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return lengths, lists.take(pa.array(back)).flatten().to_numpy()
+
+    def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """(lengths, ids) of texts without nulls, end ids included."""
         parted = pc.ascii_split_whitespace(texts)
         counts = pc.list_value_length(parted).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = parted.flatten().dictionary_encode()
-        words = self._words(coded.dictionary.to_pylist()) + [np.array([self.end_id], np.int32)]
-        sizes = np.array([len(w) for w in words], np.int64)
-        table = np.concatenate(words)
-        # the words of each text, then the end id
+        # the last word of the table is the end id
+        table = pa.concat_arrays([self._lists(coded.dictionary), pa.array([[self.end_id]], pa.list_(pa.int32()))])
+        lengths = pc.list_value_length(table).to_numpy()
         ends = np.cumsum(counts + 1) - 1
-        flow = np.full(int((counts + 1).sum()), len(words) - 1, np.int64)
+        flow = np.full(int(ends[-1]) + 1, len(lengths) - 1, np.int32)
         inner = np.ones(len(flow), bool)
         inner[ends] = False
         flow[inner] = coded.indices.to_numpy(zero_copy_only=False)
-        n = sizes[flow]
-        upto = np.cumsum(n)
-        first = (np.cumsum(sizes) - sizes)[flow]
-        ids = table[np.repeat(first - (upto - n), n) + np.arange(int(upto[-1]) if len(upto) else 0)]
-        stops = upto[ends]
-        return np.diff(stops, prepend=0), ids
-
-    def encode(self, texts: pa.Array) -> pa.ListArray:
+        return np.diff(np.cumsum(lengths[flow])[ends], prepend=0), table.take(pa.array(flow)).flatten()
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(lengths, ids) for one run of texts after the other, whole texts of
+        CHUNK_BYTES together (one text if it is longer)."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-        lengths, ids, at = [], [], 0
-        bounds = np.cumsum(sizes)
+        bounds = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
         while at < len(texts):
             before = int(bounds[at - 1]) if at else 0
             end = max(at + 1, int(np.searchsorted(bounds, before + CHUNK_BYTES, side="right")))
-            n, found = self._chunk(texts[at:end])
-            lengths.append(n)
-            ids.append(found)
+            lengths, ids = self._chunk(texts[at:end])
+            yield lengths, ids.to_numpy(zero_copy_only=False)
             at = end
-        stops = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]) if lengths else np.zeros(1, np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(flat))
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def token_ids(text: Column, vocabulary: str, end_id: int = END_ID) -> Column:
-    """Array of the ids of a whole text and the end id; ``vocabulary`` is the
-    path of a tokenizer file that every machine has."""
-    def of(texts: pa.Array) -> pa.Array:
-        key = (vocabulary, end_id)
-        if key not in _ENCODERS:
-            _ENCODERS[key] = Encoder(vocabulary, end_id)
-        return _ENCODERS[key].encode(texts)
+def encoder_of(vocabulary: str, end_id: int) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    from . import packed as module  # the writer travels by value, its encoders stay
 
-    return F.arrow_udf(of, "array<int>")(text)
+    key = (vocabulary, end_id)
+    if key not in module._ENCODERS:
+        module._ENCODERS[key] = module.Encoder(vocabulary, end_id)
+    return module._ENCODERS[key]
 
 
 def vocabulary_size(vocabulary: str) -> int:
@@ -410,8 +453,8 @@ def write_packed(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("tie"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    (ordered.select("doc_id", token_ids(F.col("text"), vocabulary, end_id).alias("ids"))
-     .write.format(FORMAT).mode("append").option("path", path).option("bits", bits).save())
+    (ordered.select("doc_id", "text").write.format(FORMAT).mode("append").option("path", path).option("bits", bits)
+     .option("vocabulary", vocabulary).option("end_id", end_id).save())
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:

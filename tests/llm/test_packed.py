@@ -65,22 +65,41 @@ def test_random_access(tmp_path):
     file.close()
 
 
+def encoded(texts):
+    out = []
+    for lengths, ids in packed.Encoder(VOCABULARY, packed.END_ID).encode(pa.array(texts, pa.string())):
+        out += [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+    return out
+
+
 def test_words_equal_whole_texts(library):
     rng = np.random.default_rng(5)
-    parts = ["Don't", "l'état", "é", "́", "ΣΑΣ", "İ", "<|endoftext|>", "a<|startoftext|>b", "12345", "...", " ", "　",
-             "​", "\x1c", "\x85", "日本語", "한국어", "😀", "ﬁ", "x" * 300, "\x0b", "\r\n", "\t", " ", "  ", "\n", "\x00"]
+    parts = ["Don't", "l'état", "é", "\u0301", "ΣΑΣ", "İ", "<|endoftext|>", "a<|startoftext|>b", "12345", "...", " ", "\u3000",
+             "\u200b", "\x1c", "\x85", "日本語", "한국어", "😀", "ﬁ", "x" * 300, "\x0b", "\r\n", "\t", "\xa0", "  ", "\n", "\x00",
+             "|", "a|b", "||", "| |"]
     texts = ["", " ", "\n\n"] + ["".join(parts[i] + [" ", "", "\t"][rng.integers(3)] for i in rng.integers(0, len(parts), 30))
                                  for _ in range(200)]
-    got = packed.Encoder(VOCABULARY, packed.END_ID).encode(pa.array(texts))
-    assert [x.as_py() for x in got] == [whole(library, t) for t in texts]
+    assert encoded(texts + [None]) == [whole(library, t) for t in texts + [None]]
 
 
-def test_cache_generations(monkeypatch, library):
-    monkeypatch.setattr(packed, "CACHE_WORDS", 3)
+def test_small_chunks(monkeypatch, library):
     monkeypatch.setattr(packed, "CHUNK_BYTES", 10)
+    monkeypatch.setattr(packed, "JOIN_WORDS", 2)
+    monkeypatch.setattr(packed, "KEPT_WORDS", 4)
     texts = [f"w{i % 7} v{i % 3} u{i}" for i in range(60)]
-    got = packed.Encoder(VOCABULARY, packed.END_ID).encode(pa.array(texts))
-    assert [x.as_py() for x in got] == [whole(library, t) for t in texts]
+    assert encoded(texts) == [whole(library, t) for t in texts]
+    monkeypatch.setattr(packed, "MARK", "ab cd")   # no single id: every word by itself
+    assert encoded(texts) == [whole(library, t) for t in texts]
+
+
+def test_lists_of_ids_are_written_as_they_are(spark):
+    path = scratch_path(spark, "packed-test")
+    spark.dataSource.register(packed.PackedIds)
+    rows = [(1, [3, 0, 7]), (2, None), (4, []), (None, [5])]
+    (spark.createDataFrame(rows, "doc_id long, ids array<int>").coalesce(1).write.format(packed.FORMAT).mode("append")
+     .option("path", path).option("bits", 3).save())
+    got = [(r.doc_id, r.start, r.ids) for r in packed.read_packed(spark, path).collect()]
+    assert got == [(1, 0, [3, 0, 7]), (2, 3, []), (4, 3, []), (None, 3, [5])]
 
 
 def expected(library, rows):
