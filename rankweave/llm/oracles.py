@@ -37,5 +37,40 @@ kept AS (
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
        coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+""",
+    "op13_prefixtrie": r"""
+WITH own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos,
+         md5(coalesce(role, '')) || md5(coalesce(text, '')) AS t, length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, c - c % 100 AS base,
+         xor(list_reduce(list_transform(range(8 * length(c::VARCHAR)),
+               lambda i: CASE WHEN i % 8 = 0 THEN ord(substr(c::VARCHAR, (i // 8 + 1)::BIGINT, 1))::BIGINT ELSE 0 END),
+             lambda x, y: xor(xor(x, y) >> 1, (xor(x, y) & 1) * 3988292384), 4294967295::BIGINT), 4294967295::BIGINT) % 6 AS h
+  FROM (SELECT DISTINCT c FROM own)),
+mixed AS (
+  SELECT v.c, b.pos AS pos, b.t, b.chars FROM convs v JOIN own b ON b.c = v.base AND b.pos < v.h
+  UNION ALL
+  SELECT v.c, 1000000 + o.pos, o.t, o.chars FROM convs v JOIN own o ON o.c = v.c AND o.pos >= v.h),
+placed AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY pos) AS depth, t, chars FROM mixed),
+paths AS (
+  SELECT c, depth, md5(string_agg(t, '') OVER (PARTITION BY c ORDER BY depth)) AS k, chars FROM placed
+  UNION ALL SELECT c, 0, 'root', 0 FROM convs),
+lengths AS (SELECT c, max(depth) AS n FROM paths GROUP BY c),
+nodes AS (
+  SELECT k, depth, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE depth = n), '') AS ends
+  FROM paths JOIN lengths USING (c) GROUP BY k, depth),
+parents AS (SELECT DISTINCT a.k, b.k AS parent FROM paths a JOIN paths b ON b.c = a.c AND b.depth = a.depth - 1),
+children AS (SELECT parent AS k, count(*) AS n_children FROM parents GROUP BY parent),
+below AS (SELECT DISTINCT a.k AS top, b.k FROM paths a JOIN paths b ON b.c = a.c AND b.depth >= a.depth),
+subtree AS (
+  SELECT b.top AS k, count(*) FILTER (WHERE c.k IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved_tokens
+  FROM below b JOIN nodes n ON n.k = b.k LEFT JOIN children c ON c.k = b.k GROUP BY b.top)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0)::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n LEFT JOIN parents q ON q.k = n.k LEFT JOIN nodes p ON p.k = q.parent
+LEFT JOIN children c ON c.k = n.k LEFT JOIN subtree s ON s.k = n.k
 """,
 }

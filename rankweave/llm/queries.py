@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, embeddings, langid, linededup, mixing, packed, pii, sharding, simhash, tokencount,
-               urlfilter)
+from . import (decontaminate, embeddings, langid, linededup, mixing, packed, pii, prefixtrie, sharding, simhash,
+               tokencount, urlfilter)
 from .common import read_table, scratch_path
 
 #: a deployment passes a secret of its own
@@ -86,3 +86,9 @@ def op11_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "packed")
     packed.write_packed(read_table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/{packed.VOCABULARY}")
     return packed.digests(packed.read_packed(spark, path))
+
+
+@query
+def op13_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixtrie.ordered_turns(read_table(spark, sf_dir, "conversations"))
+    return prefixtrie.prefix_trie(*prefixtrie.rebuild(turns))
