@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, embeddings, langid, linededup, mixing, packed, pii, prefixtrie, sharding, simhash,
+from . import (decontaminate, embeddings, hardneg, langid, linededup, mixing, packed, pii, prefixtrie, sharding, simhash,
                tokencount, urlfilter)
 from .common import read_table, scratch_path
 
@@ -88,6 +88,13 @@ def op11_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.digests(packed.read_packed(spark, path))
 
 
+@query
+def op12_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(hardneg.prepared(table.withColumn("label", moved)), F.col("id") % 50 == 0)
+
+
 @query
 def op13_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefixtrie.ordered_turns(read_table(spark, sf_dir, "conversations"))
