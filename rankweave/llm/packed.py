@@ -51,13 +51,13 @@ END_ID = 1
 BLOCK_IDS = 4096
 #: ids of a read task, and of one batch it returns (a document is never cut)
 TASK_IDS = 1 << 25
-BATCH_IDS = 1 << 20
+BATCH_IDS = 1 << 18
 #: texts encoded at once, in bytes; distinct words joined in one text, and the mark between them
-CHUNK_BYTES = 8 << 20
-JOIN_WORDS = 1024
+CHUNK_BYTES = 2 << 20
+JOIN_WORDS = 128
 MARK = "|"
 #: newest distinct words a worker keeps with their ids
-KEPT_WORDS = 1 << 19
+KEPT_WORDS = 1 << 18
 SCHEMA = "doc_id long, start long, ids array<int>"
 
 
@@ -466,9 +466,9 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
 def ids_crc32(ids: Column) -> Column:
     """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
     def of(lists: pa.Array) -> pa.Array:
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+        flat = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)).astype("<i4", copy=False)
         ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-        return pa.array([zlib.crc32(part.tobytes()) for part in np.split(flat, ends[:-1])] if len(lists) else [], pa.int64())
+        return pa.array([zlib.crc32(part) for part in np.split(flat, ends[:-1])] if len(lists) else [], pa.int64())
 
     return F.arrow_udf(of, "long")(ids)
 
