@@ -53,9 +53,14 @@ BLOCK_IDS = 4096
 TASK_IDS = 1 << 25
 BATCH_IDS = 1 << 18
 #: texts encoded at once, in bytes; distinct words joined in one text, and the mark between them
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
 JOIN_WORDS = 128
 MARK = "|"
+#: letters with a lower case of one letter, and the end of a clause behind one of them
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+PLAIN_WORD = f"^[{LETTERS}]+$"
+SENTENCE_END = rf"([{LETTERS}])([.,;:!?]+)(\s|$)"
+PROBES = ["", "It's two words, Été ÀÖØÞß; don't! x?! 12.5 a.b", " \n", "one|two ||", "Ende. Anfang:", "İ. é, ﬁ. e\u0301. 'S."]
 #: newest distinct words a worker keeps with their ids
 KEPT_WORDS = 1 << 18
 SCHEMA = "doc_id long, start long, ids array<int>"
@@ -320,24 +325,39 @@ class PackedIds(DataSource):
 # -- encoding -----------------------------------------------------------------------
 
 class Encoder:
-    """Ids of whole texts. No token of the vocabulary holds white space, so a
-    word stands alone, and the library encodes each distinct word of a chunk
+    """Ids of whole texts. Where no token of the vocabulary holds white space,
+    a word stands alone, and the library encodes each distinct word of a chunk
     once, many in one text with a mark between them. A word that holds the
-    mark is encoded by itself. The newest words are kept, as two columns."""
+    mark is encoded by itself. The newest words are kept, as two columns.
+
+    Words of plain letters in lower case need no normalising and no splitting;
+    they go through the same model without these steps. Both ways are tried on
+    PROBES first, and a vocabulary that answers otherwise gets whole texts."""
 
     def __init__(self, vocabulary: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = Tokenizer.from_file(vocabulary)
+        self.library, self.light = Tokenizer.from_file(vocabulary), Tokenizer.from_file(vocabulary)
+        self.light.normalizer = normalizers.Sequence([])
+        self.light.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.end_id = end_id
         coded = self._encode([MARK])[0]
         self.mark = coded[0] if len(coded) == 1 else None
         self.words = pa.array([], pa.large_string())
         self.lists = pa.array([], pa.list_(pa.int32()))
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.plain, self.by_words = True, True
+        whole = [ids + [end_id] for ids in self._encode(PROBES)]
+        for self.plain, self.by_words in ((True, True), (False, True), (False, False)):
+            self.words, self.lists = self.words[:0], self.lists[:0]
+            lengths, ids = self._chunk(pa.array(PROBES, pa.large_string()))
+            if [x.tolist() for x in np.split(ids.to_numpy(), np.cumsum(lengths)[:-1])] == whole:
+                break
+
+    def _encode(self, texts: list[str], light: bool = False) -> list[list[int]]:
+        library = self.light if light else self.library
+        return [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _lists(self, words: pa.Array) -> pa.ListArray:
         """Ids of distinct words."""
@@ -358,36 +378,25 @@ class Encoder:
         return out
 
     def _new_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(lengths, ids) of words the library has to encode."""
+        """(lengths, ids) of words the library has to encode: plain ones, others, those with the mark."""
         alone = pc.match_substring(words, MARK).to_numpy(zero_copy_only=False)
         if self.mark is None:
             alone[:] = True
-        lengths, parts = np.zeros(len(words), np.int64), [np.zeros(0, np.int32)]
-        # words that are joined come first, in order, then those by themselves
-        joined, single = np.nonzero(~alone)[0], np.nonzero(alone)[0]
-        plain = words.take(pa.array(joined)).to_pylist()
-        for at in range(0, len(plain), JOIN_WORDS):
-            group = plain[at:at + JOIN_WORDS]
-            ids = np.array(self._encode([f" {MARK} ".join(group)])[0], np.int32)
-            marks = np.nonzero(ids == self.mark)[0]
-            if len(marks) == len(group) - 1:
-                stops = np.append(marks, len(ids))
-                lengths[joined[at:at + len(group)]] = np.diff(stops, prepend=-1) - 1
+        plain = pc.match_substring_regex(words, PLAIN_WORD).to_numpy(zero_copy_only=False) & ~alone & self.plain
+        lengths, parts, order = np.zeros(len(words), np.int64), [np.zeros(0, np.int32)], []
+        for kind, step in ((plain, JOIN_WORDS), (~plain & ~alone, JOIN_WORDS), (alone, 1)):
+            places = np.nonzero(kind)[0]
+            order.append(places)
+            part = words.take(pa.array(places))
+            texts = (pc.utf8_lower(part) if kind is plain else part).to_pylist()
+            for at in range(0, len(texts), step):
+                group, to = texts[at:at + step], places[at:at + step]
+                ids = np.array(self._encode([f" {MARK} ".join(group)], kind is plain)[0], np.int32)
+                marks = np.nonzero(ids == self.mark)[0] if step > 1 else np.zeros(0, np.int64)
+                lengths[to] = np.diff(np.append(marks, len(ids)), prepend=-1) - 1
                 parts.append(np.delete(ids, marks))
-            else:
-                each = self._encode(group)
-                lengths[joined[at:at + len(group)]] = [len(x) for x in each]
-                parts.append(np.array([i for x in each for i in x], np.int32))
-        each = self._encode(words.take(pa.array(single)).to_pylist()) if len(single) else []
-        lengths[single] = [len(x) for x in each]
-        parts.append(np.array([i for x in each for i in x], np.int32))
-        order = np.concatenate([joined, single])
-        flat = np.concatenate(parts)
-        if not len(single):
-            return lengths, flat
+        order, flat = np.concatenate(order), np.concatenate(parts)
         # back to the order of the words
-        starts = np.zeros(len(words), np.int64)
-        starts[order] = np.cumsum(lengths[order]) - lengths[order]
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths[order])).astype(np.int32)), pa.array(flat))
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
@@ -395,6 +404,11 @@ class Encoder:
 
     def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """(lengths, ids) of texts without nulls, end ids included."""
+        if not self.by_words:
+            coded = [ids + [self.end_id] for ids in self._encode(texts.to_pylist())]
+            return np.array([len(x) for x in coded], np.int64), pa.array([i for x in coded for i in x], pa.int32())
+        if self.plain:
+            texts = pc.replace_substring_regex(texts, SENTENCE_END, r"\1 \2\3")
         parted = pc.ascii_split_whitespace(texts)
         counts = pc.list_value_length(parted).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = parted.flatten().dictionary_encode()
