@@ -1,33 +1,29 @@
-"""Okapi BM25 as DataFrame jobs.
-
-Index = three tables:
-  postings(by..., <id>, term, tf, dl)   one row per (document, distinct term)
-  docs(by..., <id>, dl)                 one row per document
-  terms(by..., term, df, idf)           one row per distinct term
-and per-corpus statistics n, avgdl and mean raw idf.
-
-``by`` names the corpus key. Corpus mode (``by=[]``) has one corpus and many
-queries; its statistics are scalar subqueries. Candidate mode
-(``by=['query_id']``) builds one small corpus per query: every statistic is
-grouped by the query key, so many queries are scored in one job.
-
-Scoring joins the query-term table to postings on the term. Query terms are
+"""Okapi BM25 over a corpus as DataFrame jobs.
+
+An index is four tables:
+  postings(<id>, term, tf, dl)   one row per (document, distinct term)
+  docs(<id>, dl)                 one row per document
+  terms(term, df, idf)           one row per distinct term
+  stats(n, avgdl, mean_idf)      one row
+A stored index (:mod:`rankweave.operators.stored_index`) keeps the postings as
+rows of (block, term) with arrays, bucketed by block of documents, so scoring
+needs no exchange on (query, document).
+
+Scoring joins the weighted query terms to postings on the term. Query terms are
 the small side (a request batch); the join is an equi-join, never a cross
 product, and only documents holding at least one query term produce rows.
+Per-query corpora of candidates are scored in :mod:`rankweave.operators.relevance`.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Tokenizer, tokenize, with_tokens
-from ..session import cut_lineage
-
-# Folders by term that a stored index is divided into.
-TERM_SHARDS = 16
+from ..session import cut_lineage, store
 
 # Fixed BM25 parameters (Okapi, with the epsilon floor for negative idf).
 K1 = 1.5
@@ -40,40 +36,9 @@ class BM25Index:
     postings: DataFrame
     docs: DataFrame
     terms: DataFrame
-    stats: DataFrame  # by..., n, avgdl, mean_idf
-    by: list[str]
+    stats: DataFrame
     id_col: str
-    entries: DataFrame | None = None  # postings plus one null-term row per empty document
-    dfs: DataFrame | None = None      # by..., term, df (every term of the corpus)
-
-    def persist(self, path: str) -> "BM25Index":
-        """Write the index once (parquet, in the shared folder) and read every
-        table from the files: entries in folders by term shard (a batch of
-        queries reads the shards of its terms only), docs, terms and the
-        statistics row. A corpus without documents is an error.
-
-        The rebalance hint lets Spark split the shard of a frequent term over
-        tasks."""
-        spark = self.postings.sparkSession
-        src = self.entries if self.entries is not None else self.postings
-        src = src.withColumn("shard", term_shard(F.col("term"))).hint("rebalance", F.col("shard"))
-        src.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/entries")
-        entries = spark.read.schema(src.schema).parquet(f"{path}/entries")
-        idx = index_from_entries(entries, self.by, self.id_col)
-        idx.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        docs = spark.read.parquet(f"{path}/docs")
-        if docs.isEmpty():
-            raise ValueError("the corpus has no documents")
-        idx = index_from_entries(entries, self.by, self.id_col, docs)
-        idx.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        idx.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        return BM25Index(idx.postings, docs, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/stats"),
-                         self.by, self.id_col, entries)
-
-
-def term_shard(term: F.Column) -> F.Column:
-    """Folder of a term's postings; the rows of empty documents (no term) are in folder 0."""
-    return F.coalesce(F.pmod(F.xxhash64(term), F.lit(TERM_SHARDS)), F.lit(0)).cast("int")
+    blocks: DataFrame | None = None  # block, term, max_tf, min_dl, list of (id, tf, dl): the postings of a stored index
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -87,62 +52,56 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens",
-                by: list[str] | None = None, materialize: bool = False,
-                text_col: str | None = None, lexer: Tokenizer | None = None) -> BM25Index:
-    """B1 + B2. ``docs`` has ``by..., id_col`` and either ``tokens_col``
-    (array<string>) or ``text_col`` (tokenised here, after spreading).
-
-    One pass produces the entries table: (keys, term, tf, dl) per distinct
-    term of a document, and one row with a null term for a document without
-    tokens (it still counts in N and the mean length). With ``materialize``
-    the entries are checkpointed, so the tokeniser runs once."""
-    by = list(by or [])
-    keys = by + [id_col]
+def document_entries(docs: DataFrame, id_col: str, text_col: str | None = None, tokens_col: str = "tokens",
+                     lexer: Tokenizer | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """(also..., id, term, tf, dl) per distinct term of a document, and one row
+    with a null term for a document without tokens (it still counts in N and the
+    mean length)."""
+    keys = [*also, id_col]
     if text_col is not None:
-        base = docs.select(*keys, text_col)
-        if not by:
-            base = spread(base, id_col)
-        base = with_tokens(base, F.col(text_col), "tokens", lexer=lexer).select(*keys, "tokens")
+        base = with_tokens(docs.select(*keys, text_col), F.col(text_col), "tokens", lexer=lexer).select(*keys, "tokens")
     else:
         base = docs.select(*keys, F.col(tokens_col).alias("tokens"))
-    entries = (base.select(*keys, F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term"))
-               .groupBy(*keys, "term")
-               .agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
+    return (base.select(*keys, F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term"))
+            .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", materialize: bool = False,
+                text_col: str | None = None, lexer: Tokenizer | None = None) -> BM25Index:
+    """B1 + B2 without a stored layout. ``docs`` has the id and either
+    ``tokens_col`` (array<string>) or ``text_col`` (tokenised here, after
+    spreading). With ``materialize`` the entries are checkpointed, so the
+    tokeniser runs once."""
+    base = spread(docs.select(id_col, text_col), id_col) if text_col is not None else docs
+    entries = document_entries(base, id_col, text_col, tokens_col, lexer)
     if materialize:
         entries = cut_lineage(entries)
-    return index_from_entries(entries, by, id_col)
+    postings = entries.filter(F.col("term").isNotNull())
+    doc_len = entries.groupBy(id_col).agg(F.max("dl").alias("dl"))
+    counted = doc_len.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    df_tab = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # one side of these cross joins is a single row
+    raw = df_tab.crossJoin(counted.select("n")).withColumn("idf_raw", raw_idf(F.col("n"), F.col("df")))
+    mean = raw.agg(F.avg("idf_raw").alias("mean_idf"))
+    terms = raw.crossJoin(mean).select("term", "df", idf_value(F.col("idf_raw"), F.col("mean_idf")).alias("idf"))
+    return BM25Index(postings, doc_len, terms, counted.crossJoin(mean), id_col)
 
 
-def index_from_entries(entries: DataFrame, by: list[str], id_col: str, docs: DataFrame | None = None) -> BM25Index:
-    """Index over the entries; ``docs`` (keys, dl) if it is stored."""
-    keys = by + [id_col]
-    postings = entries.filter(F.col("term").isNotNull())
-    doc_len = docs if docs is not None else entries.groupBy(*keys).agg(F.max("dl").alias("dl"))
-    df_tab = postings.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
-    if by:
-        corpus = doc_len.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-        raw = df_tab.join(corpus.select(*by, "n"), by).withColumn(
-            "idf_raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-        mean = raw.groupBy(*by).agg(F.avg("idf_raw").alias("mean_idf"))
-        stats = corpus.join(mean, by, "left")
-        terms = raw.join(mean, by).select(*by, "term", "df", idf_value(F.col("idf_raw"), F.col("mean_idf")).alias("idf"))
-    else:
-        counted = doc_len.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-        raw = df_tab.crossJoin(counted.select("n")).withColumn(
-            "idf_raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-        # both sides of these cross joins but one are a single row
-        mean = raw.agg(F.avg("idf_raw").alias("mean_idf"))
-        stats = counted.crossJoin(mean)
-        terms = raw.crossJoin(mean).select("term", "df", idf_value(F.col("idf_raw"), F.col("mean_idf")).alias("idf"))
-    return BM25Index(postings, doc_len, terms, stats, by, id_col, entries, df_tab)
+def raw_idf(n: Column, df: Column) -> Column:
+    return F.ln(n - df + 0.5) - F.ln(df + 0.5)
 
 
-def idf_value(idf_raw: F.Column, mean_idf: F.Column) -> F.Column:
+def idf_value(idf_raw: Column, mean_idf: Column) -> Column:
     """Negative idf is replaced by epsilon x the corpus mean of the raw idf."""
     return F.when(idf_raw < 0, mean_idf * EPSILON).otherwise(idf_raw)
 
 
+def impact(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """Part of a term's score that depends on the document; it grows with tf and falls with dl."""
+    tf = tf.cast("double")
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
 def query_terms(queries: DataFrame, query_col: str = "query", key: str = "query_id",
                 lexer: Tokenizer | None = None, tokens_col: str | None = None) -> DataFrame:
     """(key, term, qtf): query tokens with repeats counted (a repeated query
@@ -152,47 +111,38 @@ def query_terms(queries: DataFrame, query_col: str = "query", key: str = "query_
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def _contributions(index: BM25Index, qterms: DataFrame, key: str) -> DataFrame:
-    """(key, id, c): one row per matching (query term, document)."""
-    by, idc = index.by, index.id_col
-    if by:
-        # candidate mode: the query key is the corpus key. Weights are computed
-        # for the query's own terms only (the per-query mean raw idf covers
-        # every term), and that small table is broadcast into the postings scan.
-        assert by == [key], "candidate mode scores each query against its own corpus"
-        raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-        weighted = (qterms.join(index.dfs, by + ["term"]).join(index.stats, by)
-                    .select(*by, "term", "qtf", "avgdl", idf_value(raw, F.col("mean_idf")).alias("idf")))
-        joined = weighted.join(index.postings, by + ["term"])
-        avgdl = F.col("avgdl")
-    else:
-        weighted = qterms.join(index.terms, "term")
-        on = ["term"]
-        if "shard" in index.postings.columns:
-            # the filter marks the side as selective, so that Spark prunes the other's folders by it
-            weighted, on = weighted.where(F.col("qtf") > 0).withColumn("shard", term_shard(F.col("term"))), ["shard", "term"]
-        joined = weighted.join(index.postings, on)
-        avgdl = index.stats.select("avgdl").scalar()
-    tf = F.col("tf").cast("double")
-    norm = tf + K1 * (1 - B + B * F.col("dl") / avgdl)
-    contrib = F.col("idf") * F.col("qtf") * tf * (K1 + 1) / norm
-    return joined.select(key, idc, contrib.alias("c"))
+def contributions(index: BM25Index, weights: DataFrame, key: str, blocks: DataFrame | None = None) -> DataFrame:
+    """(key, [block], id, c): one row per matching (query term, document) for
+    ``weights`` (key, term, weight). ``blocks`` (key, block) are the only ones
+    read, if given."""
+    avgdl = index.stats.select("avgdl").scalar()
+    c = (F.col("weight") * impact(F.col("tf"), F.col("dl"), avgdl)).alias("c")
+    if index.blocks is None:
+        return weights.join(index.postings, "term").select(key, index.id_col, c)
+    lists = weights.select(key, "term", "weight").join(index.blocks, "term")
+    if blocks is not None:
+        lists = lists.join(blocks, [key, "block"], "left_semi")
+    return lists.select(key, "block", "weight", F.inline("list")).select(key, "block", F.col("id").alias(index.id_col), c)
 
 
-def score(index: BM25Index, qterms: DataFrame, key: str = "query_id") -> DataFrame:
-    """B3 for matching documents: (key, id, score). Documents sharing no term
-    with the query are absent (their score is 0). Partial sums are formed
-    map-side before the (query, document) exchange."""
-    return _contributions(index, qterms, key).groupBy(key, index.id_col).agg(F.sum("c").alias("score"))
+def document_scores(found: DataFrame, key: str, id_col: str) -> DataFrame:
+    """Sums of contributions; blocks hold whole documents, so the buckets of a
+    stored index serve this grouping as they are."""
+    keys = [key, "block", id_col] if "block" in found.columns else [key, id_col]
+    return found.groupBy(*keys).agg(F.sum("c").alias("score"))
 
 
-def score_all(index: BM25Index, qterms: DataFrame, candidates: DataFrame,
-              key: str = "query_id") -> DataFrame:
-    """Candidate mode: every candidate row keeps a score (0 when it shares no
-    term). ``candidates`` must hold ``key`` and the id column."""
-    s = score(index, qterms, key)
-    return candidates.join(s, [key, index.id_col], "left").withColumn(
-        "score", F.coalesce(F.col("score"), F.lit(0.0)))
+def term_weights(index: BM25Index, qterms: DataFrame) -> DataFrame:
+    """(key, term, weight, ...) for the query terms that the corpus holds."""
+    return qterms.join(index.terms, "term").withColumn("weight", F.col("idf") * F.col("qtf"))
+
+
+def score(index: BM25Index, qterms: DataFrame, key: str = "query_id") -> DataFrame:
+    """B3 for matching documents: (key, id, score). Documents sharing no term
+    with the query are absent (their score is 0). The weights of a batch are
+    stored first, so Spark knows their size when it chooses the join."""
+    weights = store(term_weights(index, qterms).select(key, "term", "weight"), "weights")
+    return document_scores(contributions(index, weights, key), key, index.id_col).select(key, index.id_col, "score")
 
 
 def rank_order(score_col: str = "score", tie_cols: tuple[str, ...] = ("doc_id",)) -> list:
@@ -201,36 +151,43 @@ def rank_order(score_col: str = "score", tie_cols: tuple[str, ...] = ("doc_id",)
     return [F.round(F.col(score_col), 9).desc()] + [F.col(c).asc() for c in tie_cols]
 
 
+def best_of(scores: DataFrame, k: int, key: str, id_col: str) -> DataFrame:
+    """(key, id, score, rank): the k best rows of each query. ``row_number() <=
+    k`` is planned as a partial WindowGroupLimit before the exchange on the key."""
+    w = Window.partitionBy(key).orderBy(*rank_order("score", (id_col,)))
+    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
+        key, id_col, "score", F.col("rank").cast("long").alias("rank"))
+
+
 def top_k(index: BM25Index, qterms: DataFrame, queries: DataFrame, k: int, key: str = "query_id") -> DataFrame:
     """B4 in corpus mode: the k best documents per query among all documents;
     those sharing no term score 0 and come in order of their ids.
 
-    The best k documents with a term are ranked first (``row_number() <= k`` is
-    planned as a partial WindowGroupLimit before the exchange on the query
-    key). Only queries with fewer than k scores above zero can have a document
-    without a term among their k best: for them the first k + m documents by
-    id are taken, m being the documents that hold a term, and those m removed,
-    so that k remain for any corpus."""
+    The best k documents with a term are ranked first. Only queries with fewer
+    than k scores above zero can have a document without a term among their k
+    best: for them the first k + m documents by id are taken, m being the
+    documents that hold a term, and those m removed, so that k remain for any
+    corpus."""
     idc = index.id_col
-    w = Window.partitionBy(key).orderBy(*rank_order("score", (idc,)))
-    best = (score(index, qterms, key).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select(key, idc, "score"))
-    best = cut_lineage(best)
+    qterms = store(qterms, "query-terms")
+    best = store(best_of(score(index, qterms, key), k, key, idc).drop("rank"), "best")
     above = best.groupBy(key).agg(F.sum((F.round("score", 9) > 0).cast("int")).alias("above"))
     short = cut_lineage(queries.select(key).distinct().join(above, key, "left")
                         .where(F.coalesce("above", F.lit(0)) < k).select(key))
     if not short.isEmpty():
-        matched = cut_lineage(score(index, qterms.join(short, key, "left_semi"), key).select(key, idc))
+        matched = store(score(index, qterms.join(short, key, "left_semi"), key).select(key, idc), "matched")
         m = matched.groupBy(key).agg(F.count(F.lit(1)).alias("m"))
+        # places 0 .. k + m - 1 of the documents in order; a hit takes one of them at most
+        limit = matched.groupBy(key).count().agg(F.coalesce(F.max("count"), F.lit(0)) + k)
+        places = numbered(index.docs.select(idc), idc).where(F.col("place") < limit.scalar())
         wanted = short.join(m, key, "left").select(
             key, F.explode(F.sequence(F.lit(0), F.lit(k - 1) + F.coalesce("m", F.lit(0)))).alias("place"))
         first = Window.partitionBy(key).orderBy(idc)
-        fill = (wanted.join(numbered(index.docs.select(idc), idc), "place").join(matched, [key, idc], "left_anti")
+        fill = (wanted.join(places, "place").join(matched, [key, idc], "left_anti")
                 .withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k)
                 .select(key, idc, F.lit(0.0).alias("score")))
         best = best.unionByName(fill)
-    return (best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select(key, idc, F.col("rank").cast("long").alias("rank"), "score"))
+    return best_of(best, k, key, idc).select(key, idc, "rank", "score")
 
 
 def numbered(df: DataFrame, by: str, out: str = "place") -> DataFrame:

@@ -71,13 +71,14 @@ def day_sequence(calls: DataFrame, partitions: int | None = None) -> DataFrame:
             .drop("_pid", "_mid", "_first", "_off"))
 
 
-def quota_assign(calls: DataFrame, keys: DataFrame) -> DataFrame:
+def quota_assign(calls: DataFrame, keys: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Walk keys in order and use the first whose count today is below
     ``daily_limit * threshold``. Counts only grow, so key i serves calls
     number cum_{i-1}+1 .. cum_i of the day, where cap_i = ceil(limit*threshold)
     (0 when the line is <= 0); later calls are ``quota_exceeded``; with no key
     at all every call is ``unavailable``.
     keys: (key_name, idx, daily_limit, threshold) — a small configuration table.
+    before: (day, before) — calls of a day numbered already, one row a day.
     -> (event_id, ts, day, n, key_name)."""
     cap = F.greatest(F.ceil(F.col("daily_limit") * F.col("threshold")), F.lit(0)).cast("long")
     kw = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -85,7 +86,11 @@ def quota_assign(calls: DataFrame, keys: DataFrame) -> DataFrame:
     cfg = ks.agg(F.sort_array(F.collect_list(F.struct("idx", "cum", "key_name"))).alias("k"))
     arr = cfg.select("k").scalar()
     # the 1-row key table enters as a column first: lambdas may not hold subqueries
-    seq = day_sequence(calls).withColumn("_keys", arr)
+    seq = day_sequence(calls)
+    if before is not None:
+        earlier = before.select(F.to_date("day").alias("day"), F.col("before").alias("_before"))
+        seq = (seq.join(earlier, "day", "left").withColumn("n", F.col("n") + F.coalesce("_before", F.lit(0))).drop("_before"))
+    seq = seq.withColumn("_keys", arr)
     slot = F.filter(F.col("_keys"), lambda s: s["cum"] >= F.col("n"))
     assigned = (F.when(F.coalesce(F.size("_keys"), F.lit(0)) <= 0, F.lit(UNAVAILABLE))
                 .when(F.size(slot) == 0, F.lit(QUOTA_EXCEEDED))

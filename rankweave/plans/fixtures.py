@@ -112,11 +112,16 @@ def candidates_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "snippet", "pub_date", "page_url", "news_rank"))
 
 
-def requests_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, query, engines): a request per query, engine lists cycling."""
+def as_requests(items: DataFrame) -> DataFrame:
+    """(query_id, query, engines) of benchmark items, engine lists cycling."""
     cycle = F.array(*[F.lit(s) for s in REQUEST_CYCLE])
-    return queries_fx(spark, sf_dir).withColumn(
-        "engines", F.element_at(cycle, (F.col("query_id") % len(REQUEST_CYCLE) + 1).cast("int")))
+    asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return asked.withColumn("engines", F.element_at(cycle, (F.col("query_id") % len(REQUEST_CYCLE) + 1).cast("int")))
+
+
+def requests_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per benchmark item."""
+    return as_requests(read_table(spark, sf_dir, "benchmark"))
 
 
 def outcomes_fx(spark: SparkSession, sf_dir: str) -> DataFrame:

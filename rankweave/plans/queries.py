@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bm25, content, evaluate, filters, quota, recency, relevance, render, routing
+from ..operators import stored_index as stored
 from ..session import cut_lineage, read_table, scratch_path
 from ..sources import listing, news, pages as pg
-from ..streaming import counters
+from ..streaming import counters, requests, rotation
 from . import fixtures as fx
 from .search import news_rank, news_search, web_search, context_search
 
@@ -51,10 +52,22 @@ def doc_tokens(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", T.tokenize(F.col("text")).alias("tokens"))
 
 
-def corpus_index(spark, sf, materialize: bool = True) -> bm25.BM25Index:
-    """Tokenise the documents once (checkpointed entries), derive the rest."""
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    return bm25.build_index(docs, "doc_id", text_col="text", materialize=materialize)
+#: path of the stored index of a folder of tables, by application: the first query that scores builds it
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark, sf) -> stored.StoredIndex:
+    """The documents' index on disk, tokenised once for all queries of a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        path = scratch_path(spark, "index")
+        stored.build(read_table(spark, sf, "documents").select("doc_id", "text"), path)
+        _STORED[key] = path
+    return stored.open_index(spark, _STORED[key])
+
+
+def corpus_index(spark, sf) -> bm25.BM25Index:
+    return stored_index(spark, sf).index()
 
 
 def news_payloads(spark, sf) -> DataFrame:
@@ -267,8 +280,10 @@ def q_truncate_text(spark, sf):
 
 @query("content_fallback")
 def q_content_fallback(spark, sf):
-    out = pg.content_attach(news_items_fx(spark, sf), pages_df(spark, sf), clean=False)
-    return out.select("query_id", "item_pos", content.content_or(F.col("description")).alias("body"))
+    """Every document: the text of its page, or its own where the page gives none."""
+    docs = fx.docs_fx(spark, sf).select("doc_id", "snippet", F.col("page_url").alias("url"))
+    out = pg.content_attach(docs, pages_df(spark, sf), clean=False)
+    return out.select("doc_id", content.content_or(F.col("snippet")).alias("body"))
 
 
 @query("enrich_top_n")
@@ -343,6 +358,26 @@ def q_bm25_topk(spark, sf):
     return out.select("query_id", "doc_id", "rank", r6(F.col("score")).alias("score"))
 
 
+@query("bm25_topk_pruned")
+def q_bm25_topk_pruned(spark, sf):
+    """The rows of bm25_topk; common terms are read in open blocks only."""
+    idx = corpus_index(spark, sf)
+    q = fx.queries_fx(spark, sf)
+    out = stored.top_k_pruned(idx, bm25.query_terms(q), q, TOP_K).rows
+    return out.select("query_id", "doc_id", "rank", r6(F.col("score")).alias("score"))
+
+
+@query("bm25_segments")
+def q_bm25_segments(spark, sf):
+    """Scores after the index has grown by a segment and lost documents: those
+    whose id is divisible by 5 come later, those divisible by 7 are removed."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    made = stored.build(docs.where("doc_id % 5 <> 0"), scratch_path(spark, "segments"))
+    grown = made.append(docs.where("doc_id % 5 = 0")).delete(docs.where("doc_id % 7 = 0").select("doc_id"))
+    out = bm25.score(grown.index(), bm25.query_terms(fx.queries_fx(spark, sf)))
+    return out.select("query_id", "doc_id", r6(F.col("score")).alias("score"))
+
+
 def _web(spark, sf, **kw):
     return web_search(fx.requests_fx(spark, sf), fx.sources_fx(spark), fx.candidates_fx(spark, sf),
                       pages_df(spark, sf), max_results=WEB_MAX_RESULTS, keywords=fx.EXCLUDED_KEYWORDS,
@@ -554,6 +589,27 @@ def q_stream_daily_calls(spark, sf):
 
 @query("stream_interval_calls")
 def q_stream_interval_calls(spark, sf):
-    """Hourly windows keep the report of a month-long log readable."""
-    counts = counters.interval_counts(_events_stream(spark, sf), "1 hour")
-    return counters.interval_report(_stream_to_table(spark, counts, "interval-calls"))
+    """Every known key each 60 seconds, also without a call."""
+    path = scratch_path(spark, "interval-calls")
+    counters.run_reports(counters.interval_reports(_events_stream(spark, sf)), f"{path}/table", f"{path}/checkpoint")
+    return counters.interval_report(spark, f"{path}/table")
+
+
+@query("stream_quota_assign")
+def q_stream_quota_assign(spark, sf):
+    path = scratch_path(spark, "rotation")
+    rotation.run_rotation(_events_stream(spark, sf), fx.keys_fx(spark), f"{path}/table", f"{path}/checkpoint")
+    return rotation.rotation_table(spark, f"{path}/table").select("event_id", "day", "n", "key_name")
+
+
+@query("stream_web_search")
+def q_stream_web_search(spark, sf):
+    """The benchmark table as a stream of requests."""
+    path = scratch_path(spark, "requests")
+    schema = read_table(spark, sf, "benchmark").schema.simpleString()[len("struct<"):-1].replace(":", " ")
+    asked = fx.as_requests(requests.request_stream(spark, sf, "benchmark.parquet", schema))
+    requests.run_searches(asked, fx.sources_fx(spark), fx.candidates_fx(spark, sf), pages_df(spark, sf), path,
+                          f"{path}/checkpoint", max_results=WEB_MAX_RESULTS, keywords=fx.EXCLUDED_KEYWORDS,
+                          outcomes=fx.outcomes_fx(spark, sf))
+    return requests.answered_rows(spark, path).select(
+        "query_id", "engine", "sec_pos", "rank", "doc_id", "url", content.content_or(F.col("snippet")).alias("body"))

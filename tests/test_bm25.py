@@ -114,23 +114,3 @@ def test_topk_with_negative_scores(spark):
     assert got == [(9, 1), (10, 2)]
     got = [r["doc_id"] for r in bm25.top_k(idx, bm25.query_terms(q), q, 4).orderBy("rank").collect()]
     assert got == [9, 10, 0, 1]
-
-
-def test_stored_index_scores_alike_from_one_scan(spark, tmp_path):
-    rows = [(i, f"alpha w{i % 7} w{i % 3} beta{i}") for i in range(60)] + [(100, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    idx = bm25.build_index(docs, "doc_id", text_col="text")
-    stored = idx.persist(str(tmp_path / "index"))
-    q = spark.createDataFrame([(1, "w1 beta4"), (2, "w0 w0 nothing")], "query_id long, query string")
-    qt = bm25.query_terms(q)
-    score = lambda i: {(r[0], r[1]): round(r[2], 9) for r in bm25.score(i, qt).collect()}
-    assert score(stored) == score(idx)
-    text = bm25.score(stored, qt)._jdf.queryExecution().executedPlan().toString()
-    assert len([x for x in text.split("\n") if "FileScan" in x and "tf#" in x]) == 1
-    assert "dynamicpruning" in text
-
-
-def test_index_of_no_documents_is_an_error(spark, tmp_path):
-    idx = bm25.build_index(spark.createDataFrame([], "doc_id long, text string"), "doc_id", text_col="text")
-    with pytest.raises(ValueError):
-        idx.persist(str(tmp_path / "index"))
