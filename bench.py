@@ -61,11 +61,6 @@ def main() -> None:
     times["bm25_topk_batch"] = time.time() - t
     n_queries = q.count()
 
-    # the same rows by score bounds
-    t = time.time()
-    run(stored_index.top_k_pruned(idx, bm25.query_terms(q), q, Q.TOP_K).rows)
-    times["bm25_topk_pruned"] = time.time() - t
-
     for name in HEADLINE:
         t = time.time()
         run(Q.QUERIES[name](spark, SF_DIR))

@@ -5,9 +5,8 @@ An index is four tables:
   docs(<id>, dl)                 one row per document
   terms(term, df, idf)           one row per distinct term
   stats(n, avgdl, mean_idf)      one row
-A stored index (:mod:`rankweave.operators.stored_index`) keeps the postings as
-rows of (block, term) with arrays, bucketed by block of documents, so scoring
-needs no exchange on (query, document).
+A stored index (:mod:`rankweave.operators.stored_index`) keeps the postings in
+buckets by document, so scoring needs no exchange on (query, document).
 
 Scoring joins the weighted query terms to postings on the term. Query terms are
 the small side (a request batch); the join is an equi-join, never a cross
@@ -38,7 +37,7 @@ class BM25Index:
     terms: DataFrame
     stats: DataFrame
     id_col: str
-    blocks: DataFrame | None = None  # block, term, max_tf, min_dl, list of (id, tf, dl): the postings of a stored index
+    bounds: DataFrame | None = None  # term, length_class, max_tf, min_dl: kept by a stored index
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -53,17 +52,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def document_entries(docs: DataFrame, id_col: str, text_col: str | None = None, tokens_col: str = "tokens",
-                     lexer: Tokenizer | None = None, also: tuple[str, ...] = ()) -> DataFrame:
-    """(also..., id, term, tf, dl) per distinct term of a document, and one row
+                     lexer: Tokenizer | None = None) -> DataFrame:
+    """(id, term, tf, dl) per distinct term of a document, and one row
     with a null term for a document without tokens (it still counts in N and the
     mean length)."""
-    keys = [*also, id_col]
     if text_col is not None:
-        base = with_tokens(docs.select(*keys, text_col), F.col(text_col), "tokens", lexer=lexer).select(*keys, "tokens")
+        base = with_tokens(docs.select(id_col, text_col), F.col(text_col), "tokens", lexer=lexer).select(id_col, "tokens")
     else:
-        base = docs.select(*keys, F.col(tokens_col).alias("tokens"))
-    return (base.select(*keys, F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term"))
-            .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
+        base = docs.select(id_col, F.col(tokens_col).alias("tokens"))
+    return (base.select(id_col, F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term"))
+            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", materialize: bool = False,
@@ -111,25 +109,19 @@ def query_terms(queries: DataFrame, query_col: str = "query", key: str = "query_
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def contributions(index: BM25Index, weights: DataFrame, key: str, blocks: DataFrame | None = None) -> DataFrame:
-    """(key, [block], id, c): one row per matching (query term, document) for
-    ``weights`` (key, term, weight). ``blocks`` (key, block) are the only ones
-    read, if given."""
+def contributions(index: BM25Index, weights: DataFrame, key: str) -> DataFrame:
+    """(key, id, c, other columns of ``weights``): one row per matching (query
+    term, document) for ``weights`` (key, term, weight, ...)."""
     avgdl = index.stats.select("avgdl").scalar()
-    c = (F.col("weight") * impact(F.col("tf"), F.col("dl"), avgdl)).alias("c")
-    if index.blocks is None:
-        return weights.join(index.postings, "term").select(key, index.id_col, c)
-    lists = weights.select(key, "term", "weight").join(index.blocks, "term")
-    if blocks is not None:
-        lists = lists.join(blocks, [key, "block"], "left_semi")
-    return lists.select(key, "block", "weight", F.inline("list")).select(key, "block", F.col("id").alias(index.id_col), c)
+    others = [x for x in weights.columns if x not in (key, "term", "weight")]
+    c = F.col("weight") * impact(F.col("tf"), F.col("dl"), avgdl)
+    return weights.join(index.postings, "term").select(key, index.id_col, c.alias("c"), "dl", *others)
 
 
 def document_scores(found: DataFrame, key: str, id_col: str) -> DataFrame:
-    """Sums of contributions; blocks hold whole documents, so the buckets of a
-    stored index serve this grouping as they are."""
-    keys = [key, "block", id_col] if "block" in found.columns else [key, id_col]
-    return found.groupBy(*keys).agg(F.sum("c").alias("score"))
+    """Sums of contributions, and the document's length. Partial sums are
+    formed before the exchange; the buckets of a stored index need none."""
+    return found.groupBy(key, id_col).agg(F.sum("c").alias("score"), F.max("dl").alias("dl"))
 
 
 def term_weights(index: BM25Index, qterms: DataFrame) -> DataFrame:
@@ -145,6 +137,11 @@ def score(index: BM25Index, qterms: DataFrame, key: str = "query_id") -> DataFra
     return document_scores(contributions(index, weights, key), key, index.id_col).select(key, index.id_col, "score")
 
 
+def length_class(dl: Column) -> Column:
+    """Half octave of a document's length (1 and more)."""
+    return F.floor(2 * F.log2(dl)).cast("int")
+
+
 def rank_order(score_col: str = "score", tie_cols: tuple[str, ...] = ("doc_id",)) -> list:
     """Score descending on a 9-digit rounding (sums are order dependent in the
     last bits), ties by original position."""

@@ -1,16 +1,15 @@
 """A BM25 index on disk: bucketed, appendable, with score bounds.
 
 A folder of the shared storage holds
-  blocks    bucketed table (segment, block, term, n, max_tf, min_dl, list)
+  postings  table (segment, id, term, tf, dl) bucketed by document, sorted by term
   docs      (segment, id, dl) of every document added
-  counts    (segment, term, n, max_tf, min_dl): statistics of a segment by itself
-  dead      (segment, id, dl) documents removed from the segments up to one, and dead_counts
-  terms     the merged statistics of a version (term, df, max_tf, min_dl)
+  counts    (segment, term, length_class, n, max_tf, min_dl): statistics of a segment by itself
+  dead      (segment, id, dl) documents removed from the segments up to one
+  terms     the merged statistics of a version (term, df)
   manifest  one row for each version: buckets, segments, n, total length, mean idf
-A block is about BLOCK_DOCS documents of one segment, picked by hash; its row
-for a term lists those that hold it, with the largest tf and the smallest dl,
-which bound the term's score in the block for any mean length. Buckets hold
-whole blocks, so grouping by (query, block, document) needs no exchange.
+Buckets hold whole documents, so the sum by (query, document) needs no
+exchange. Largest tf and smallest dl bound the score of a term among the
+documents of a length class for any mean length.
 
 Adding documents writes a segment, removing them writes tombstones; both end
 with a new manifest row, and what a failed job left behind is in no manifest
@@ -20,7 +19,6 @@ older postings. :meth:`StoredIndex.compact` writes the live postings anew.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,8 +28,6 @@ from ..functions.text import Tokenizer
 from ..session import store
 from . import bm25
 
-BLOCK_DOCS = 16
-SEGMENT_BITS = 40
 #: share of a query's summed bounds that the lead terms take, and documents scored first for the threshold, by k
 LEAD = 0.7
 SEEDS = 4
@@ -53,8 +49,9 @@ class StoredIndex:
         error of the caller: remove it first, then add the new text."""
         idc = self.manifest["id_col"]
         self._reserve()
-        placed = self._placed(docs.select(idc, text_col))
-        return self._write(bm25.document_entries(placed, idc, text_col, lexer=lexer, also=("block",)))
+        # whole documents together, as in the buckets: the entries need no other exchange
+        placed = docs.select(idc, text_col).repartition(self.manifest["buckets"], idc)
+        return self._write(bm25.document_entries(placed, idc, text_col, lexer=lexer))
 
     def _reserve(self) -> None:
         """Take a segment number: a job that fails leaves rows under a number that nobody else gets."""
@@ -65,39 +62,30 @@ class StoredIndex:
     def _segment(self) -> int:
         return self.manifest["next_segment"] - 1
 
-    def _placed(self, docs: DataFrame) -> DataFrame:
-        """Add ``block`` and put whole blocks together, as the buckets will."""
-        segment = self._segment()
-        blocks = max(1, math.ceil(docs.count() / BLOCK_DOCS))
-        block = F.pmod(F.xxhash64(self.manifest["id_col"]), F.lit(blocks)) + (segment << SEGMENT_BITS)
-        return docs.withColumn("block", block).repartition(self.manifest["buckets"], "block")
-
     def _write(self, entries: DataFrame) -> "StoredIndex":
         idc, segment = self.manifest["id_col"], self._segment()
-        lists = entries.groupBy("block", "term").agg(
-            F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
-            F.collect_list(F.struct(F.col(idc).alias("id"), "tf", "dl")).alias("list"))
-        columns = self.spark.table(self.table).columns
-        lists.withColumn("segment", F.lit(segment).cast("long")).select(*columns).write.insertInto(self.table)
+        rows = entries.withColumn("segment", F.lit(segment).cast("long"))
+        rows.select(*self.spark.table(self.table).columns).write.insertInto(self.table)
         own = self.spark.table(self.table).where(F.col("segment") == segment)
-        # a document without tokens is listed under the null term; every other is found by its first term
-        per_doc = own.select(F.inline("list")).groupBy(F.col("id").alias(idc)).agg(F.max("dl").alias("dl"))
-        self._put(per_doc, "docs", segment)
-        self._put(own.where("term is not null").groupBy("term").agg(
-            F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl")), "counts", segment)
+        # a document without tokens has one row, with a null term
+        self._put(own.groupBy(idc).agg(F.max("dl").alias("dl")), "docs", segment)
+        self._put(self._counts(own.where("term is not null")), "counts", segment)
         got = self.spark.read.parquet(f"{self.path}/docs/segment={segment}").agg(
             F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
         return self._commit(self.manifest["segments"] + [segment], self.manifest["dead"], got["n"], got["total"])
 
+    @staticmethod
+    def _counts(postings: DataFrame, sign: int = 1) -> DataFrame:
+        return postings.groupBy("term", bm25.length_class(F.col("dl")).alias("length_class")).agg(
+            (F.count(F.lit(1)) * sign).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+
     def delete(self, ids: DataFrame) -> "StoredIndex":
         """Remove the documents of ``ids`` (the id column); unknown ids are passed over."""
         self._reserve()
         idc, segment = self.manifest["id_col"], self._segment()
         gone = store(self.docs(with_segment=True).join(ids.select(idc).distinct(), idc, "left_semi").select(idc, "dl"), "gone")
         self._put(gone, "dead", segment)
-        postings = self.postings().join(gone.select(idc), idc, "left_semi")
-        self._put(postings.groupBy("term").agg((-F.count(F.lit(1))).alias("n"), F.lit(0).cast("long").alias("max_tf"),
-                                               F.lit(None).cast("long").alias("min_dl")), "counts", segment)
+        self._put(self._counts(self.postings().join(gone.select(idc), idc, "left_semi"), -1), "counts", segment)
         got = gone.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
         return self._commit(self.manifest["segments"], self.manifest["dead"] + [segment], -got["n"], -got["total"])
 
@@ -109,9 +97,7 @@ class StoredIndex:
         # a null term for a document without tokens, as when it was added
         entries = self.postings().unionByName(
             self.docs().where("dl = 0").select(idc, F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("tf"), "dl"))
-        blocks = max(1, math.ceil(self.manifest["n"] / BLOCK_DOCS))
-        placed = entries.withColumn("block", F.pmod(F.xxhash64(idc), F.lit(blocks)) + (new._segment() << SEGMENT_BITS))
-        return new._write(placed.repartition(new.manifest["buckets"], "block"))
+        return new._write(entries.repartition(new.manifest["buckets"], idc))
 
     def _put(self, df: DataFrame, name: str, segment: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/segment={segment}")
@@ -119,8 +105,7 @@ class StoredIndex:
     def _commit(self, segments: list[int], dead: list[int], n: int, total: int) -> "StoredIndex":
         version = self.manifest["version"] + 1
         counts = self._read("counts", segments + dead)
-        merged = counts.groupBy("term").agg(F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"),
-                                            F.min("min_dl").alias("min_dl")).where("df > 0")
+        merged = counts.groupBy("term").agg(F.sum("n").alias("df")).where("df > 0")
         merged.write.mode("overwrite").parquet(f"{self.path}/terms/version={version}")
         docs = self.manifest["n"] + n
         raw = bm25.raw_idf(F.lit(docs), F.col("df"))
@@ -158,25 +143,15 @@ class StoredIndex:
             found = self._live(self._read("docs", self.manifest["segments"]))
         return found if with_segment else found.select(idc, "dl")
 
-    def blocks(self) -> DataFrame:
-        """Rows of (block, term) of the segments in the manifest, lists without
-        removed documents (bounds may be those of a removed one)."""
-        rows = self.spark.table(self.table).where(F.col("segment").isin(self.manifest["segments"]) & F.col("term").isNotNull())
-        graves = self._tombstones()
-        if graves is None:
-            return rows
-        idc = self.manifest["id_col"]
-        hit = F.struct("id", "tf", "dl")
-        live = self._live(rows.select("segment", "block", "term", "max_tf", "min_dl", F.inline("list"))
-                          .withColumnRenamed("id", idc)).withColumnRenamed(idc, "id")
-        return live.groupBy("segment", "block", "term").agg(
-            F.count(F.lit(1)).alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"),
-            F.collect_list(hit).alias("list"))
-
     def postings(self) -> DataFrame:
         """(id, term, tf, dl) of the live documents."""
-        return (self.blocks().select("term", F.inline("list"))
-                .select(F.col("id").alias(self.manifest["id_col"]), "term", "tf", "dl"))
+        rows = self.spark.table(self.table).where(F.col("segment").isin(self.manifest["segments"]) & F.col("term").isNotNull())
+        return self._live(rows).select(self.manifest["id_col"], "term", "tf", "dl")
+
+    def bounds(self) -> DataFrame:
+        """(term, length_class, max_tf, min_dl) over all segments; those of a removed document may stay."""
+        counts = self._read("counts", self.manifest["segments"])
+        return counts.groupBy("term", "length_class").agg(F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
 
     def index(self) -> bm25.BM25Index:
         """The merged index. A corpus without documents is an error."""
@@ -186,9 +161,9 @@ class StoredIndex:
         raw = bm25.raw_idf(F.lit(m["n"]), F.col("df"))
         terms = self.spark.read.parquet(f"{self.path}/terms/version={m['terms']}")
         mean = F.lit(m["mean_idf"]).cast("double")
-        terms = terms.select("term", "df", bm25.idf_value(raw, mean).alias("idf"), "max_tf", "min_dl")
+        terms = terms.select("term", "df", bm25.idf_value(raw, mean).alias("idf"))
         stats = self.spark.createDataFrame([(m["n"], m["total"] / m["n"], m["mean_idf"])], "n long, avgdl double, mean_idf double")
-        return bm25.BM25Index(self.postings(), self.docs(), terms, stats, m["id_col"], self.blocks())
+        return bm25.BM25Index(self.postings(), self.docs(), terms, stats, m["id_col"], self.bounds())
 
 
 MANIFEST = ("version long, id_col string, id_type string, buckets int, segments array<long>, dead array<long>, "
@@ -215,9 +190,8 @@ def open_index(spark: SparkSession, path: str) -> StoredIndex:
     versions = spark.read.schema(MANIFEST).json(f"{path}/manifest/*")
     m = versions.orderBy(F.col("version").desc()).first().asDict()
     table = "rankweave_index_" + format(abs(hash_of(path)), "x")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} (segment BIGINT, block BIGINT, term STRING, n BIGINT, max_tf BIGINT, min_dl BIGINT, "
-              f"list ARRAY<STRUCT<id: {m['id_type']}, tf: BIGINT, dl: BIGINT>>) USING parquet "
-              f"CLUSTERED BY (block) SORTED BY (term) INTO {m['buckets']} BUCKETS LOCATION '{path}/blocks'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} (segment BIGINT, `{m['id_col']}` {m['id_type']}, term STRING, tf BIGINT, dl BIGINT) "
+              f"USING parquet CLUSTERED BY (`{m['id_col']}`) SORTED BY (term) INTO {m['buckets']} BUCKETS LOCATION '{path}/postings'")
     spark.catalog.refreshTable(table)
     return StoredIndex(spark, path, table, m)
 
@@ -240,71 +214,78 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
 # -- exact top-k with bounds ------------------------------------------------------
 
-def _bound(avgdl: Column) -> Column:
-    """Most that a term can give in a block, or anywhere; 0 for a negative weight."""
-    return F.greatest(F.col("weight") * bm25.impact(F.col("max_tf"), F.col("min_dl"), avgdl), F.lit(0.0))
-
-
 @dataclass
 class Pruned:
-    rows: DataFrame    # key, id, rank, score
+    rows: DataFrame     # key, id, rank, score
     weights: DataFrame  # key, term, weight, lead
-    open: DataFrame    # key, block: the only blocks whose lists of all terms are read
+    open: DataFrame     # key, id: the only documents for which all terms are scored
+
+
+def _reach(avgdl: Column) -> Column:
+    """Most that a term can give to a document of a length class; 0 for a negative weight."""
+    return F.greatest(F.col("weight") * bm25.impact(F.col("max_tf"), F.col("min_dl"), avgdl), F.lit(0.0))
 
 
 def top_k_pruned(index: bm25.BM25Index, qterms: DataFrame, queries: DataFrame, k: int, key: str = "query_id") -> Pruned:
-    """:func:`bm25.top_k` over a stored index, reading the lists of common
-    terms only in blocks that can hold one of the k best documents.
+    """:func:`bm25.top_k` over a stored index, scoring common terms only for
+    documents that can be among the k best.
 
     1. The lead terms of a query (largest bounds, LEAD of their sum, and every
        term of negative weight) are summed by document.
     2. The best SEEDS x k documents by lead sum are scored in full; the k-th
        score is the query's threshold.
-    3. A block stays open if its best lead sum and the bounds that the block
-       holds for the other terms reach the threshold.
-    4. Open blocks are scored with all terms. A document of a closed block is
-       below k others, so the rows are those of the full scan.
+    3. A document stays open if its lead sum and the bounds of the other terms
+       in its length class reach the threshold. Where these bounds reach it
+       by themselves, the other terms count as lead terms, so no document without a
+       lead term is missed.
+    4. Open documents are scored with all terms. Any other is below k
+       documents, so the rows are those of the full scan.
     Queries whose threshold is not above zero go through the full scan, which
     also knows the documents without any term."""
     idc = index.id_col
     avgdl = index.stats.select("avgdl").scalar()
     qterms = store(qterms, "query-terms")
+    weights = bm25.term_weights(index, qterms).select(key, "term", "weight")
+    reach = store(weights.join(index.bounds, "term").select(key, "term", "weight", "length_class", _reach(avgdl).alias("reach")), "reach")
     order = Window.partitionBy(key).orderBy(F.col("weight") < 0, F.col("bound").desc(), "term")
     before = F.coalesce(F.sum("bound").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     total = F.sum("bound").over(Window.partitionBy(key))
-    weights = bm25.term_weights(index, qterms).withColumn("bound", _bound(avgdl))
-    weights = store(weights.select(key, "term", "weight", ((F.col("weight") < 0) | (before < LEAD * total)).alias("lead")), "weights")
-    lead, rest = weights.where("lead"), weights.where("not lead")
+    by_term = reach.groupBy(key, "term", "weight").agg(F.max("reach").alias("bound"))
+    weights = store(by_term.select(key, "term", "weight", "bound", ((F.col("weight") < 0) | (before < LEAD * total)).alias("lead")), "weights")
+
+    def sums(lead: DataFrame) -> DataFrame:
+        return bm25.document_scores(bm25.contributions(index, lead.select(key, "term", "weight"), key), key, idc)
 
-    sums = bm25.document_scores(bm25.contributions(index, lead, key), key, idc)
     first = Window.partitionBy(key).orderBy(F.col("score").desc(), idc)
-    seeds = store(sums.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SEEDS * k)
-                  .select(key, "block", idc), "seeds")
-    scored = (bm25.contributions(index, weights, key, seeds.select(key, "block").distinct())
-              .join(seeds, [key, "block", idc], "left_semi"))
-    exact = bm25.document_scores(scored, key, idc)
-    floor = store(bm25.best_of(exact, k, key, idc).where(F.col("rank") == k)
+    seeds = store(sums(weights.where("lead")).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SEEDS * k)
+                  .select(key, idc), "seeds")
+    scored = bm25.contributions(index, weights.select(key, "term", "weight"), key).join(seeds, [key, idc], "left_semi")
+    floor = store(bm25.best_of(bm25.document_scores(scored, key, idc), k, key, idc).where(F.col("rank") == k)
                   .select(key, (F.col("score") - SLACK).alias("floor")).where("floor > 0"), "floor")
 
-    best = sums.groupBy(key, "block").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("reach"))
-    more = (rest.join(index.blocks.select("block", "term", "max_tf", "min_dl"), "term").withColumn("reach", _bound(avgdl))
-            .groupBy(key, "block").agg(F.sum("reach").alias("reach")))
-    reach = best.unionByName(more).groupBy(key, "block").agg(F.sum("reach").alias("reach"))
-    opened = store(reach.join(floor, key).where(F.col("reach") >= F.col("floor")).select(key, "block"), "open")
-
-    pruned = bm25.best_of(bm25.document_scores(bm25.contributions(index, weights, key, opened), key, idc), k, key, idc)
+    # terms whose bounds, with those of all smaller ones, reach the threshold lead as well
+    upto = F.sum("bound").over(Window.partitionBy(key).orderBy("bound", F.col("term").desc())
+                               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    leading = store(weights.withColumn("_upto", upto).join(floor, key)
+                    .select(key, "term", "weight", (F.col("lead") | (F.col("_upto") >= F.col("floor"))).alias("lead")), "leading")
+    rest = (reach.join(leading.where("not lead").select(key, "term"), [key, "term"], "left_semi")
+            .groupBy(key, "length_class").agg(F.sum("reach").alias("more")))
+    opened = store(sums(leading.where("lead")).join(floor, key)
+                   .withColumn("length_class", bm25.length_class(F.col("dl"))).join(rest, [key, "length_class"], "left")
+                   .where(F.col("score") + F.coalesce("more", F.lit(0.0)) >= F.col("floor")).select(key, idc), "open")
+
+    found = bm25.contributions(index, leading.select(key, "term", "weight"), key).join(opened, [key, idc], "left_semi")
+    rows = bm25.best_of(bm25.document_scores(found, key, idc), k, key, idc).select(key, idc, "rank", "score")
     others = queries.join(floor, key, "left_anti")
-    rows = pruned.select(key, idc, "rank", "score")
     if not others.isEmpty():
         rows = rows.unionByName(bm25.top_k(index, qterms.join(others, key, "left_semi"), others, k, key))
-    return Pruned(rows, weights, opened)
+    return Pruned(rows, leading, opened)
 
 
-def postings_read(index: bm25.BM25Index, found: Pruned, key: str = "query_id") -> DataFrame:
-    """(key, n_all, n_read): postings of the query's terms, and those that the
-    pruned search scored (lists of lead terms, and all lists of open blocks)."""
-    lists = found.weights.join(index.blocks.select("block", "term", "n"), "term")
-    opened = found.open.withColumn("_open", F.lit(True))
-    marked = lists.join(opened, [key, "block"], "left").withColumn("_open", F.coalesce("_open", F.lit(False)))
-    return marked.groupBy(key).agg(F.sum("n").alias("n_all"),
-                                   F.sum(F.when(F.col("lead") | F.col("_open"), F.col("n")).otherwise(0)).alias("n_read"))
+def postings_scored(index: bm25.BM25Index, found: Pruned, key: str = "query_id") -> DataFrame:
+    """(key, n_all, n_scored): postings of the terms of the queries that were
+    pruned, and those that entered a sum (of lead terms, and of open documents)."""
+    lists = found.weights.select(key, "term", "lead").join(index.postings.select("term", index.id_col), "term")
+    marked = lists.join(found.open.withColumn("_open", F.lit(True)), [key, index.id_col], "left")
+    used = F.col("lead") | F.coalesce("_open", F.lit(False))
+    return marked.groupBy(key).agg(F.count(F.lit(1)).alias("n_all"), F.sum(used.cast("long")).alias("n_scored"))

@@ -360,7 +360,7 @@ def q_bm25_topk(spark, sf):
 
 @query("bm25_topk_pruned")
 def q_bm25_topk_pruned(spark, sf):
-    """The rows of bm25_topk; common terms are read in open blocks only."""
+    """The rows of bm25_topk; common terms are scored for open documents only."""
     idx = corpus_index(spark, sf)
     q = fx.queries_fx(spark, sf)
     out = stored.top_k_pruned(idx, bm25.query_terms(q), q, TOP_K).rows
