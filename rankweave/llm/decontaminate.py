@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -41,7 +41,8 @@ MIN_LITERAL = 3
 #: an alignment counts from this share of the item's tokens, or this number of them
 MIN_SHARE = 0.5
 MIN_TOKENS = 13
-MAP_BITS = 24
+#: the bit map has 32 places a window of the benchmark, of 2**20 bits (128 KiB) at least and 2**30 (128 MiB) at most
+MAP_BITS = (20, 30)
 CHUNK_CHARS = 1 << 19
 CACHED_WORDS = 1 << 19
 
@@ -183,13 +184,13 @@ def windows(text: str | None, lengths: list[int], bits: np.ndarray | None, cache
     return out
 
 
-def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << MAP_BITS) - 1)
-    return h & mask, (h >> np.uint64(MAP_BITS)) & mask
+def _places(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64((1 << width) - 1)
+    return h & mask, (h >> np.uint64(width)) & mask
 
 
 def _passes(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    a, b = _places(h)
+    a, b = _places(h, (8 * len(bits)).bit_length() - 1)
     return (((bits[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
             & ((bits[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1).astype(bool))
 
@@ -232,12 +233,13 @@ def _items(bench: DataFrame, item_col: str, text_col: str) -> DataFrame:
 
 
 def _bit_map(items: DataFrame) -> np.ndarray:
-    """2**MAP_BITS bits with two places set for each window hash. The driver
-    gets at most 2**MAP_BITS / 8 bytes for any benchmark."""
-    mask = (1 << MAP_BITS) - 1
+    """Bits with two places set for each window hash, their number by that of
+    the windows (MAP_BITS); the driver gets no more than these."""
+    size = min(max((32 * items.count()).bit_length(), MAP_BITS[0]), MAP_BITS[1])
+    mask = (1 << size) - 1
     places = items.select(F.explode(F.array(
-        F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", MAP_BITS).bitwiseAND(mask))).alias("p"))
-    bits = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+        F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", size).bitwiseAND(mask))).alias("p"))
+    bits = np.zeros((1 << size) // 8, np.uint8)
     width = 4096  # bytes of one of Spark's bit maps, which hold the places 1 to 32768 of a bucket
     made = places.groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits"))
@@ -279,23 +281,36 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     token = F.explode(F.when(in_template, F.concat(both_forms, judged(True, "raw", "item_raw"))).otherwise(both_forms))
     tokens = (pairs.select("id", "text_hash", "item", "size", (F.col("pos") - F.col("item_pos")).alias("shift"), token.alias("t"))
               .select("id", "text_hash", "item", "size", "shift", "t.*").distinct())
-    slot = F.col("k") != "w"
-    aligned = tokens.groupBy("id", "text_hash", "item", "size", "shift", "template").agg(
-        F.count_distinct("at").alias("covered"),
-        F.count_distinct(F.when(~slot, F.col("at"))).alias("literal"),
-        F.count_distinct(F.when(slot, F.struct("k", "d", "i"))).alias("both"),
-        F.count_distinct(F.when(slot, F.struct("k", "d"))).alias("theirs"),
-        F.count_distinct(F.when(slot, F.struct("k", "i"))).alias("ours"),
-        F.count_distinct(F.when(slot & (F.col("d") != F.col("i")), F.struct("k", "i"))).alias("changed"))
-    enough = (F.col("covered") >= F.least(F.lit(min_tokens), F.ceil(F.col("size") * min_share)))
-    good = aligned.where((F.col("both") == F.col("theirs")) & (F.col("both") == F.col("ours")) & enough)
-    best = F.max(F.struct("covered", "literal", (-F.col("changed")).alias("same"))).alias("best")
+    aligned = _consistent(tokens).groupBy(*ALIGNMENT).agg(
+        F.count_distinct(F.when(F.col("kept"), F.col("at"))).alias("covered"),
+        F.count_distinct(F.when(F.col("k") == "w", F.col("at"))).alias("literal"),
+        F.count_distinct(F.when(F.col("kept") & (F.col("k") != "w") & (F.col("d") != F.col("i")), F.struct("k", "i"))).alias("changed"),
+        F.count_distinct(F.when(~F.col("kept"), F.col("at"))).alias("dropped"))
+    good = aligned.where(F.col("covered") >= F.least(F.lit(min_tokens), F.ceil(F.col("size") * min_share)))
+    best = F.max(F.struct("covered", "literal", (-F.col("changed") - F.col("dropped")).alias("same"))).alias("best")
     return (good.groupBy("id", "text_hash", "item", "size").agg(best)
             .select(F.col("id").alias(id_col), "text_hash", F.col("item").alias(item_col), F.col("size").alias("item_tokens"),
                     "best.covered", "best.literal", (-F.col("best.same")).alias("changed_slots"),
                     (F.col("best.same") == 0).alias("verbatim")))
 
 
+ALIGNMENT = ["id", "text_hash", "item", "size", "shift", "template"]
+
+
+def _consistent(tokens: DataFrame) -> DataFrame:
+    """Add ``kept``: literal tokens, and slots whose value is the partner most
+    of the item's occurrences have, and the other way round; an equal value
+    wins a tie, then the larger one. Where one occurrence of a repeated value
+    was edited, that place drops out and the rest of the alignment counts."""
+    pair = Window.partitionBy(*ALIGNMENT, "k", "d", "i")
+    n, equal = F.count("*").over(pair), F.col("d") == F.col("i")
+    counted = tokens.withColumn("n", n)
+    most = lambda ours, theirs: F.max(F.struct("n", equal, theirs)).over(Window.partitionBy(*ALIGNMENT, "k", ours))[theirs]
+    partners = counted.withColumn("for_d", most("d", "i")).withColumn("for_i", most("i", "d"))
+    kept = (F.col("k") == "w") | ((F.col("for_d") == F.col("i")) & (F.col("for_i") == F.col("d")))
+    return partners.withColumn("kept", kept)
+
+
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose text holds no item, with their columns."""
