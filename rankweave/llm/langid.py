@@ -10,11 +10,13 @@ loss; every text is then scored whole.
 Nulls and ties: rows without text or label are not learned from; a null text
 or one without a letter is ``und`` with score 0, as is every text when no
 language was learned. Equal votes go to the language first in name order.
+Repeated rows are judged alike, an empty table gives an empty result, and the
+columns of the rows, whatever their names, travel in one struct.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -24,14 +26,17 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 400
+#: bytes of a text that the fit reads, in pieces from all over it; at most SAMPLE_ROWS * SAMPLE_BYTES for each language
 SAMPLE_BYTES = 8192
-#: texts and labels read for the fit are at most SAMPLE_ROWS * SAMPLE_BYTES for each language
+SAMPLE_PIECES = 8
+#: sizes of the short pieces learned from, in bytes
 SNIPPETS = (24, 60, 200, 1000)
 HASH_BITS = 18
 ORDERS = (1, 2, 3, 4)
 EPOCHS = 4
 STEP, SHRINK = 0.5, 1e-4
 CHUNK_BYTES = 1 << 17
+REACH = 3.0
 
 # Language families by ISO 639-1 code; a language not listed is a family of its own.
 FAMILIES = {
@@ -59,17 +64,37 @@ def family_of(lang: str) -> str:
 _LETTERS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
 
-def _grams(data: bytes) -> np.ndarray:
-    """Hashed byte n-grams of a lower-case text piece, in order."""
-    b = _LETTERS[np.frombuffer(b" " + data + b" ", np.uint8)]
-    b = b[np.concatenate(([True], (b[1:] != 32) | (b[:-1] != 32)))].astype(np.uint32)
-    code, out = b, []
+def _codes(data: bytes, tail: np.ndarray, space: bool) -> tuple[list[np.ndarray], np.ndarray, bool]:
+    """Hashed byte n-grams, by order, that end in this piece of a lower-case
+    text; ``tail`` are the last bytes kept before it, ``space`` whether the
+    last was one (runs of spaces count once)."""
+    b = _LETTERS[np.frombuffer(data, np.uint8)]
+    new = b[np.concatenate(([not (space and b[0] == 32)], (b[1:] != 32) | (b[:-1] != 32)))].astype(np.uint32) if len(b) else b.astype(np.uint32)
+    flow = np.concatenate([tail, new])
+    code, out = flow, []
     for order in ORDERS:
         if order > 1:
-            code = code[:-1] * np.uint32(257) + b[order - 1:]
+            code = code[:-1] * np.uint32(257) + flow[order - 1:]
         salted = code ^ np.uint32(order * 0x9E3779B1 & 0xFFFFFFFF)
-        out.append((salted * np.uint32(0x85EBCA6B)) >> np.uint32(32 - HASH_BITS))
-    return np.concatenate(out)
+        hashed = (salted * np.uint32(0x85EBCA6B)) >> np.uint32(32 - HASH_BITS)
+        out.append(hashed[max(0, len(tail) - order + 1):])
+    return out, flow[len(flow) - min(len(flow), ORDERS[-1] - 1):], bool(b[-1] == 32) if len(b) else space
+
+
+def _pieces(data: bytes):
+    """The n-grams of a text of any length, CHUNK_BYTES at a time."""
+    tail, space = np.zeros(0, np.uint32), False
+    for at in range(0, len(data) + 2, CHUNK_BYTES):
+        # a space before and behind the text
+        part = (b" " if at == 0 else b"") + data[max(0, at - 1):at + CHUNK_BYTES - 1]
+        if at + CHUNK_BYTES >= len(data) + 2:
+            part += b" "
+        codes, tail, space = _codes(part, tail, space)
+        yield np.concatenate(codes)
+
+
+def _grams(data: bytes) -> np.ndarray:
+    return np.concatenate(list(_pieces(data)))
 
 
 def _vector(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +112,9 @@ class Model:
     pairs: list[tuple[str, str]]
     weights: np.ndarray
     slopes: np.ndarray
+    #: texts whose mean margin, with REACH x spread for its length, stays under the floor are of no learned language
+    floor: float = -np.inf
+    spread: float = 0.0
 
 
 def _machine(vectors: list, signs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -150,14 +178,30 @@ def fit_rows(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     return Model(languages, families, pairs, weights, np.array(slopes))
 
 
+def _sampled(text: Column, seed: Column) -> Column:
+    """A text of up to SAMPLE_BYTES characters, of a longer one as many in
+    SAMPLE_PIECES pieces at seeded places, one in each part of the text."""
+    size = SAMPLE_BYTES // SAMPLE_PIECES
+    room = F.floor(F.length(text) / SAMPLE_PIECES)
+    starts = [F.lit(k) * room + F.pmod(F.xxhash64(seed, F.lit(k)), F.greatest(room - size, F.lit(1))) + 1 for k in range(SAMPLE_PIECES)]
+    parts = F.concat_ws(" ", *[F.substr(text, s.cast("int"), F.lit(size)) for s in starts])
+    return F.when(F.length(text) <= SAMPLE_BYTES, text).otherwise(parts)
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str | None = None,
         sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> Model:
     """Fit on at most ``sample_rows`` rows of each language, the first by a
-    seeded hash of id and text; each gives at most SAMPLE_BYTES bytes.
+    seeded hash of id and text; each gives at most SAMPLE_BYTES characters.
 
     Rows are counted first, and only a hash range that holds about four times
     the sample enters the ranking, whatever the size of the table.
     """
+    return fit_rows(sample(docs, text_col, lang_col, id_col, sample_rows, seed), seed)
+
+
+def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str | None = None,
+           sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[tuple[str, str]]:
+    """(text, language) of the rows that :func:`fit` learns from."""
     keys = [F.col(c) for c in (id_col, text_col) if c]
     labelled = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"),
                            F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 1).alias("h"))
@@ -167,21 +211,42 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     ranged = labelled.join(F.broadcast(shares), "l").where(F.col("h") <= F.col("share") * float(2**63 - 1))
     ranged = ranged.where(F.col("t").rlike(r"\p{L}"))
     order = Window.partitionBy("l").orderBy("h", "t")
-    picked = (ranged.select(F.substring(F.lower("t"), 1, SAMPLE_BYTES).alias("t"), "l", "h")
+    picked = (ranged.select(_sampled(F.lower("t"), F.col("h")).alias("t"), "l", "h")
               .withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample_rows))
-    return fit_rows([(r.t, r.l) for r in picked.select("t", "l").collect()], seed)
+    return [(r.t, r.l) for r in picked.select("t", "l").collect()]
+
+
+def calibrate(model: Model, rows: list[tuple[str, str]]) -> Model:
+    """Set the floor from rows that the model has not learned from: half of
+    what the least sure of them reaches, so clean texts stay far above it."""
+    if len(model.families) < 2:
+        return model
+    margins = [_mean_margin(t.encode(), model) for t, lang in sorted(rows) if t.strip() and lang in model.languages]
+    if not margins:
+        return model
+    mean, number = (np.array(x) for x in zip(*margins))
+    spread = float(np.std((mean - np.median(mean)) * np.sqrt(number)))
+    return replace(model, spread=spread, floor=float((mean + REACH * spread / np.sqrt(number)).min()) / 2)
+
+
+def _mean_margin(text: bytes, model: Model) -> tuple[float, int]:
+    """Mean margin by n-gram of the machine of the likeliest family."""
+    families = len(model.families)
+    total, number = np.zeros(families), 0
+    for codes in _pieces(text):
+        total += model.weights[codes, :families].sum(axis=0, dtype=np.float64)
+        number += len(codes)
+    return float(total[np.argmax(model.slopes[:families] * total)]) / number, number
 
 
 # -- prediction ---------------------------------------------------------------------
 
-def predict_bytes(text: bytes, model: Model) -> tuple[str, float]:
-    """Language and score of one lower-case text."""
+def predict_bytes(text: bytes, model: Model) -> tuple[str, float, bool]:
+    """Language and score of one lower-case text, and whether it may be of a learned language."""
     if not model.languages:
-        return UNKNOWN, 0.0
+        return UNKNOWN, 0.0, False
     total, number = np.zeros(model.weights.shape[1]), 0
-    overlap = ORDERS[-1] - 1
-    for at in range(0, max(len(text), 1), CHUNK_BYTES):
-        codes = _grams(text[max(0, at - overlap):at + CHUNK_BYTES])
+    for codes in _pieces(text):
         total += model.weights[codes].sum(axis=0, dtype=np.float64)
         number += len(codes)
     likely = 1 / (1 + np.exp(-np.clip(model.slopes * total / np.sqrt(number), -40, 40)))
@@ -190,8 +255,9 @@ def predict_bytes(text: bytes, model: Model) -> tuple[str, float]:
         k = int(np.argmax(likely[:many]))
         sure, first = float(likely[k] / likely[:many].sum()), many
         family = model.families[k]
+        known = bool(total[k] / number + REACH * model.spread / np.sqrt(number) >= model.floor)
     else:
-        sure, family = 1.0, model.families[0]
+        sure, family, known = 1.0, model.families[0], True
     members = [x for x in model.languages if family_of(x) == family]
     votes = {x: [0, 0.0] for x in members}
     for (a, b), p in zip(model.pairs, likely[first:].tolist()):
@@ -201,24 +267,24 @@ def predict_bytes(text: bytes, model: Model) -> tuple[str, float]:
             votes[b][1] += 1 - p
     best = min(members, key=lambda x: (-votes[x][0], -votes[x][1], x))
     inside = votes[best][1] / (len(members) - 1) if len(members) > 1 else 1.0
-    return best, sure * inside
+    return best, sure * inside, known
 
 
 def predict(text: Column, model: Model, spark) -> Column:
-    """Struct (lang, score) for a text column. The broadcast holds
+    """Struct (lang, score, known) for a text column. The broadcast holds
     2**HASH_BITS floats for each machine, whatever the size of the input."""
     shared = spark.sparkContext.broadcast(model)
 
     def of(texts: pa.Array) -> pa.Array:
         found = shared.value
         whole = texts.cast(pa.large_binary())
-        out = [predict_bytes(whole[i].as_py(), found) if whole[i].is_valid else (UNKNOWN, 0.0) for i in range(len(whole))]
-        return pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()),
-                                           pa.array([x[1] for x in out], pa.float64())], ["lang", "score"])
+        out = [predict_bytes(whole[i].as_py(), found) if whole[i].is_valid else (UNKNOWN, 0.0, False) for i in range(len(whole))]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()),
+                                           pa.array([x[2] for x in out], pa.bool_())], ["lang", "score", "known"])
 
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    unknown = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
-    scored = F.arrow_udf(of, "struct<lang:string,score:double>")(F.when(letters, F.lower(text)))
+    unknown = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.lit(False).alias("known"))
+    scored = F.arrow_udf(of, "struct<lang:string,score:double,known:boolean>")(F.when(letters, F.lower(text)))
     return F.when(letters, scored).otherwise(unknown)
 
 
@@ -227,19 +293,26 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on the rows that are not held out."""
-    return fit(docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)), text_col, lang_col, id_col)
+def fit_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+               calibrated: bool = False) -> Model:
+    """Fit on the rows that are not held out; ``calibrated`` sets the floor from a sample of those that are."""
+    rows = docs.where(F.col(id_col).isNotNull())
+    model = fit(rows.where(~held_out(id_col)), text_col, lang_col, id_col)
+    return calibrate(model, sample(rows.where(held_out(id_col)), text_col, lang_col, id_col)) if calibrated else model
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """(row, lang_pred, score): ``row`` holds the columns of ``docs``."""
+    """(row, lang_pred, score, known): ``row`` holds the columns of ``docs``."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     got = packed.withColumn("p", predict(F.col(f"row.`{text_col}`"), model, docs.sparkSession))
-    return got.select("row", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+    return got.select("row", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.known").alias("known"))
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
-    """Rows of ``docs`` whose text has a language with at least ``min_score``."""
-    known = identify(docs, model, text_col).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return known.select("row.*")
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", wanted: list[str] | None = None) -> DataFrame:
+    """Rows of ``docs`` whose text is of a learned language, and of one of the
+    ``wanted`` if given. A text without a letter goes, and so does one whose
+    margins, even allowing for its length, are under the model's floor."""
+    found = identify(docs, model, text_col).where(F.col("known") & (F.col("lang_pred") != UNKNOWN))
+    if wanted is not None:
+        found = found.where(F.col("lang_pred").isin(wanted))
+    return found.select("row.*")
