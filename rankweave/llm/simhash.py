@@ -259,14 +259,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One document of each component: the one with the smallest id (nulls
     last; among repeated ids the smallest text hash). All columns stay.
 
-    Fingerprints are computed once and stored beside the row's hash; only
-    linked fingerprints are mapped to a root, and the first row of a root is
-    picked by a window that ranks inside each task before the shuffle.
+    Texts are fingerprinted once: rows and fingerprints are stored, and later
+    steps read the fingerprints alone. Only linked fingerprints are mapped to a
+    root; the first row of a root is picked by a window that ranks inside each
+    task before the shuffle. The columns of the rows travel in one struct.
     """
     columns = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     fp = fingerprint(F.col(f"row.`{text_col}`"), shingle).alias("fp")
-    rows = packed.select("row", fp)
+    rows = materialize(packed.select("row", fp), "simhash-rows")
     fps = materialize(rows.select("fp").distinct(), "simhash-distinct")
     roots = fingerprint_roots(fps, max_bits)
     first = Window.partitionBy("root").orderBy(F.col(f"row.`{id_col}`").asc_nulls_last(), F.xxhash64(f"row.`{text_col}`"))
