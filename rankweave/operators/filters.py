@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_matching_keyword, looks_like_pdf
+from .keywords import CHAIN, first_keyword, keyword_table
 
 # Fixed default: rows read per source when keyword filtering is on.
 OVERFETCH_COUNT = 10
@@ -19,8 +20,13 @@ def policy_text(df: DataFrame) -> F.Column:
     return F.concat_ws(" ", F.coalesce(F.col("title"), F.lit("")), F.coalesce(F.col("snippet"), F.lit("")))
 
 
-def with_excluded_keyword(df: DataFrame, keywords: list[str], out_col: str = "keyword") -> DataFrame:
-    """First excluded keyword (list order) found in ``title + ' ' + snippet``."""
+def with_excluded_keyword(df: DataFrame, keywords: list[str] | DataFrame, out_col: str = "keyword") -> DataFrame:
+    """First excluded keyword (list order) found in ``title + ' ' +
+    snippet``. A long list, or a table (pos, keyword), is joined by q-grams."""
+    if isinstance(keywords, DataFrame):
+        return first_keyword(df, policy_text(df), keywords, out_col)
+    if len(keywords) > CHAIN:
+        return first_keyword(df, policy_text(df), keyword_table(df.sparkSession, keywords), out_col)
     return df.withColumn(out_col, first_matching_keyword(policy_text(df), keywords))
 
 

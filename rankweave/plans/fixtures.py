@@ -29,6 +29,7 @@ SOURCES = [("e0", 0, True, None, None, "view"), ("e1", 1, True, "g", "news", Non
 # key_name, idx, daily_limit, threshold
 KEYS = [("k1", 0, 100, 0.8), ("k2", 1, 100, 0.8), ("k3", 2, 100, 0.8)]
 KEYWORD_MIN_LEN = 6
+TABLE_MIN_LEN = 9   # characters of a keyword of the table
 SOURCE_PAGE = 10    # rows one source answers per request (the over-fetch count)
 HOSTED_MAX = 8      # results asked from the hosted backend (context search default)
 TODAY = "2024-01-15"  # the "today" of the counter views
@@ -81,6 +82,14 @@ def keywords(df: DataFrame, key: str, text_col: str) -> DataFrame:
             .filter(F.length("term") >= KEYWORD_MIN_LEN).distinct())
 
 
+def keyword_table_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, keyword): tokens of at least TABLE_MIN_LEN characters of the
+    benchmark, as written; the first 15 hexadecimal digits of their MD5 are their place."""
+    words = F.explode(F.regexp_extract_all("query", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("keyword")
+    found = queries_fx(spark, sf_dir).select(words).where(F.length("keyword") >= TABLE_MIN_LEN).distinct()
+    return found.select(F.conv(F.substring(F.md5("keyword"), 1, 15), 16, 10).cast("long").alias("pos"), "keyword")
+
+
 def matches_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Light match table (no text): (query_id, doc_id, engine, engine_pos,
     n_shared, rank within the engine, news_rank within the query)."""

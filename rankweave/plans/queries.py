@@ -222,6 +222,14 @@ def q_excluded_keyword(spark, sf):
                                                                          "keyword")
 
 
+@query("excluded_keyword_table")
+def q_excluded_keyword_table(spark, sf):
+    """Every document against a table of keywords: all long tokens of the benchmark."""
+    docs = fx.docs_fx(spark, sf).select("doc_id", "title", "snippet")
+    out = filters.with_excluded_keyword(docs, fx.keyword_table_fx(spark, sf))
+    return out.select("doc_id", "keyword")
+
+
 @query("overfetch_limit")
 def q_overfetch_limit(spark, sf):
     c = fx.candidates_fx(spark, sf)
