@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25, content, evaluate, filters, quota, recency, relevance, render, routing
+from ..operators import bm25, content, evaluate, filters, lexicon, quota, recency, relevance, render, routing
 from ..operators import stored_index as stored
 from ..session import cut_lineage, read_table, scratch_path
 from ..sources import listing, news, pages as pg
@@ -331,6 +331,14 @@ def q_token_counts(spark, sf):
     return p.select("page_id", F.size(T.tokenize(F.col("html"))).cast("long").alias("n_tokens"))
 
 
+@query("prefix_statistics")
+def q_prefix_statistics(spark, sf):
+    """What the learned lexer goes by, here for word forms of any letters."""
+    forms = lexicon.word_forms(read_table(spark, sf, "documents"), "text", r"^\p{L}{2,}$")
+    stats = lexicon.prefix_statistics(forms, longest=4)
+    return stats.select("prefix", "n", r6(F.col("cohesion")).alias("cohesion"), r6(F.col("entropy")).alias("entropy"))
+
+
 # ---------------------------------------------------------------------------
 # 2.4 BM25, relevance, recency
 # ---------------------------------------------------------------------------
