@@ -8,9 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import Tokenizer, tokenize
+from ..functions.text import LINE_BREAK, Tokenizer, py_strip
 from ..operators import bm25, content, filters, recency, relevance, render, routing
-from ..sources import listing
 from ..session import cut_lineage
 from ..sources.pages import MAX_CHARS, content_attach
 
@@ -57,10 +56,9 @@ def web_search(requests: DataFrame, registry: DataFrame, source_rows: DataFrame,
     (query_id, engine, outcome, detail) the calls that did not answer: their
     sources give no rows, and the fallback follows from that.
 
-    With ``materialize`` what is reused is stored in the shared folder: the
-    bounded source rows, the narrow tables of the routing (resolved, fallback,
-    sections) and the filtered rows, so that plans stay small and the work of a
-    lost executor restarts from there.
+    With ``materialize`` what is read more than once is stored in the shared
+    folder: the bounded source rows and the filtered rows. Routing, fallback
+    and statuses are joins of their keys with the small tables of the requests.
     """
     keywords = list(keywords)
     m = cut_lineage if materialize else (lambda d: d)
@@ -72,12 +70,12 @@ def web_search(requests: DataFrame, registry: DataFrame, source_rows: DataFrame,
         routing.answered(filters.overfetch_limit(source_rows, max_results, keywords, overfetch), outcomes), keywords, "_kw"))
     keys = source_rows.select("query_id", "engine", "rank", "_kw")
     requests = requests.select("query_id", "query", "engines")
-    resolved = m(routing.resolve_sources(requests, registry))
+    resolved = routing.resolve_sources(requests, registry)
     first = resolved.select("query_id", "engine", F.col("req_pos").alias("sec_pos"), "registered")
     kept1, secs1 = _round(keys, first, max_results, keywords, overfetch)
-    fb = m(routing.fallback_sources(requests, resolved, kept1.select("query_id"), registry))
+    fb = routing.fallback_sources(requests, resolved, kept1.select("query_id"), registry)
     kept2, secs2 = _round(keys, fb.withColumn("registered", F.lit(True)), max_results, keywords, overfetch)
-    sections = m(routing.source_status(secs1.unionByName(secs2), outcomes))
+    sections = routing.source_status(secs1.unionByName(secs2), outcomes)
     texts = source_rows.drop("_kw").withColumnRenamed("rank", "src_rank")
     rows = kept1.unionByName(kept2).drop("_kw").join(texts, ["query_id", "engine", "src_rank"])
     after_pdf = filters.pdf_filter(rows)
@@ -100,18 +98,26 @@ def web_search_text(requests: DataFrame, registry: DataFrame, source_rows: DataF
     return render.answer_text(r.rows, r.sections, requests)
 
 
+def links_of(rows: DataFrame) -> DataFrame:
+    """(query_id, record, engine, title, url, snippet) of the rows of a search,
+    in answer order; a body becomes one line."""
+    lines = F.transform(F.split(F.coalesce(content.content_or(F.col("snippet")), F.lit("")), LINE_BREAK), py_strip)
+    w = Window.partitionBy("query_id").orderBy("sec_pos", "rank")
+    return rows.select("query_id", F.row_number().over(w).cast("long").alias("record"), "engine", "title",
+                       F.coalesce("url", F.lit("")).alias("url"),
+                       F.array_join(F.filter(lines, lambda x: x != F.lit("")), " ").alias("snippet"))
+
+
 def context_search(requests: DataFrame, registry: DataFrame, source_rows: DataFrame, pages: DataFrame,
                    max_results: int = 8, top_k: int = relevance.RERANK_TOP_K, lexer: Tokenizer | None = None,
                    **kw) -> DataFrame:
-    """Web search over the default sources -> text answer -> parsed links
-    (S6) -> relevance re-rank (B6). Returns (query_id, rerank, engine, title,
-    url, snippet)."""
+    """Web search over the default sources, its rows as links, relevance
+    re-rank (B6). Returns (query_id, rerank, engine, title, url, snippet). Rows
+    stay structured; :func:`listing.parse_sections` reads links from an
+    answer that is text."""
     all_req = requests.withColumn("engines", F.lit("all"))
-    text = web_search_text(all_req, registry, source_rows, pages, max_results=max_results, lexer=lexer, **kw)
-    if kw.get("materialize", True):
-        text = cut_lineage(text)
-    links = listing.parse_sections(text.select(F.col("query_id"), F.col("answer").alias("text")), "query_id")
-    links = links.withColumn("link_id", F.col("record"))
+    found = web_search(all_req, registry, source_rows, pages, max_results=max_results, lexer=lexer, **kw)
+    links = links_of(found.rows).withColumn("link_id", F.col("record"))
     ranked = relevance.relevance_rerank(links, requests.select("query_id", "query"), "link_id", "record",
                                         top_k=top_k, lexer=lexer)
     return ranked.select("query_id", "rerank", "engine", "title", "url", "snippet", "score")
