@@ -7,7 +7,8 @@ address, the digits of a number, each part of a name. A unit is replaced by a
 surrogate drawn from a keyed hash of its kind and normal form, so equal units
 are replaced alike in every document and layout (coreference). Surrogates keep
 kind, script, gender of a given name, letter case, layout, country and network
-digits, top-level domain and a valid Luhn sum.
+digits, top-level domain and a valid Luhn sum. Numbers of card length without
+that sum, and dotted numbers behind "version", are left alone.
 
 The gender of a given name is that of the title or of the known name in front;
 behind a neutral title, that of the known name that follows. It is settled
@@ -17,7 +18,8 @@ neutral.
 
 Distinctness is checked over the whole corpus: of units of a kind with the
 same surrogate, or with one that is a unit of the corpus, all but one draw
-again until none collides. Only those that drew again, or whose gender is not
+again until none collides; where short phone numbers leave no room, later
+surrogates are longer. Only those that drew again, or whose gender is not
 the one of the place they stand in, are kept in a table.
 
 Built from DataFrame functions. Nulls and ties: a null text stays null with 0
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 DRAWS = 200
+#: draws after which the surrogate of a phone number grows
+LONGER = 8
 
 # Titles by gender, given names by gender, syllables by script, endings of given names.
 TITLES = {
@@ -70,9 +74,9 @@ PATTERNS = {
     "email": r"(?<![\p{L}\d._%+-])[\p{L}\d._%+-]{1,64}@[\p{L}\d-]{1,63}(?:\.[\p{L}\d-]{1,63}){0,8}\.\p{L}{2,24}",
     "secret": r"(?<![\p{L}\d])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\d])",
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){3,7}(?: ?[A-Z\d]{1,3})?(?![\p{L}\d])",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "ip": rf"(?<![\d.])(?<![vV]ersion )(?<![vV]er\. )(?<![vV])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d])",
+    "card": r"(?<![\p{L}\d.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\p{L}\d])",
     "phone": (r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}"
               r"|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"),
     "name": rf"(?<!\p{{L}})(?:(?:{_ALL_TITLES})\.? {_NAME_TAIL}|(?:{_ALL_GIVEN}) (?:{_WORD})(?: (?:{_WORD}))?)",
@@ -115,8 +119,11 @@ def parts_of(match: Column) -> Column:
             _part("keep", F.lit(" ")), F.when(i == last, _part("family", w)).otherwise(
                 _part(F.concat(F.lit("given_"), gender), w))))))
     out = F.when(match.rlike(_full(PATTERNS["email"])), email)
+    # a long number without a valid sum is no card, and stays
+    card = F.when(_luhn(F.regexp_replace(match, r"\D", "")) % 10 == 0, "card").otherwise("keep")
     for kind in ("secret", "iban", "ip", "ssn", "card", "phone"):
-        out = out.when(match.rlike(_full(PATTERNS[kind])), F.array(_part(kind, match)))
+        found = _part(card if kind == "card" else kind, match)
+        out = out.when(match.rlike(_full(PATTERNS[kind])), F.array(found))
     return out.otherwise(name)
 
 
@@ -188,9 +195,13 @@ def _surrogate(kind: Column, unit: Column, attempt: Column, hashed: Column, draw
     n = F.length(unit)
     first = (_byte(hashed, F.lit(63)) % 9 + 1).cast("string")
     more = F.substring(F.translate(F.sha2(hashed, 256), "0123456789", "ghijklmnop"), F.lit(1), F.greatest(F.lit(0), attempt - 2))
+    # short numbers run out: later draws are longer by a digit or more
+    longer = F.substring(F.translate(F.sha2(hashed, 256), "abcdef", "012345"), F.lit(1),
+                         F.greatest(F.lit(0), F.floor((attempt - LONGER) / 4).cast("int") + 1))
     country = F.when(unit.rlike("^[17]"), 1).otherwise(2)
     phone = F.when(n > 10, F.concat(F.substring(unit, F.lit(1), country), first, F.substring(drawn, country + 2, n))).otherwise(
         F.concat(first, F.substring(drawn, F.lit(2), n)))
+    phone = F.concat(phone, longer)
     body = F.concat(F.substring(unit, F.lit(1), F.lit(1)), F.substring(drawn, F.lit(2), n - 2))
     check = ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
     card = F.concat(body, F.when(_luhn(unit) % 10 == 0, check).otherwise(F.substring(drawn, n, F.lit(1))))
@@ -207,14 +218,15 @@ def _surrogate(kind: Column, unit: Column, attempt: Column, hashed: Column, draw
 
 
 def _filled(raw: Column, drawn: Column) -> Column:
-    """``drawn`` in the layout and case of ``raw``: its characters replace the letters and digits in order."""
+    """``drawn`` in the layout and case of ``raw``: its characters replace the
+    letters and digits in order; what is left over comes at the end."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
     def step(state, c):
         d = F.substring(drawn, state["k"], F.lit(1))
         return F.when(c.rlike(r"[\p{L}\d]"), F.struct(
             F.concat(state["out"], F.when(c.rlike(r"\p{Lu}"), F.upper(d)).otherwise(d)).alias("out"), (state["k"] + 1).alias("k"))
         ).otherwise(F.struct(F.concat(state["out"], c).alias("out"), state["k"].alias("k")))
-    return F.aggregate(F.split(raw, ""), start, step, lambda s: s["out"])
+    return F.aggregate(F.split(raw, ""), start, step, lambda s: F.concat(s["out"], F.substring(drawn, s["k"], F.length(drawn))))
 
 
 def _rendered(kind: Column, raw: Column, drawn: Column) -> Column:
@@ -310,4 +322,4 @@ def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", tex
     new = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice(gaps, 1, F.size("found")).alias("gap"), F.col("found").alias("m")),
                                             lambda z: F.concat(z["gap"], replaced(z["m"]))), ""), F.element_at(gaps, -1))
     return joined.select(F.col("id").alias(id_col), F.when(F.size("found") > 0, new).otherwise(F.col("text")).alias("text"),
-                         F.size("found").alias("n_entities"))
+                         F.size(F.filter("found", lambda m: F.exists(parts_of(m), lambda p: p["kind"] != "keep"))).alias("n_entities"))

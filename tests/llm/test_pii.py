@@ -97,3 +97,25 @@ def test_one_surrogate_whatever_stands_before(spark):
     assert ends(1, "f") and ends(4, "m") and ends(5, "f") and ends(7, "u") and ends(8, "u")
     (_, alone, _), = run(spark, rows[:1])
     assert alone == f"saw Dr. {given[1]} {out[1][2]} today"
+
+
+def rewritten(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.text, r.n_entities) for r in P.replace_personal_data(df, "k").orderBy("doc_id").collect()]
+
+
+def test_numbers_that_are_no_entity_stay(spark):
+    kept = ["Order 123456789012345 shipped", "Version 1.2.3.4 and v10.0.0.1", "sum 1234567890123456"]
+    got = rewritten(spark, kept + ["card 4111 1111 1111 1111 at 27.65.93.188", "4111111111111111 27.65.93.188 x"])
+    assert got[:3] == [(t, 0) for t in kept]
+    for (text, n), raw in zip(got[3:], ("4111 1111 1111 1111", "4111111111111111")):
+        assert n == 2 and raw not in text and "27.65.93.188" not in text
+
+
+def test_short_phone_numbers_never_run_out(spark):
+    # more than half of all numbers of five digits: the others cannot serve them all
+    numbers = [f"+{n}" for n in range(10000, 99999) if n % 9 < 5]
+    got = rewritten(spark, [f"call {n} now" for n in numbers])
+    new = [t[5:-4] for t, _ in got]
+    assert len(set(new)) == len(numbers) and not set(new) & set(numbers)
+    assert all(n == 1 for _, n in got)
