@@ -78,8 +78,12 @@ def news_payloads(spark, sf) -> DataFrame:
     m = lambda k: F.col("doc_id") % k
     amp = lambda c: F.replace(F.col(c), F.lit("&"), F.lit("&amp;"))
     seoul = F.from_utc_timestamp("pub_date", "Asia/Seoul")
-    pub = F.when(m(11) == 0, F.lit("not a date")).otherwise(
-        F.concat(F.date_format(seoul, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0900")))
+    # mail dates in the forms that sources send
+    at = lambda shape, zone, where=seoul: F.concat(F.date_format(where, shape), F.lit(zone))
+    pub = (F.when(m(11) == 0, F.lit("not a date")).when(m(13) == 1, at("MMMM d, yyyy HH.mm.ss", " +0900"))
+           .when(m(13) == 2, at("EEE MMM d HH:mm:ss yyyy", "", F.col("pub_date")))
+           .when(m(13) == 3, at("d-MMM-yy H:m:s", " GMT", F.col("pub_date"))).when(m(13) == 4, at("dd MMM yyyy HH:mm:ss", " +0900 (KST)"))
+           .otherwise(at("EEE, dd MMM yyyy HH:mm:ss", " +0900")))
     item = F.struct(
         F.concat(F.lit("<b>"), amp("title"), F.lit("</b>")).alias("title"),
         F.when(m(5) == 0, F.lit(None)).when(m(3) == 0, F.lit("")).otherwise(F.col("url")).alias("originallink"),

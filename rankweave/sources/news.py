@@ -5,6 +5,8 @@ Each source's list position becomes an explicit ``rank`` (1-based) column.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,30 +19,49 @@ HOSTED_SNIPPET_CHARS = 200
 RESULT_COLUMNS = ["query_id", "engine", "engine_pos", "rank", "title", "url", "snippet"]
 
 
-# Zone names of mail dates, and the months.
-ZONES = {"UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "AST": "-0400", "ADT": "-0300", "EST": "-0500",
-         "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
-MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-DATE_PATTERN = (r"^(?:[A-Za-z]+\.?\s*,?\s+)?(\d{1,2})[ -]([A-Za-z]{3})[A-Za-z]*\.?,?[ -](\d{4}|\d{2})\s+"
-                r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\.\d+)?\s*([+-]\d{4}|[A-Za-z]*)$")
+# Zone names of mail dates with their hours from UTC, the months, and the forms of a date.
+ZONES = {"UT": 0, "UTC": 0, "GMT": 0, "Z": 0, "AST": -4, "ADT": -3, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6,
+         "PST": -8, "PDT": -7}
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+_MONTH = "|".join(f"{m}|{m[:3]}" for m in MONTHS)
+_TIME = r"(?<hour>\d{1,2})[:.](?<minute>\d{1,2})(?:[:.](?<second>\d{1,2}))?(?:\.\d+)?"
+_START = r"(?i)^(?:[a-z]+\.?\s*,?\s+)?"
+_ZONE = r"\s*(?<zone>\S*)$"
+DATE_FORMS = [
+    rf"{_START}(?<day>\d{{1,2}})[ -](?<month>{_MONTH}),?[ -](?<year>\d{{4}}|\d{{2}}),? {_TIME}{_ZONE}",
+    rf"{_START}(?<month>{_MONTH})[ -](?<day>\d{{1,2}}),?[ -](?<year>\d{{4}}|\d{{2}}),? {_TIME}{_ZONE}",
+    rf"{_START}(?<month>{_MONTH}) (?<day>\d{{1,2}}),? {_TIME} (?<year>\d{{4}}|\d{{2}})(?<zone>)$",
+]
+
+
+def _fields(s: Column, form: str) -> Column:
+    """The parts of a date of one form, null if the text is none."""
+    names = re.findall(r"\(\?<(\w+)>", form)
+    parts = F.struct(*[F.regexp_extract(s, form, k + 1).alias(n) for k, n in enumerate(names)])
+    wanted = ("year", "month", "day", "hour", "minute", "second", "zone")
+    return F.when(s.rlike(form), F.struct(*[parts[n].alias(n) for n in wanted]))
 
 
 def parse_rfc2822(c: Column) -> Column:
-    """Mail date -> timestamp, null when unparseable. Weekday and seconds may
-    lack, comments in brackets are ignored, years of two digits are 1969 to
-    2068, and a date without a zone, or with an unknown one, is UTC."""
+    """Mail date -> timestamp, null when unparseable. Day or month come first,
+    the year may stand behind the time, time parts are parted by colons or
+    dots; weekday, seconds and zone may lack, comments in brackets are
+    ignored, years of two digits are 1969 to 2068. A zone is a name or a number
+    (hours x 100 + minutes); without one, or with any other, a date is UTC."""
     s = F.trim(F.regexp_replace(F.regexp_replace(c, r"\([^()]*\)", " "), r"\s+", " "))
-    part = lambda k: F.regexp_extract(s, DATE_PATTERN, k)
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(part(2)))
-    year = F.when(F.length(part(3)) == 4, part(3)).when(part(3) < "69", F.concat(F.lit("20"), part(3))).otherwise(
-        F.concat(F.lit("19"), part(3)))
-    names = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])
-    zone = F.when(part(7).rlike(r"^[+-]"), part(7)).otherwise(F.coalesce(F.element_at(names, F.upper(part(7))), F.lit("+0000")))
-    two = lambda x: F.lpad(x, 2, "0")
-    seconds = F.when(part(6) == "", "00").otherwise(part(6))
-    text = F.concat(year, F.lit("-"), two(month.cast("string")), F.lit("-"), two(part(1)), F.lit(" "), two(part(4)), F.lit(":"),
-                    part(5), F.lit(":"), seconds, F.lit(" "), zone)
-    return F.when(s.rlike(DATE_PATTERN), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss xx")))
+    found = F.coalesce(*[_fields(s, form) for form in DATE_FORMS])
+    short = F.array(*[F.lit(m[:3]) for m in MONTHS])
+    month = F.array_position(short, F.lower(F.substring(found["month"], 1, 3))).cast("int")
+    number = lambda x: F.when(x == "", 0).otherwise(x.cast("int"))
+    year = number(found["year"])
+    year = F.when(year > 99, year).when(year > 68, year + 1900).otherwise(year + 2000)
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv]), F.upper(found["zone"])) * 3600
+    digits = F.when(found["zone"].rlike(r"^[+-]?\d{1,4}$"), F.regexp_replace(found["zone"], r"^\+", "").cast("int"))
+    clock = F.floor(F.abs(digits) / 100) * 3600 + F.abs(digits) % 100 * 60
+    offset = F.coalesce(named, F.when(digits < 0, -clock).otherwise(clock), F.lit(0))
+    there = F.try_make_timestamp(year, month, number(found["day"]), number(found["hour"]), number(found["minute"]),
+                                 number(found["second"]), F.lit("UTC"))
+    return F.timestamp_seconds(F.unix_timestamp(there) - offset)
 
 
 def _items(payloads: DataFrame, key_cols: list[str], payload_col: str) -> DataFrame:

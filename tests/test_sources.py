@@ -50,3 +50,28 @@ def test_answer_json_shape(spark):
     out = json.loads(render.answer_json(r.rows, r.sections, req, r.resolved).first()["answer_json"])
     assert out == {"query": "stock price", "engines": ["e0", "nope"],
                    "results": [{"engine": "e0", "title": "stock price", "url": None, "content": "stock price up"}]}
+
+
+def test_mail_dates_equal_the_standard_library(spark):
+    from datetime import timezone
+    from email.utils import parsedate_to_datetime
+
+    from pyspark.sql import functions as F
+
+    texts = ["Mon, 01 Jan 2024 09:00:00 +0900", "1 Jan 2024 9:5:7 +0900", "01 Jan 2024 09:00:00 +09:00", "01 Jan 2024 09.00.00 +0900",
+             "01 Jan 2024 09:00:00 +090", "Mon, Jan 01 2024 09:00:00 -0130", "Mon Jan  1 09:00:00 2024", "1 January 2024 09:00 EST",
+             "01-Feb-99 23:59:59 PDT", "Janx 01 2024 09:00:00", "01 Janx 2024 09:00:00 +0000", "31 Feb 2024 10:00:00 +0000",
+             "Thu, 29 Feb 2024 23:59:59 -0000 (comment)", "01 Jan 68 00:00 GMT", "01 Jan 69 00:00 UT", "not a date", "",
+             "01 Jan 2024 25:00:00 +0000", "Fri, 05 Apr 2024 07:08:09"]
+
+    def want(text):
+        try:
+            at = parsedate_to_datetime(text)
+        except (ValueError, TypeError):
+            return None
+        return (at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp()
+
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = {r[0]: r[1] for r in df.select("t", F.unix_timestamp(news.parse_rfc2822(F.col("t")))).collect()}
+    assert got.pop(None) is None
+    assert got == {t: want(t) for t in texts}
