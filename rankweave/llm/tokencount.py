@@ -95,15 +95,21 @@ class PrefixTrie:
 
 
 class TerminalCounts(dict):
-    """Tokens by word (bytes, without the space mark)."""
+    """Tokens by word (bytes, without the space mark). Two generations are
+    kept: when the younger is full it becomes the older one, and words met
+    again move back, so common words are never scored anew."""
 
     def __init__(self, scores: dict[str, float]):
         super().__init__()
         self.trie = PrefixTrie(scores)
+        self.older: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
-        n = self.trie.count(SPACE_MARK + word.decode("utf-8", "replace"))
-        if len(self) >= MAX_COUNTS:
+        n = self.older.get(word)
+        if n is None:
+            n = self.trie.count(SPACE_MARK + word.decode("utf-8", "replace"))
+        if len(self) >= MAX_COUNTS // 2:
+            self.older = dict(self)
             self.clear()
         if len(word) <= MAX_DEPTH:
             self[word] = n

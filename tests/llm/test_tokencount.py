@@ -59,3 +59,12 @@ def test_public_vocabulary():
     scores = T.load_vocabulary()
     assert len(scores) > 30_000 and all(s < 0 for s in scores.values()) and min(scores.values()) > T.BYTE_SCORE
     assert T.TerminalCounts(scores)["the".encode()] == 1
+
+
+def test_generations_change_no_count(monkeypatch):
+    scores = {"▁a": -1.0, "b": -2.0, "ab": -1.5, "▁": -3.0, "a": -2.5}
+    words = [w.encode() for w in ("a", "ab", "ba", "bb", "abab", "x", "é")] * 5
+    want = [T.TerminalCounts(scores)[w] for w in words]
+    monkeypatch.setattr(T, "MAX_COUNTS", 4)
+    small = T.TerminalCounts(scores)
+    assert [small[w] for w in words] == want and len(small) <= 2 and len(small.older) <= 2
