@@ -59,3 +59,22 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_with_clashing_columns_and_a_very_long_text(spark):
+    words = "the of and to in that is was for with his they have this from".split()
+    texts = [" ".join(words[(i * 7 + j * (i + 3)) % len(words)] for j in range(30 + i)) for i in range(24)] + ["very long text " * 60_000]
+    rows = [(i, t, "en", f"src{i % 3}", len(t), f"r{i}", i, i + 1, "h", -i, "p", 0.5) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `row` string, fp long, root long, "
+                                 "__hash string, __order long, p string, score double")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, kept, SF)
+        if name != "shards":
+            assert kept.columns == docs.columns
+        got = kept.collect()
+        assert len(got) >= len(texts) and 24 in {r["doc_id"] for r in got}
+        if name != "shards":
+            own = {r["doc_id"]: r for r in docs.collect()}
+            assert all(r == own[r["doc_id"]] for r in got)
+        kept = spark.createDataFrame(got, kept.schema)
