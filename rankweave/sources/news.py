@@ -49,7 +49,12 @@ def parse_rfc2822(c: Column) -> Column:
     ignored, years of two digits are 1969 to 2068. A zone is a name or a number
     (hours x 100 + minutes); without one, or with any other, a date is UTC."""
     s = F.trim(F.regexp_replace(F.regexp_replace(c, r"\([^()]*\)", " "), r"\s+", " "))
+    # the parts are bound once: every use of the expression would match the forms again
     found = F.coalesce(*[_fields(s, form) for form in DATE_FORMS])
+    return F.get(F.transform(F.array(found), _instant), F.lit(0))
+
+
+def _instant(found: Column) -> Column:
     short = F.array(*[F.lit(m[:3]) for m in MONTHS])
     month = F.array_position(short, F.lower(F.substring(found["month"], 1, 3))).cast("int")
     number = lambda x: F.when(x == "", 0).otherwise(x.cast("int"))
