@@ -1,66 +1,40 @@
 """Key rotation on a live call log (W5 as a stream).
 
 A call's number of the day depends on the calls before it, so a call waits in
-state until the watermark has passed its minute. Waiting calls are dealt over
-HOLD_BUCKETS keys, so a busy minute or day does not sit in one task. The calls
-that a micro-batch lets go are all later than those of the batches before; they
-are numbered like a table (ranges sorted apart, shifted by the counts before)
-and the day's count up to the last batch is added.
+state until the watermark has passed its minute. Two windowed aggregations hold
+the calls: by instant, which drops a call later than the watermark, and by
+minute. Both are dealt over HOLD_BUCKETS keys, so a busy minute does not sit in
+one row of state. The calls that a micro-batch lets go are all later than those
+of the batches before; they are numbered like a table (ranges sorted apart,
+shifted by the counts before) and the day's count up to the last batch is added.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import quota
+from ..session import store
 from . import counters, epochs
 
 HOLD_BUCKETS = 64
-MINUTE_MS = 60_000
-HELD = "event_id long, ts timestamp"
+HOLD = "1 minute"
 NUMBERED = "event_id long, ts timestamp, day string, n long, key_name string"
 
 
-class HoldUntilFinal(StatefulProcessor):
-    """Calls by minute, let go when the watermark has passed the minute."""
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.minutes = handle.getMapState("minutes", "minute long", "calls array<struct<event_id:bigint,us:bigint>>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, list] = {}
-        for part in rows:
-            for event, us in zip(part["event_id"].tolist(), part["us"].tolist()):
-                new.setdefault(us // 1000 // MINUTE_MS, []).append((event, us))
-        for minute, calls in new.items():
-            if self.minutes.containsKey((minute,)):
-                calls = list(self.minutes.getValue((minute,))[0]) + calls
-            else:
-                self.handle.registerTimer((minute + 1) * MINUTE_MS)
-            self.minutes.updateValue((minute,), (calls,))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        minute = expiredTimerInfo.getExpiryTimeInMs() // MINUTE_MS - 1
-        calls = self.minutes.getValue((minute,))[0]
-        self.minutes.removeKey((minute,))
-        yield pd.DataFrame({"event_id": [c[0] for c in calls], "us": [c[1] for c in calls]})
-
-    def close(self) -> None:
-        pass
-
-
 def final_calls(calls: DataFrame, watermark: str = counters.REPORT_EVERY, buckets: int = HOLD_BUCKETS) -> DataFrame:
-    """Streaming (event_id, us): calls whose minute the watermark has passed."""
-    dealt = calls.withWatermark("ts", watermark).select(
-        F.pmod(F.xxhash64("event_id"), F.lit(buckets)).alias("bucket"), "event_id", F.unix_micros("ts").alias("us"), "ts")
-    return dealt.groupBy("bucket").transformWithStateInPandas(HoldUntilFinal(), "event_id long, us long", "Append", "EventTime")
+    """Streaming (event_id, ts): calls whose minute the watermark has passed.
+    A call without a time has no minute and is passed over."""
+    dealt = calls.where("ts is not null").withWatermark("ts", watermark).select(
+        F.pmod(F.xxhash64("event_id"), F.lit(buckets)).alias("bucket"), "event_id", "ts")
+    # a list drops nulls, a struct of one is kept
+    instants = dealt.groupBy("ts", "bucket").agg(F.collect_list(F.struct("event_id")).alias("calls"))
+    at = F.unix_micros("ts").alias("us")
+    minutes = instants.groupBy(F.window("ts", HOLD), "bucket").agg(F.collect_list(F.struct(at, "calls")).alias("instants"))
+    return (minutes.select(F.explode("instants").alias("i")).select("i.us", F.explode("i.calls").alias("c"))
+            .select("c.event_id", F.timestamp_micros("us").alias("ts")))
 
 
 def run_rotation(calls: DataFrame, keys: DataFrame, table: str, checkpoint: str, watermark: str = counters.REPORT_EVERY,
@@ -72,7 +46,8 @@ def run_rotation(calls: DataFrame, keys: DataFrame, table: str, checkpoint: str,
     spark = calls.sparkSession
 
     def add(batch: DataFrame, epoch: int) -> None:
-        held = batch.select("event_id", F.timestamp_micros("us").alias("ts"))
+        # stored once: the state is read for every use of the batch
+        held = store(batch.select("event_id", "ts"), "final-calls")
         before = (epochs.read_epochs(spark, table, NUMBERED).where(F.col("epoch") < epoch)
                   .groupBy("day").agg(F.max("n").alias("before")))
         epochs.write_epoch(quota.quota_assign(held, keys, before).select("event_id", "ts", "day", "n", "key_name"), table, epoch)

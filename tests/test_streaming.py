@@ -152,6 +152,27 @@ def test_rotation_on_the_live_log_equals_the_batch_over_a_restart(spark, log, tm
     assert rotated(spark, log, tmp_path)[1] == second
 
 
+def test_rotation_holds_calls_in_windows_and_passes_over_those_without_time(spark, log, tmp_path):
+    calls_of = lambda rows: [(i, None if s is None else START + timedelta(seconds=s), k) for i, s, k in rows]
+
+    def add(rows):
+        spark.createDataFrame(calls_of(rows), SCHEMA).coalesce(1).write.mode("append").parquet(log.path)
+
+    add([(None, 3, "a"), (8, None, "a"), (2**60 + 1, 3, "a"), (5, 3, "b"), (5, 3, "b"), (6, 70, "a"), (7, 150, "a")])
+    first = rows_of_rotation(spark, log, tmp_path)
+    # the watermark is 150 - 60 s: the first minute is over; equal ids stay apart, a null id comes first
+    assert [(r[0], r[2]) for r in first] == [(None, 1), (5, 2), (5, 3), (2**60 + 1, 4)]
+    add([(9, 80, "a"), (10, 100, "a"), (11, 300, "a")])  # 9 is later than the watermark, though its minute is held
+    assert [r[0] for r in rows_of_rotation(spark, log, tmp_path)[4:]] == [6, 10, 7]
+
+
+def rows_of_rotation(spark, log, tmp_path):
+    keys = spark.createDataFrame(KEYS, "key_name string, idx long, daily_limit long, threshold double")
+    rotation.run_rotation(log.stream(), keys, str(tmp_path / "t"), str(tmp_path / "c"))
+    found = rotation.rotation_table(spark, str(tmp_path / "t")).collect()
+    return sorted(((r["event_id"], r["ts"], r["n"]) for r in found), key=lambda r: (r[1], r[2]))
+
+
 def test_search_over_a_stream_of_requests_equals_the_batch(spark, tmp_path):
     asked = fx.requests_fx(spark, SF001).select("query_id", "query", "engines")
     folder = str(tmp_path / "requests")
