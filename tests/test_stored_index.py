@@ -6,6 +6,7 @@ from test_bm25 import py_bm25
 
 from rankweave.functions.text import lexical_tokens
 from rankweave.operators import bm25, stored_index
+from rankweave.session import store_bucketed
 
 
 def corpus(rnd, n, words=40):
@@ -167,3 +168,28 @@ def test_a_lexer_of_ones_own(spark, tmp_path):
     index = stored_index.build(table(spark, ["Walking home", "walked"]), str(tmp_path / "a"),
                                lexer=lambda c: F.transform(lexical_tokens(c), lambda t: F.substring(t, 1, 4))).index()
     assert {r["term"] for r in index.terms.collect()} == {"walk", "home"}
+
+
+def test_buckets_grow_in_number_with_the_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored_index, "BUCKET_BYTES", 100)
+    texts = [(i, " ".join(f"w{(i * k) % 9}" for k in range(1, 12))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    made = stored_index.build(docs.where("doc_id < 30"), str(tmp_path / "i"))
+    size = sum(len(t) for i, t in texts if i < 30)
+    assert made.manifest["buckets"] == -(-size // 100) > spark.sparkContext.defaultParallelism
+    # a segment larger than the first build is written by more tasks than there are buckets, into the same buckets
+    small = stored_index.build(docs.where("doc_id < 30"), str(tmp_path / "s"), buckets=2).append(docs.where("doc_id >= 30"))
+    assert small.manifest["buckets"] == 2
+    whole = stored_index.build(docs, str(tmp_path / "w"))
+    rows = lambda x: sorted(map(tuple, x.postings().collect()))
+    assert rows(small) == rows(whole) == rows(made.append(docs.where("doc_id >= 30")))
+    assert rows(small.compact(str(tmp_path / "c"))) == rows(whole)
+
+
+def test_documents_stored_in_the_buckets_of_an_index_meet_it_without_an_exchange(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"a{i % 3} b{i % 5}") for i in range(40)], "doc_id long, text string")
+    index = stored_index.build(docs, str(tmp_path / "i"), buckets=3).index()
+    held = store_bucketed(docs.where("doc_id < 13").select("doc_id", F.array(F.lit(1)).alias("asked")), "held", "doc_id", index.buckets)
+    joined = index.postings.hint("merge").join(held.hint("merge"), "doc_id")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 26
