@@ -2,10 +2,10 @@
 
 Linear support vector machines over hashed byte n-grams: one machine per
 language family against the rest picks the family, then one-versus-one
-machines separate the languages inside it. Machines are fitted on a bounded
-sample of labelled rows (``SAMPLE_ROWS`` texts of each language, at most
-``SAMPLE_BYTES`` bytes of each) by averaged sub-gradient steps on the hinge
-loss; every text is then scored whole.
+machines separate the languages inside it. Machines are fitted on every
+labelled row, its text whole, by averaged sub-gradient steps on the hinge
+loss: hash groups of about ``GROUP_BYTES`` of text are fitted apart, in
+parallel, and their machines averaged. Every text is then scored whole.
 
 Nulls and ties: rows without text or label are not learned from; a null text
 or one without a letter is ``und`` with score 0, as is every text when no
@@ -16,23 +16,30 @@ columns of the rows, whatever their names, travel in one struct.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 UNKNOWN = "und"
-SAMPLE_ROWS = 400
-#: bytes of a text that the fit reads, in pieces from all over it; at most SAMPLE_ROWS * SAMPLE_BYTES for each language
-SAMPLE_BYTES = 8192
-SAMPLE_PIECES = 8
+#: bytes of text fitted at once, and groups that a task fits one after the other
+GROUP_BYTES = 4 << 20
+TASK_GROUPS = 16
+#: weights that travel in one row
+SLICE = 1 << 12
 #: sizes of the short pieces learned from, in bytes
 SNIPPETS = (24, 60, 200, 1000)
 HASH_BITS = 18
 ORDERS = (1, 2, 3, 4)
+#: passes over the rows of a single group; over several groups, as many fewer (one at least)
 EPOCHS = 4
 STEP, SHRINK = 0.5, 1e-4
 CHUNK_BYTES = 1 << 17
@@ -97,9 +104,19 @@ def _grams(data: bytes) -> np.ndarray:
     return np.concatenate(list(_pieces(data)))
 
 
-def _vector(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    index, count = np.unique(_grams(data), return_counts=True)
-    return index, (count / np.sqrt((count.astype(float) ** 2).sum())).astype(np.float32)
+def _vector(data: bytes) -> tuple[np.ndarray, np.ndarray, float]:
+    """N-grams of a text of any length, their counts as a vector of length 1,
+    and the factor that makes its products margins (see :func:`predict_bytes`)."""
+    if len(data) <= CHUNK_BYTES:
+        index, count = np.unique(_grams(data), return_counts=True)
+    else:
+        whole = np.zeros(1 << HASH_BITS, np.int64)
+        for codes in _pieces(data):
+            whole += np.bincount(codes, minlength=1 << HASH_BITS)
+        index = np.flatnonzero(whole)
+        count = whole[index]
+    size = np.sqrt((count.astype(float) ** 2).sum())
+    return index.astype(np.uint32), (count / size).astype(np.float32), float(size / np.sqrt(count.sum()))
 
 
 # -- fitting ----------------------------------------------------------------------
@@ -117,13 +134,13 @@ class Model:
     spread: float = 0.0
 
 
-def _machine(vectors: list, signs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def _machine(vectors: list, signs: np.ndarray, rng: np.random.Generator, epochs: int) -> np.ndarray:
     """Averaged sub-gradient descent on the hinge loss, without bias."""
     w, late = np.zeros(1 << HASH_BITS, np.float32), np.zeros(1 << HASH_BITS, np.float32)
     scale, step = 1.0, 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         for k in rng.permutation(len(vectors)):
-            index, value = vectors[k]
+            index, value, _ = vectors[k]
             scale *= 1 - STEP * SHRINK
             step += 1
             if signs[k] * scale * float(w[index] @ value) < 1:
@@ -133,11 +150,6 @@ def _machine(vectors: list, signs: np.ndarray, rng: np.random.Generator) -> np.n
     return (w - late / np.float32(max(step, 1))) * np.float32(scale)
 
 
-def _margins(data: bytes, weights: np.ndarray) -> np.ndarray:
-    codes = _grams(data)
-    return weights[codes].sum(axis=0, dtype=np.float64) / np.sqrt(len(codes))
-
-
 def _snippets(text: bytes, rng: np.random.Generator) -> list[bytes]:
     """The text and pieces of it, cut at spaces, as short texts occur too."""
     out = [text]
@@ -149,84 +161,155 @@ def _snippets(text: bytes, rng: np.random.Generator) -> list[bytes]:
     return out
 
 
-def fit_rows(rows: list[tuple[str, str]], seed: int = 7) -> Model:
-    """Fit on (text, language) rows; texts are lower case."""
+def _untrained(languages: list[str]) -> Model:
+    """The machines that separate these languages, in order, without weights."""
+    families = sorted({family_of(x) for x in languages})
+    pairs = [(a, b) for f in families for a, b in combinations([x for x in languages if family_of(x) == f], 2)]
+    number = (len(families) if len(families) > 1 else 0) + len(pairs)
+    return Model(languages, families, pairs, np.zeros((1 << HASH_BITS, number), np.float32), np.ones(number))
+
+
+def _fit_group(rows: list[tuple[str, str]], shape: Model, seed: int, epochs: int):
+    """For each machine of ``shape`` (weights, median of the correct margins,
+    number of pieces on the smaller side) from the rows of one group."""
     rng = np.random.default_rng(seed)
-    texts, langs = [], []
+    vectors, langs = [], []
     for text, lang in sorted(rows):
-        for piece in _snippets(text.encode()[:SAMPLE_BYTES], rng):
+        for piece in _snippets(text.encode(), rng):
             if piece.strip():
-                texts.append(piece)
+                vectors.append(_vector(piece))
                 langs.append(lang)
-    languages = sorted(set(langs))
-    vectors, langs = [_vector(t) for t in texts], np.array(langs)
-    families = sorted({family_of(x) for x in languages})
+    langs = np.array(langs)
     kind = np.array([family_of(x) for x in langs])
-    pairs = [(a, b) for f in families for a, b in combinations([x for x in languages if family_of(x) == f], 2)]
-    tasks = [(np.arange(len(langs)), kind == f) for f in families] if len(families) > 1 else []
-    tasks += [(np.flatnonzero((langs == a) | (langs == b)), None) for a, b in pairs]
-    columns, slopes = [], []
-    for k, (rows_of, positive) in enumerate(tasks):
-        first = positive if positive is not None else langs[rows_of] == pairs[k - (len(families) if len(families) > 1 else 0)][0]
-        signs = np.where(first, 1.0, -1.0)
-        w = _machine([vectors[i] for i in rows_of], signs, rng)
-        columns.append(w)
-        # slope of the logistic curve: half of the correct margins lie above 95 %
-        z = np.array([_margins(texts[i], w[:, None])[0] for i in rows_of]) * signs
-        slopes.append(3.0 / max(float(np.median(z)), 1e-6))
-    weights = np.stack(columns, axis=1) if columns else np.zeros((1 << HASH_BITS, 0), np.float32)
-    return Model(languages, families, pairs, weights, np.array(slopes))
-
-
-def _sampled(text: Column, seed: Column) -> Column:
-    """A text of up to SAMPLE_BYTES characters, of a longer one as many in
-    SAMPLE_PIECES pieces at seeded places, one in each part of the text."""
-    size = SAMPLE_BYTES // SAMPLE_PIECES
-    room = F.floor(F.length(text) / SAMPLE_PIECES)
-    starts = [F.lit(k) * room + F.pmod(F.xxhash64(seed, F.lit(k)), F.greatest(room - size, F.lit(1))) + 1 for k in range(SAMPLE_PIECES)]
-    parts = F.concat_ws(" ", *[F.substr(text, s.cast("int"), F.lit(size)) for s in starts])
-    return F.when(F.length(text) <= SAMPLE_BYTES, text).otherwise(parts)
-
-
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str | None = None,
-        sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> Model:
-    """Fit on at most ``sample_rows`` rows of each language, the first by a
-    seeded hash of id and text; each gives at most SAMPLE_BYTES characters.
-
-    Rows are counted first, and only a hash range that holds about four times
-    the sample enters the ranking, whatever the size of the table.
-    """
-    return fit_rows(sample(docs, text_col, lang_col, id_col, sample_rows, seed), seed)
-
-
-def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str | None = None,
-           sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[tuple[str, str]]:
-    """(text, language) of the rows that :func:`fit` learns from."""
+    tasks = [(np.arange(len(langs)), kind == f) for f in shape.families] if len(shape.families) > 1 else []
+    for a, b in shape.pairs:
+        rows_of = np.flatnonzero((langs == a) | (langs == b))
+        tasks.append((rows_of, langs[rows_of] == a))
+    for rows_of, first in tasks:
+        signs, own = np.where(first, 1.0, -1.0), [vectors[i] for i in rows_of]
+        w = _machine(own, signs, rng, epochs)
+        z = [sign * ratio * float(w[index] @ value) for sign, (index, value, ratio) in zip(signs, own)]
+        yield w, float(np.median(z)) if z else 0.0, int(min(first.sum(), (~first).sum()))
+
+
+#: weight of a group that has rows on one side of a machine only; it counts where no group has both
+ONE_SIDED = 1e-6
+
+
+def _finished(shape: Model, weights: np.ndarray, margins: np.ndarray) -> Model:
+    # slope of the logistic curve: half of the correct margins lie above 95 %
+    return replace(shape, weights=weights.astype(np.float32), slopes=3.0 / np.maximum(margins, 1e-6))
+
+
+def fit_rows(rows: list[tuple[str, str]], seed: int = 7) -> Model:
+    """Fit on (text, language) rows, a single group; texts are lower case."""
+    shape = _untrained(sorted({lang for text, lang in rows if text.strip()}))
+    fitted = list(_fit_group(rows, shape, seed, EPOCHS))
+    weights = np.stack([w for w, _, _ in fitted], axis=1) if fitted else shape.weights
+    return _finished(shape, weights, np.array([m for _, m, _ in fitted]))
+
+
+def _fit_groups(shape: Model, seed: int, epochs: int):
+    """Over the rows (bucket, t, l) of a partition in order of the bucket: sums
+    of the weighted machines of its groups, SLICE weights a row."""
+    machines = shape.weights.shape[1]
+    shape = replace(shape, weights=np.zeros((0, machines), np.float32))  # only the names travel
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, total, margins = np.zeros((machines, 1 << HASH_BITS)), np.zeros(machines), np.zeros(machines)
+
+        def take(bucket: int, rows: list[tuple[str, str]]) -> None:
+            for k, (w, margin, small) in enumerate(_fit_group(rows, shape, seed + bucket, epochs)):
+                share = max(float(small), ONE_SIDED)
+                sums[k] += share * w
+                total[k] += share
+                margins[k] += share * margin
+
+        current, rows = None, []
+        for batch in batches:
+            for bucket, text, lang in zip(batch["bucket"].tolist(), batch["t"], batch["l"]):
+                if bucket != current and rows:
+                    take(current, rows)
+                    rows = []
+                current = bucket
+                rows.append((text, lang))
+        if rows:
+            take(current, rows)
+        for k in np.flatnonzero(total):
+            yield pd.DataFrame([(int(k), at, sums[k, at:at + SLICE].astype(np.float32).tobytes(), total[k], margins[k])
+                                for at in range(0, 1 << HASH_BITS, SLICE)], columns=["machine", "at", "part", "total", "margin"])
+
+    return learn
+
+
+PARTS = "machine int, at int, part binary, total double, margin double"
+
+
+def _mean_part(parts: pd.DataFrame) -> pd.DataFrame:
+    """The mean of one slice of a machine over the tasks that fitted it."""
+    parts = parts.sort_values(["total", "margin"])
+    total = float(parts["total"].sum())
+    mean = sum(np.frombuffer(x, np.float32).astype(float) for x in parts["part"]) / total
+    return pd.DataFrame({"machine": parts["machine"].iloc[:1].tolist(), "at": parts["at"].iloc[:1].tolist(),
+                         "part": [mean.astype(np.float32).tobytes()], "total": [total], "margin": [float(parts["margin"].sum()) / total]})
+
+
+def _labelled(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(t, l) and what else ``docs`` has: lower-case texts with a letter and a label."""
+    rows = docs.withColumn("t", F.lower(F.col(text_col))).withColumn("l", F.col(lang_col))
+    return rows.where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str | None = None, seed: int = 7) -> Model:
+    """Fit on every row with a text that has a letter and a label, texts whole.
+
+    Rows are dealt by a seeded hash of id and text over groups of about
+    GROUP_BYTES, fitted apart; a machine is the mean of those of the groups,
+    weighted by the number of pieces on its smaller side, and so is the median
+    margin behind its slope. Only the means come to the driver: 2**HASH_BITS
+    weights for each machine, whatever the size of the table."""
     keys = [F.col(c) for c in (id_col, text_col) if c]
-    labelled = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"),
-                           F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 1).alias("h"))
-    labelled = labelled.where("t is not null and l is not null")
-    shares = labelled.groupBy("l").agg(F.least(F.lit(1.0), F.lit(4.0 * sample_rows) / F.count("*")).alias("share"))
-    # a row for each language, as the model has
-    ranged = labelled.join(F.broadcast(shares), "l").where(F.col("h") <= F.col("share") * float(2**63 - 1))
-    ranged = ranged.where(F.col("t").rlike(r"\p{L}"))
-    order = Window.partitionBy("l").orderBy("h", "t")
-    picked = (ranged.select(_sampled(F.lower("t"), F.col("h")).alias("t"), "l", "h")
-              .withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample_rows))
-    return [(r.t, r.l) for r in picked.select("t", "l").collect()]
-
-
-def calibrate(model: Model, rows: list[tuple[str, str]]) -> Model:
-    """Set the floor from rows that the model has not learned from: half of
-    what the least sure of them reaches, so clean texts stay far above it."""
+    used = docs.select(*{c: F.col(c) for c in (id_col, text_col, lang_col) if c}.values())
+    rows = _labelled(used, text_col, lang_col)
+    sizes = {r["l"]: r["size"] for r in rows.groupBy("l").agg(F.sum(F.octet_length("t")).alias("size")).collect()}
+    shape = _untrained(sorted(sizes))
+    if not shape.weights.shape[1]:
+        return shape
+    groups = math.ceil(sum(sizes.values()) / GROUP_BYTES)
+    tasks = min(groups, max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(groups / TASK_GROUPS)))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(groups)).cast("int")
+    dealt = rows.select(bucket.alias("bucket"), "t", "l").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    parts = dealt.mapInPandas(_fit_groups(shape, seed, max(1, EPOCHS // groups)), PARTS)
+    weights, margins = shape.weights.copy(), np.zeros(shape.weights.shape[1])
+    for r in parts.groupBy("machine", "at").applyInPandas(_mean_part, PARTS).collect():
+        weights[r["at"]:r["at"] + SLICE, r["machine"]] = np.frombuffer(r["part"], np.float32)
+        margins[r["machine"]] = r["margin"]
+    return _finished(shape, weights, margins)
+
+
+def calibrate(model: Model, docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Set the floor from all rows of ``docs``, which the model has not learned
+    from: half of what the least sure of them reaches, so clean texts stay far
+    above it."""
     if len(model.families) < 2:
         return model
-    margins = [_mean_margin(t.encode(), model) for t, lang in sorted(rows) if t.strip() and lang in model.languages]
-    if not margins:
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def of(texts: pa.Array) -> pa.Array:
+        whole = texts.cast(pa.large_binary())
+        got = [_mean_margin(whole[i].as_py(), shared.value) for i in range(len(whole))]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.int64())],
+                                          ["mean", "number"])
+
+    rows = _labelled(docs.select(*{c: F.col(c) for c in (text_col, lang_col)}.values()), text_col, lang_col)
+    rows = rows.where(F.col("l").isin(model.languages))
+    found = materialize(rows.select(F.arrow_udf(of, "struct<mean:double,number:bigint>")("t").alias("m")).select("m.*"), "margins")
+    middle = found.agg(F.percentile_approx("mean", 0.5, 100_000)).first()[0]
+    if middle is None:
         return model
-    mean, number = (np.array(x) for x in zip(*margins))
-    spread = float(np.std((mean - np.median(mean)) * np.sqrt(number)))
-    return replace(model, spread=spread, floor=float((mean + REACH * spread / np.sqrt(number)).min()) / 2)
+    spread = found.agg(F.stddev_pop((F.col("mean") - middle) * F.sqrt("number"))).first()[0]
+    least = found.agg(F.min(F.col("mean") + REACH * spread / F.sqrt("number"))).first()[0]
+    return replace(model, spread=spread, floor=least / 2)
 
 
 def _mean_margin(text: bytes, model: Model) -> tuple[float, int]:
@@ -295,10 +378,10 @@ def held_out(id_col: str) -> Column:
 
 def fit_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                calibrated: bool = False) -> Model:
-    """Fit on the rows that are not held out; ``calibrated`` sets the floor from a sample of those that are."""
+    """Fit on all rows that are not held out; ``calibrated`` sets the floor from all that are."""
     rows = docs.where(F.col(id_col).isNotNull())
     model = fit(rows.where(~held_out(id_col)), text_col, lang_col, id_col)
-    return calibrate(model, sample(rows.where(held_out(id_col)), text_col, lang_col, id_col)) if calibrated else model
+    return calibrate(model, rows.where(held_out(id_col)), text_col, lang_col) if calibrated else model
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

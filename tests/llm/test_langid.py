@@ -119,3 +119,30 @@ def test_decisions_equal_an_independent_scorer():
     model = L.fit_rows(rows * 10)
     for text in [t for t, _ in rows] + ["katze", "the", "la", "zzz", "dog und chien"]:
         assert L.predict_bytes(text.encode(), model)[0] == dense(text.encode(), model)
+
+
+def test_every_row_is_learned_from(spark, monkeypatch):
+    # two rows of thousands hold what tells the languages apart
+    plain = [(i, "same words here", "en" if i % 2 else "de", None, None) for i in range(3000)]
+    df = rows(spark, [*plain, (3001, "zyxwvu qponml " * 40, "en", None, None), (3003, "kjihgf edcba " * 40, "de", None, None)])
+    for size in (1 << 22, 1 << 14):  # one group, several groups
+        monkeypatch.setattr(L, "GROUP_BYTES", size)
+        model = L.fit(df, id_col="doc_id")
+        assert [L.predict_bytes(t, model)[0] for t in (b"zyxwvu qponml", b"kjihgf edcba")] == ["en", "de"]
+
+
+def test_a_vector_holds_the_whole_of_a_long_text(monkeypatch):
+    text = b"some words and others " * 900
+    index, value, ratio = L._vector(text)
+    monkeypatch.setattr(L, "CHUNK_BYTES", 1000)
+    parts = L._vector(text)
+    assert (index == parts[0]).all() and np.allclose(value, parts[1]) and abs(ratio - parts[2]) < 1e-9
+
+
+def test_the_floor_comes_from_every_row(spark):
+    train = [("the cat and the dog of the house", "en"), ("le chien et la maison des chats", "fr")] * 10
+    model = L.fit_rows(train)
+    data = [(i, "the cat and the dog of the house", "en", None, None) for i in range(900)]
+    high = L.calibrate(model, rows(spark, data))
+    low = L.calibrate(model, rows(spark, [*data, (901, "the cat le chien et dog maison", "en", None, None)]))
+    assert np.isfinite(high.floor) and low.floor < high.floor
