@@ -78,8 +78,12 @@ def docs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keywords(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """(key, term): distinct lexical tokens of at least KEYWORD_MIN_LEN chars."""
-    return (df.select(key, F.explode(lexical_tokens(text_col)).alias("term"))
-            .filter(F.length("term") >= KEYWORD_MIN_LEN).distinct())
+    return _long_tokens(df, key, text_col).distinct()
+
+
+def _long_tokens(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    return (df.select(key, F.explode(F.array_distinct(lexical_tokens(text_col))).alias("term"))
+            .filter(F.length("term") >= KEYWORD_MIN_LEN))
 
 
 def keyword_table_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +102,10 @@ def matches_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = F.expr(f"cast(substr(source, 4) as int)") % N_ENGINES
     meta = docs.select("doc_id", F.concat(F.lit("e"), pos.cast("string")).alias("engine"),
                        pos.cast("long").alias("engine_pos"))
-    hits = (keywords(q, "query_id", "query").join(keywords(docs, "doc_id", "text"), "term")
+    # of the documents' terms only those that a query holds are made distinct
+    asked = keywords(q, "query_id", "query")
+    held = _long_tokens(docs, "doc_id", "text").join(asked.select("term").distinct(), "term", "left_semi").distinct()
+    hits = (asked.join(held, "term")
             .groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n_shared")))
     w = Window.partitionBy("query_id", "engine").orderBy(F.col("n_shared").desc(), F.col("doc_id"))
     wn = Window.partitionBy("query_id").orderBy(F.col("n_shared").desc(), F.col("doc_id"))
