@@ -198,6 +198,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     Keys that hold HOT_ROWS decoded fingerprints or more are compared in
     blocks of at most 2 x BLOCK_ROWS rows, which return a spanning forest of
     the block's verified links; all others by a join. Both verify every pair.
+    Tables of keys are never broadcast; those of hot keys are, while small.
     """
     if max_bits > MAX_BITS:
         raise ValueError("the keys find fingerprints within three bits")
@@ -209,9 +210,10 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if hot.isEmpty():
         return _joined(a, b, max_bits)
     stored = materialize(every.join(hot.select("key"), "key", "left_semi"), "simhash-hot-keys")
-    sizes = (stored.groupBy("key").agg(F.count("*").alias("n")).join(hot, "key")
-             .select("key", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("na"),
-                     F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("nb")))
+    # stored, so that its size is known and it, not the rows, is the side to broadcast
+    sizes = materialize(stored.groupBy("key").agg(F.count("*").alias("n")).join(hot, "key")
+                        .select("key", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("na"),
+                                F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("nb")), "simhash-hot-sizes")
 
     def dealt(rows: DataFrame, own: str, other: str, side: int) -> DataFrame:
         mine = F.pmod(F.xxhash64("fp"), F.col(own)).cast("int")
@@ -228,7 +230,8 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def _joined(a: DataFrame, b: DataFrame, max_bits: int) -> DataFrame:
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    return a.join(b, (a["key"] == b["key"]) & near).select("a", "b")
+    # a fingerprint has up to 108 keys, for which Spark counts one row: it would broadcast them by that size
+    return a.join(b.hint("merge"), (a["key"] == b["key"]) & near).select("a", "b")
 
 
 def fingerprint_roots(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -250,7 +253,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by_root = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = by_root.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = by_root.join(lows, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select(
+    # every fingerprint has a class; an outer join never broadcasts the documents' rows
+    return rows.join(classes, "fp", "left").select(
         F.col("__id").alias(id_col), hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 

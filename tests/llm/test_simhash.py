@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 
 from rankweave.llm import simhash as S
+from rankweave.llm.common import materialize
 
 SCHEMA = "doc_id long, text string, fp int, root string"
 
@@ -109,6 +110,30 @@ def test_keys_cover_three_bits_and_hot_keys_agree(spark, monkeypatch):
     assert {tuple(r) for r in S.fingerprint_roots(df).collect()} == cold
 
 
+def below_broadcasts(df):
+    """Lines of the plan that stand below a broadcast."""
+    out, depth = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        at = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and at > depth:
+            out.append(line)
+        else:
+            depth = at if "BroadcastExchange" in line else None
+    return out
+
+
+def test_no_keys_or_rows_are_broadcast_however_small_spark_counts_them(spark, monkeypatch):
+    rng = random.Random(6)
+    fps = [int(np.uint64(rng.getrandbits(64)).view(np.int64)) for _ in range(200)]
+    stored = materialize(spark.createDataFrame([(f,) for f in fps + [f ^ 1 for f in fps]], "fp long"), "test-fps")
+    assert below_broadcasts(S.fingerprint_links(stored)) == []
+    monkeypatch.setattr(S, "HOT_ROWS", 2)
+    below = below_broadcasts(S.fingerprint_links(stored))
+    assert below and not [line for line in below if "fp#" in line]  # the hot keys alone
+    docs = spark.createDataFrame([(i, t, 7, "x") for i, t in corpus()], SCHEMA)
+    assert not [line for line in below_broadcasts(S.simhash_components(docs)) if "__id#" in line]
+
+
 def test_code_is_perfect():
     low, high, patterns, number = S.golay_tables()
     assert sorted(set(number.tolist())) == [1, 6]
